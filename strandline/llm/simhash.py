@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import map_rows
 from .components import connected_components
 from .shared import keyed_join, written
 
@@ -50,12 +51,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp) for each row of docs; a null text has no words, so fingerprint 0."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array([fingerprint(t, shingle_words) for t in pdf["text"]], np.int64)})
+    def make():
+        return lambda given: ((i, fingerprint(t, shingle_words)) for i, t in given)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(apply, f"doc_id {kind}, fp long")
+    return map_rows(rows, make, f"doc_id {kind}, fp long")
 
 
 def masks(radius: int = 2) -> list[int]:
