@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, packing, piece_codec, simhash, toxicity, warc
+from . import ann, exact_dedup, packing, piece_codec, simhash, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +49,11 @@ def op9_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_subword_toxicity, op3_exact_dedup, op4_piece_encode_decode, op5_simhash_near_dedup, op8_warc_round_trip, op9_projected_neighbours)}
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), texts=False)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_subword_toxicity, op3_exact_dedup, op4_piece_encode_decode, op5_simhash_near_dedup, op8_warc_round_trip, op9_projected_neighbours, op10_suffix_array_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": """
