@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, packing, piece_codec, simhash, suffix_dedup, toxicity, warc
+from . import ann, exact_dedup, line_dedup, packing, piece_codec, quality, simhash, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,17 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op6_line_run_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op7_co_trained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+
+
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(table(spark, sf_dir, "pages"), payloads=False)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -53,7 +64,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), texts=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_subword_toxicity, op3_exact_dedup, op4_piece_encode_decode, op5_simhash_near_dedup, op8_warc_round_trip, op9_projected_neighbours, op10_suffix_array_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_subword_toxicity, op3_exact_dedup, op4_piece_encode_decode, op5_simhash_near_dedup, op6_line_run_dedup, op7_co_trained_quality, op8_warc_round_trip, op9_projected_neighbours, op10_suffix_array_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": """
@@ -63,6 +74,17 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY norm)""",
+    "op6_line_run_dedup": """
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT doc_id, lines, len(lines) AS n, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
+        w AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS after, i + 1 < n AS pair FROM l),
+        r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line, after ORDER BY doc_id, i) AS k FROM w WHERE pair),
+        c AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i FROM r WHERE k > 1),
+        m AS (SELECT l.doc_id, l.i, line, c.i IS NOT NULL AS gone FROM l LEFT JOIN c ON l.doc_id = c.doc_id AND l.i = c.i),
+        g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS head FROM m)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (head) AS n_runs,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM g GROUP BY doc_id""",
     "op8_warc_round_trip": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h

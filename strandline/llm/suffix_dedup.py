@@ -27,15 +27,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .arrow import map_rows
-from .shared import written
+from .shared import join_lists, ordered_rows, written
 
 WIDTH, GRAM = 100, 40
 #: Bytes of text that are hashed at once; anchors among which a task looks for equal contexts before it sends them on.
 BLOCK_BYTES, TASK_ANCHORS = 1 << 20, 2_000_000
 #: Windows that a bucket sorts at once; only a lead with more contexts is sorted alone, one place of the anchor at a time.
 CHUNK_WINDOWS = 400_000
-#: Bytes of a per-document list table up to which it may be broadcast.
-BROADCAST_BYTES = 16 << 20
 
 BASE = np.uint64(0xC6A4A7935BD1E995)
 U = np.uint64
@@ -255,22 +253,6 @@ def _compare(buckets: DataFrame, width: int) -> DataFrame:
     return buckets.mapInArrow(apply, schema)
 
 
-def _with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """docs joined with a table that has one row per doc with lists: broadcast if its bytes are few, else shuffled."""
-    rows, items = lists.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
-    return docs.join(F.broadcast(lists) if 40 * rows + 32 * items <= BROADCAST_BYTES else lists, "doc", how)
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with doc, text and doc_id; the same narrow): doc orders the rows and tells them apart."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("text"))
-    n, named, different = rows.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
-    if n == named == different:
-        return rows.withColumn("doc", F.col("doc_id").cast("long"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
-    return written(ordered.withColumn("doc", F.monotonically_increasing_id()), "keyed-documents")
-
-
 def repeated_spans(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(doc, spans): the windows to remove in each document that has some, as (start, windows) structs."""
     w = Window.partitionBy("h").orderBy("c", "doc", "start")
@@ -291,7 +273,7 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
 
         return run
 
-    texts = _with_lists(keyed.select("doc", "text"), asked, "inner")
+    texts = join_lists(keyed.select("doc", "text"), asked, "spans", "inner")
     suffixes = map_rows(texts.select("doc", "text", "spans"), cut_out, "lead binary, ctx binary, doc long, start long, n long, off long")
     suffixes = written(suffixes, "suffixes")  # read twice: for the splitters and for the shuffle
     equal = _compare(suffixes.repartitionByRange("lead").sortWithinPartitions("lead"), width)
@@ -311,11 +293,11 @@ def _runs(spans: list, width: int) -> tuple[np.ndarray, np.ndarray]:
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, texts: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with texts the kept bytes.
 
-    A null text is empty and keeps nothing. Of rows that share an id, and of null ids (which come last), the one whose
-    text sorts first counts as the earlier. Texts shorter than width lose nothing; an empty table gives no rows; other columns
+    A null text is empty and keeps nothing. Rows that share an id count as earlier and later in the order of a
+    hash of their texts; null ids come last. Texts shorter than width lose nothing; an empty table gives no rows; other columns
     are not read.
     """
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = ordered_rows(docs, id_col, text_col).withColumn("text", F.encode("text", "UTF-8"))
     kind = keyed.schema["doc_id"].dataType.simpleString()
     spans = repeated_spans(keyed, width, gram)
 
@@ -332,5 +314,5 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return run
 
-    joined = _with_lists(keyed, spans, "left").select("doc_id", "text", "spans")
+    joined = join_lists(keyed, spans, "spans", "left").select("doc_id", "text", "spans")
     return map_rows(joined, make, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
