@@ -41,14 +41,14 @@ def directory(keys: DataFrame, bucket_keys: int = BUCKET_KEYS, max_depth: int =
     cells = written(keys.groupBy(F.shiftrightunsigned("key", 64 - max_depth).alias("slot")).agg(F.count("*").alias("n")), "cells")
     left, done = cells, []
     for depth in range(max_depth + 1):
-        filled = left.withColumn("bucket", _prefix(F.col("slot"), depth, max_depth))
-        totals = filled.groupBy("bucket").agg(F.sum("n").alias("n"))
-        fits = totals.filter(F.col("n") <= bucket_keys) if depth < max_depth else totals
-        done.append(filled.join(fits.select("bucket"), "bucket", "left_semi").select("slot", "bucket", F.lit(depth).alias("local_depth")))
-        overfull = totals.filter(F.col("n") > bucket_keys)
-        if depth == max_depth or overfull.isEmpty():
+        addressed = left.withColumn("bucket", _prefix(F.col("slot"), depth, max_depth))
+        # a table per doubling: what is left of the directory never exceeds its bound, and plans stay short
+        sized = written(addressed.withColumn("held", F.sum("n").over(Window.partitionBy("bucket"))), "directory")
+        settled = (F.col("held") <= bucket_keys) | F.lit(depth == max_depth)
+        done.append(sized.filter(settled).select("slot", "bucket", F.lit(depth).alias("local_depth")))
+        left = sized.filter(~settled).select("slot", "n")
+        if left.isEmpty():
             break
-        left = filled.join(overfull.select("bucket"), "bucket", "left_semi").select("slot", "n")
     return reduce(DataFrame.unionByName, done)
 
 
