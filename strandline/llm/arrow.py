@@ -9,8 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows per output batch; rows are small.
-ROWS = 20_000
+#: Rows that are Python values at once, and rows or bytes of an output batch.
+SLICE_ROWS, ROWS, BATCH_BYTES = 500, 20_000, 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[Iterator[tuple]], Iterable[tuple]]], schema: str) -> DataFrame:
@@ -22,13 +28,14 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[Iterator[tuple]], Itera
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
-        out = []
+        given = (row for batch in slices(batches) for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        out, size = [], 0
         for row in make()(given):
             out.append(row)
-            if len(out) >= ROWS:
+            size += sum(len(x) for x in row if isinstance(x, (str, bytes))) + sum(4 * len(x) for x in row if hasattr(x, "shape"))
+            if len(out) >= ROWS or size >= BATCH_BYTES:
                 yield table(out)
-                out = []
+                out, size = [], 0
         yield table(out)
 
     return df.mapInArrow(apply, schema)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, join_lists, keyed_join, ordered_rows, written
+from .shared import BROADCAST_ROWS, keyed_join, ordered_rows, written
 
 #: Lines of the shortest run that counts as repeated.
 MIN_LINES = 2
@@ -60,7 +60,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = ordered_rows(docs, id_col, text_col)
     starts = repeated_runs(rows.select("doc", "text"), min_lines, broadcast_rows)
-    found = join_lists(rows, starts, "starts", "left").select("doc_id", F.split("text", "\n", -1).alias("lines"), "starts")
+    found = rows.join(starts, "doc", "left").select("doc_id", F.split("text", "\n", -1).alias("lines"), "starts")
     # starts ascend: a run grows while the next start is within reach of its end
     grown = F.aggregate(
         "starts",

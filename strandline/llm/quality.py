@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_rows
-from .toxicity import held_out
+from .toxicity import held_out, lowest_hashes
 
 #: Labelled and unlabelled documents that a fit uses at most, and their longest text: the bound of what the driver gathers.
 FIT_LABELLED, FIT_POOL, FIT_CHARS = 3000, 3000, 20_000
@@ -146,11 +146,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
     """Co-train on the documents whose ids hash lowest: FIT_LABELLED with labels that are not held out, FIT_POOL without."""
     cols = ["text", "lang", "source", "n_chars"]
     marked = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = F.broadcast(lowest_hashes(marked.filter(~held_out(F.col("doc_id"))), 2 * FIT_LABELLED))  # at most so many rows
     short = docs.select("doc_id", *cols).filter(F.length("text") <= FIT_CHARS)
-    by_hash = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")]
-    known = short.join(marked.filter(~held_out(F.col("doc_id"))), "doc_id").orderBy(*by_hash).limit(FIT_LABELLED).collect()
-    pool = short.join(marked, "doc_id", "left_anti").orderBy(*by_hash).limit(FIT_POOL).collect()
-    return co_train([(_row([r[c] for c in cols]), int(r.quality)) for r in known], [_row([r[c] for c in cols]) for r in pool])
+    learn = _first(short.join(known, "doc_id").collect(), FIT_LABELLED)
+    unmarked = docs.select("doc_id").join(marked.select("doc_id"), "doc_id", "left_anti").distinct()
+    free = F.broadcast(lowest_hashes(unmarked.filter(F.col("doc_id").isNotNull()), 2 * FIT_POOL))
+    pool = _first(short.join(free, "doc_id").collect(), FIT_POOL)
+    return co_train([(_row([r[c] for c in cols]), int(r.quality)) for r in learn], [_row([r[c] for c in cols]) for r in pool])
+
+
+def _first(rows: list, n: int) -> list:
+    return sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), str(r.doc_id), r.text))[:n]
 
 
 def score(docs: DataFrame, model: CoTrained) -> DataFrame:

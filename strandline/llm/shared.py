@@ -62,21 +62,16 @@ def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, rig
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def ordered_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text (never null) and doc, a long that orders the rows by id and tells them apart.
+def ordered_rows(docs: DataFrame, id_col: str, text_col: str, carry: list[str] = ()) -> DataFrame:
+    """doc_id, text (never null) and doc, a long that orders the rows by id and tells them apart; columns to carry along
+    are named _carry_ and their name.
 
     Where ids are unique and never null they serve themselves. Else the rows are written in order (null ids last, equal
     ids by text) and numbered.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
     n, named, different = rows.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
     if n == named == different:
         return rows.withColumn("doc", F.col("doc_id").cast("long"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
     return written(ordered.withColumn("doc", F.monotonically_increasing_id()), "ordered-rows")
-
-
-def join_lists(docs: DataFrame, lists: DataFrame, list_col: str, how: str, broadcast_bytes: int = 16 << 20) -> DataFrame:
-    """Join by doc with a table that has one row per doc with a list of short items: broadcast if its bytes are few."""
-    rows, items = lists.agg(F.count("*"), F.coalesce(F.sum(F.size(list_col)), F.lit(0))).first()
-    return docs.join(F.broadcast(lists) if 40 * rows + 32 * items <= broadcast_bytes else lists, "doc", how)

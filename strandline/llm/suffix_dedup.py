@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .arrow import map_rows
-from .shared import join_lists, ordered_rows, written
+from .arrow import map_rows, slices
+from .shared import ordered_rows, written
 
 WIDTH, GRAM = 100, 40
 #: Bytes of text that are hashed at once; anchors among which a task looks for equal contexts before it sends them on.
@@ -100,7 +100,7 @@ def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: Has
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, documents, starts, ends) of about size bytes or one longer text."""
     docs, texts, total = [], [], 0
-    for batch in batches:
+    for batch in slices(batches):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
             docs.append(doc)
             texts.append(text or b"")
@@ -237,7 +237,7 @@ def _compare(buckets: DataFrame, width: int) -> DataFrame:
             tail = np.concatenate((head[1:], [len(d)])) - 1 if len(d) else head
             return pa.RecordBatch.from_arrays([pa.array(d[head]), pa.array(s[head]), pa.array(s[tail] - s[head] + 1)], schema=target)
 
-        rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        rows = (row for batch in slices(batches) for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
         chunk, windows = [], 0
         for _, own in groupby(rows, key=lambda row: row[0]):
             own = list(own)
@@ -273,7 +273,7 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
 
         return run
 
-    texts = join_lists(keyed.select("doc", "text"), asked, "spans", "inner")
+    texts = keyed.select("doc", "text").join(asked, "doc")
     suffixes = map_rows(texts.select("doc", "text", "spans"), cut_out, "lead binary, ctx binary, doc long, start long, n long, off long")
     suffixes = written(suffixes, "suffixes")  # read twice: for the splitters and for the shuffle
     equal = _compare(suffixes.repartitionByRange("lead").sortWithinPartitions("lead"), width)
@@ -290,29 +290,31 @@ def _runs(spans: list, width: int) -> tuple[np.ndarray, np.ndarray]:
     return a[head, 0], ends[np.concatenate((np.flatnonzero(head)[1:] - 1, [len(a) - 1]))]
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, texts: bool = True) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with texts the kept bytes.
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, texts: bool = True, carry: list[str] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, with texts the kept bytes, and the columns
+    to carry along.
 
     A null text is empty and keeps nothing. Rows that share an id count as earlier and later in the order of a
     hash of their texts; null ids come last. Texts shorter than width lose nothing; an empty table gives no rows; other columns
     are not read.
     """
-    keyed = ordered_rows(docs, id_col, text_col).withColumn("text", F.encode("text", "UTF-8"))
+    keyed = ordered_rows(docs, id_col, text_col, carry).withColumn("text", F.encode("text", "UTF-8"))
     kind = keyed.schema["doc_id"].dataType.simpleString()
     spans = repeated_spans(keyed, width, gram)
 
     def make():
         def run(given: Iterator[tuple]) -> Iterator[tuple]:
-            for doc_id, text, found in given:
+            for doc_id, text, found, *more in given:
                 removed, runs, kept = 0, 0, text
                 if found:
                     first, end = _runs(found, width)
                     runs, removed = len(first), int((end - first).sum())
                     borders = zip([0, *end.tolist()], [*first.tolist(), len(text)], strict=True)
                     kept = b"".join([text[a:b] for a, b in borders])
-                yield (doc_id, len(text), removed, runs, hashlib.sha256(kept).hexdigest(), *([kept] if texts else []))
+                yield (doc_id, len(text), removed, runs, hashlib.sha256(kept).hexdigest(), *([kept] if texts else []), *more)
 
         return run
 
-    joined = join_lists(keyed, spans, "spans", "left").select("doc_id", "text", "spans")
-    return map_rows(joined, make, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
+    joined = keyed.join(spans, "doc", "left").select("doc_id", "text", "spans", *[f"_carry_{c}" for c in carry])
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return map_rows(joined, make, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts + kinds)

@@ -8,6 +8,7 @@ away: a text's score comes from its worst bag, calibrated on labelled texts that
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -185,11 +186,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def lowest_hashes(marked: DataFrame, rows: int) -> DataFrame:
+    """The rows of a label table (doc_id and a mark) whose ids hash lowest: a sample of at most so many narrow rows."""
+    return marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+
 def fit_labelled(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from the FIT_DOCS labelled texts whose ids hash lowest, none of them held out or longer than FIT_CHARS."""
+    """A model from at most FIT_DOCS labelled texts: of the twice as many labelled ids that hash lowest, none held out, those
+    with texts of at most FIT_CHARS. The ids are picked before texts are touched, so only theirs move."""
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = docs.select("doc_id", "text").filter(F.length("text") <= FIT_CHARS).join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(FIT_DOCS)
-    rows = chosen.collect()  # bounded by FIT_DOCS and FIT_CHARS
+    sample = F.broadcast(lowest_hashes(marked, 2 * FIT_DOCS))  # at most so many rows
+    found = docs.select("doc_id", "text").filter(F.length("text") <= FIT_CHARS).join(sample, "doc_id")
+    rows = found.collect()  # bounded by the sample (an id stands for one document) and FIT_CHARS
+    rows = sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), str(r.doc_id), r.text))[:FIT_DOCS]
     return fit([r.text for r in rows], [int(r.toxic) for r in rows])
 
 
