@@ -22,7 +22,7 @@ from .arrow import map_rows
 #: Characters of text whose new segments are merged together.
 BLOCK_CHARS = 1_000_000
 #: Segments that a worker remembers in each of two generations; longer ones (in characters) are not remembered.
-CACHE_SEGMENTS, CACHE_CHARS = 300_000, 48
+CACHE_SEGMENTS, CACHE_CHARS = 120_000, 48
 SPACE = "▁"
 SEGMENT = re.compile(" *[^ ]+| +")
 NONE = np.iinfo(np.int32).max
@@ -209,9 +209,11 @@ class PieceCodec:
                 new.append(s)
         for s, ids in zip(new, self._segments([" " + s for s in new]) if new else [], strict=True):
             (known if len(s) <= CACHE_CHARS else once)[s] = ids
-        if once:
-            known = known | once
-        return [np.frombuffer(b"".join(map(known.__getitem__, c)), "<i4") for c in cut]
+        known.update(once)
+        found = [np.frombuffer(b"".join(map(known.__getitem__, c)), "<i4") for c in cut]
+        for s in once:
+            del known[s]
+        return found
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, as the library's decode: without the space that encode puts in front."""

@@ -23,7 +23,7 @@ FIT_DOCS, FIT_CHARS = 4000, 20_000
 BUCKETS, DIM, BAG = 1 << 16, 8, 8
 GRAMS = (3, 4, 5)
 THRESHOLD = 0.3
-CACHE_WORDS, BLOCK_CHARS = 300_000, 1_000_000
+CACHE_WORDS, BLOCK_CHARS = 120_000, 1_000_000
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,12 +91,14 @@ class Scorer:
                 new.append(w)
         known = self.known
         if new:
-            known = self.known | dict(zip(new, zip(*[x.tolist() for x in self.model.word_scores(new)], strict=True), strict=True))
-            self.known.update((w, known[w]) for w in new if len(w) <= 40)
+            known.update(zip(new, zip(*[x.tolist() for x in self.model.word_scores(new)], strict=True), strict=True))
         out = []
         for words in cut:
             pairs = np.array(list(map(known.__getitem__, words))).reshape(-1, 2)
             out.append(self.model.worst(pairs[:, 0], pairs[:, 1]))
+        for w in new:
+            if len(w) > 40:
+                del known[w]
         return out
 
 

@@ -14,7 +14,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Words that a worker remembers; it starts anew when they are this many, so memory stays bounded.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 #: Longer words (in characters) are not remembered.
 CACHE_CHARS = 40
 
