@@ -10,7 +10,12 @@ from ..operators import retrieval
 from .registry import query
 from .views import AS_OF, CHUNKS, FEEDBACK, METRICS, chunks, feedback, metrics, table
 
-NOW = F.lit(AS_OF).cast("timestamp")
+
+
+def now():
+    return F.lit(AS_OF).cast("timestamp")
+
+
 T = f"TIMESTAMP '{AS_OF}'"
 
 
@@ -22,7 +27,7 @@ def a04_top_products(spark, sf_dir):
 
 @query(f"SELECT count(DISTINCT user_id) AS active_users FROM events WHERE ts >= {T} - INTERVAL 7 DAY AND ts < {T}")
 def a05_active_users(spark, sf_dir):
-    recent = table(spark, sf_dir, "events").filter((F.col("ts") >= NOW - F.expr("INTERVAL 7 DAY")) & (F.col("ts") < NOW))
+    recent = table(spark, sf_dir, "events").filter((F.col("ts") >= now() - F.expr("INTERVAL 7 DAY")) & (F.col("ts") < now()))
     return recent.agg(F.count_distinct("user_id").alias("active_users"))
 
 
@@ -31,7 +36,7 @@ def a05_active_users(spark, sf_dir):
     round(count(*) FILTER (event_type = 'purchase') * 100.0 / count(*), 1) AS positive_rate FROM metrics""")
 def a06_conditional_counts(spark, sf_dir):
     m, kind = metrics(spark, sf_dir), F.col("event_type")
-    counts = m.agg(F.count("*").alias("total"), F.count_if(kind == "purchase").alias("positive"), F.count_if(kind == "error").alias("negative"), F.count_if(F.col("confidence") >= 0.7).alias("confident"), F.count_if(F.col("ts") >= NOW - F.expr("INTERVAL 1 DAY")).alias("today"), F.count_if(F.col("ts") >= NOW - F.expr("INTERVAL 7 DAY")).alias("week"))
+    counts = m.agg(F.count("*").alias("total"), F.count_if(kind == "purchase").alias("positive"), F.count_if(kind == "error").alias("negative"), F.count_if(F.col("confidence") >= 0.7).alias("confident"), F.count_if(F.col("ts") >= now() - F.expr("INTERVAL 1 DAY")).alias("today"), F.count_if(F.col("ts") >= now() - F.expr("INTERVAL 7 DAY")).alias("week"))
     return counts.withColumn("positive_rate", scores.rate(F.col("positive"), F.col("total")))
 
 
@@ -138,7 +143,7 @@ def c15_ban_levels(spark, sf_dir):
 
 @query(f"SELECT event_id, ts, {T} - ts > INTERVAL 1 DAY AS expired FROM events")
 def d04_expiry(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", "ts", (NOW - F.col("ts") > F.expr("INTERVAL '1' DAY")).alias("expired"))
+    return table(spark, sf_dir, "events").select("event_id", "ts", (now() - F.col("ts") > F.expr("INTERVAL '1' DAY")).alias("expired"))
 
 
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k, event_type || ':' || (props->>'$.k') AS tag FROM events")

@@ -86,11 +86,11 @@ def s17_upsert_stats(spark, sf_dir):
 
 @query("""
     SELECT doc_id, source, text FROM documents WHERE source <> 'src3'
-    UNION ALL SELECT doc_id, source, upper(text) AS text FROM documents WHERE source = 'src3' AND n_chars > 100""")
+    UNION ALL SELECT doc_id, source, 'v2 ' || text AS text FROM documents WHERE source = 'src3' AND n_chars > 100""")
 def s21_targeted_reingest(spark, sf_dir):
     """Rows of one source are replaced by their new version."""
     d = table(spark, sf_dir, "documents")
-    fresh = d.filter("source = 'src3' AND n_chars > 100").select("doc_id", "source", F.upper("text").alias("text"))
+    fresh = d.filter("source = 'src3' AND n_chars > 100").select("doc_id", "source", F.concat(F.lit("v2 "), "text").alias("text"))
     return d.filter("source <> 'src3'").select("doc_id", "source", "text").unionByName(fresh)
 
 
@@ -249,7 +249,7 @@ def a15_field_completeness(spark, sf_dir):
 
 
 @query(f"""WITH {CHUNKS} SELECT doc_id, round((CASE WHEN importance >= 0.8 THEN 1.3 ELSE 1.0 END) * (CASE WHEN is_warning THEN 1.2 ELSE 1.0 END)
-    * (CASE WHEN is_procedure THEN 1.15 ELSE 1.0 END) * (1 + 0.1 * (length(text) - length(replace(text, 'the', ''))) // 3 % 4), 6) AS boost FROM chunks""".replace("(1 + 0.1 * (length(text) - length(replace(text, 'the', ''))) // 3 % 4)", "(1 + 0.1 * (((length(text) - length(replace(text, 'the', ''))) // 3) % 4))"))
+    * (CASE WHEN is_procedure THEN 1.15 ELSE 1.0 END) * (1 + 0.1 * (((length(text) - length(replace(text, 'the', ''))) // 3) % 4))::DOUBLE, 6) AS boost FROM chunks""")
 def m06_metadata_boost(spark, sf_dir):
     hits = text.substring_count(F.col("text"), "the") % 4
     boost = scores.metadata_boost(F.col("importance"), F.col("is_warning"), F.col("is_procedure"), hits)
