@@ -7,6 +7,10 @@ differs there agrees under v's mask: it collides in some table for certain (Pagh
 enter the tables, so copies cost nothing. A bucket of moderate size is compared within one row; the members of a
 crowded bucket are dealt anew by the points one flip away from them, outside the mask: two fingerprints within two
 flips share such a point, and no point has more than 65 neighbours, so no pair is missed and no group grows.
+
+Sets of shingles with a Jaccard similarity of 0.8 differ in about ten bits of 64, too many to cover: 2**(radius+1)
+tables. Near copies at such a similarity are therefore sought by samples besides: texts that agree in one of 24 samples
+of a few shingles are compared by SimHash fingerprints of 256 bits.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from .shared import keyed_join, written
 
 #: Distinct fingerprints of a bucket that are compared in one row; larger buckets are dealt by flips.
 BUCKET_SIZE = 64
+#: Numbers of 64 bits in a wide fingerprint; samples of a text, and shingles expected in each at least.
+LANES, SAMPLES, SAMPLE = 4, 24, 4
 
 
 def fingerprint(text: str | None, shingle_words: int = 3) -> int:
@@ -129,8 +135,132 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return found.select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, radius: int = 2) -> DataFrame:
-    """The rows of docs whose id is the smallest of their component, with all their columns."""
-    parts = simhash_components(docs, id_col, text_col, shingle_words, radius)
+def shingle_hashes(text: str | None, shingle_words: int = 5) -> np.ndarray:
+    """The different XXH64 values (seed 42) of a text's shingles, of all its words where they are fewer; sorted."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(words) - shingle_words + 1)
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((h(b" ".join(words[i : i + shingle_words]), 42) for i in range(n)), np.uint64, n))
+
+
+def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
+    z = h * np.uint64(2 * lane + 1) * np.uint64(0x9E3779B97F4A7C15)
+    z ^= z >> np.uint64(32)
+    z *= np.uint64(0xD6E8FEB86659FD93)
+    return z ^ (z >> np.uint64(29))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of LANES times 64 bits of different shingle hashes, as signed integers."""
+    ones, step = np.zeros(64 * LANES, np.int64), 1 << 13
+    for i in range(0, len(hashes), step):  # bounded memory for very long texts
+        block = np.stack([_mixed(hashes[i : i + step], lane) for lane in range(LANES)], axis=1)
+        ones += np.unpackbits(block.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")
+
+
+def sample_cells(hashes: np.ndarray) -> list[int]:
+    """One number for each sample that holds a shingle; texts with the same sample share it.
+
+    A sample holds a shingle with probability 2**-scale, scale being such that four to eight shingles are expected. Sets
+    whose similarity is 0.8 differ in size by a quarter at most, so those within a quarter of the next smaller scale
+    take samples at that scale too.
+    """
+    if not len(hashes):
+        return []
+    scale = max(0, int(np.log2(len(hashes) / SAMPLE)))
+    scales = [scale] + ([scale - 1] if scale and len(hashes) < 1.25 * SAMPLE * 2**scale else [])
+    found = set()
+    for t in range(SAMPLES):
+        z = _mixed(hashes, 101 + t)
+        for s in scales:
+            chosen = z[z >> np.uint64(64 - s) == 0] if s else z
+            if len(chosen):
+                total = np.array([chosen.sum(dtype=np.uint64) + np.uint64(len(chosen))], np.uint64)
+                found.add(int(_mixed(total, 301 + s).view(np.int64)[0]))
+    return sorted(found)
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5) -> DataFrame:
+    """(doc_id, fp, wide, cells) for each row of docs: fp is the first of the wide fingerprint's numbers."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def make():
+        def run(given):
+            for i, t in given:
+                hashes = shingle_hashes(t, shingle_words)
+                wide = wide_fingerprint(hashes).tolist()
+                yield i, wide[0], wide, sample_cells(hashes)
+
+        return run
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return map_rows(rows, make, f"doc_id {kind}, fp long, wide array<long>, cells array<long>")
+
+
+def allowed_bits(similarity: float) -> int:
+    """Bits in which the wide fingerprints of equally large sets of that similarity differ, and one standard deviation."""
+    apart = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
+    return int(64 * LANES * apart + (64 * LANES * apart * (1 - apart)) ** 0.5)
+
+
+def similar_links(distinct: DataFrame, similarity: float = 0.8, bucket_size: int = BUCKET_SIZE) -> DataFrame:
+    """(a, b): links between fingerprints that share a sample and whose wide fingerprints are as close as the similarity asks.
+
+    distinct: fp, wide, cells. All pairs of a cell of at most bucket_size are compared. The members of a crowded cell are
+    compared with its first one, and with the first one of those that agree in a byte of fp, for each of its eight bytes.
+    """
+    most = allowed_bits(similarity)
+    entries = distinct.select(F.explode("cells").alias("cell"), "fp", "wide")
+    sizes = written(entries.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "sample-cells")
+    n = sizes.count()
+    members = written(keyed_join(entries, sizes, ["cell"], "inner", n, F.col("fp")), "sample-members")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            links = []
+            for group in pdf["found"]:
+                fps = np.array([x["fp"] for x in group], np.int64)
+                wide = np.array([x["wide"].tolist() for x in group], np.int64).view(np.uint64)
+                i, j = np.triu_indices(len(fps), 1)
+                near = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= most
+                links += zip(fps[j[near]].tolist(), fps[i[near]].tolist(), strict=True)
+            yield pd.DataFrame(set(links), columns=["a", "b"], dtype="int64")
+
+    small = members.filter(F.col("n") <= bucket_size).groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("fp", "wide"))).alias("found"))
+    close = small.select("found").mapInPandas(compare, "a long, b long")
+
+    parts = F.array(F.lit(-1).cast("long"), *[F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255)) + F.lit(256 * i) for i in range(8)])
+    crowded = members.filter(F.col("n") > bucket_size).select("cell", "fp", "wide", F.explode(parts).alias("part"))
+    first = written(crowded.groupBy("cell", "part").agg(F.min(F.struct("fp", "wide")).alias("c"), F.count("*").alias("n")).filter("n > 1").drop("n"), "sample-centres")
+    joined = keyed_join(crowded, first, ["cell", "part"], "inner", first.count(), F.col("fp"))
+    bits = sum((F.bit_count(F.get("wide", F.lit(i)).bitwiseXOR(F.get("c.wide", F.lit(i)))) for i in range(LANES)), F.lit(0))
+    far = joined.filter((F.col("fp") != F.col("c.fp")) & (bits <= most)).select(F.col("fp").alias("a"), F.col("c.fp").alias("b"))
+    return close.unionByName(far)
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
+    """(doc_id, component_id) for each row of docs whose set of shingles is nearly another's.
+
+    Links join fingerprints within radius bits, by covering, and those that similar_links finds. Texts without words are
+    alike. Repeated rows give repeated rows; an empty table gives none; null ids never name a component that has others.
+    """
+    rows = written(sketches(docs, id_col, text_col, shingle_words), "sketches")
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("wide", "cells")).alias("s")).select("fp", "first_id", "s.wide", "s.cells"), "distinct-sketches")
+    links = fingerprint_links(distinct.select("fp"), radius).unionByName(similar_links(distinct, similarity))
+    nodes = connected_components(links)
+    linked = distinct.select("fp", "first_id").join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    names = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = written(linked.join(names, "root").select("fp", "component_id"), "named-fingerprints")
+    return keyed_join(rows.select("doc_id", "fp"), named, ["fp"], "left", named.count(), F.monotonically_increasing_id()).select("doc_id", "component_id")
+
+
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs whose id is the smallest of their near copies, with all their columns."""
+    parts = near_components(docs, id_col, text_col, shingle_words, similarity)
     gone = written(parts.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "dropped-rows").distinct()
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
