@@ -147,6 +147,10 @@ def shingle_hashes(text: str | None, shingle_words: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((h(b" ".join(words[i : i + shingle_words]), 42) for i in range(n)), np.uint64, n))
 
 
+#: A different odd factor for each sample.
+_ODD = np.array([((2 * t + 1) * 0xD1B54A32D192ED03 ^ (t << 40)) % (1 << 64) | 1 for t in range(SAMPLES)], np.uint64)
+
+
 def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
     z = h * np.uint64(2 * lane + 1) * np.uint64(0x9E3779B97F4A7C15)
     z ^= z >> np.uint64(32)
@@ -174,15 +178,14 @@ def sample_cells(hashes: np.ndarray) -> list[int]:
         return []
     scale = max(0, int(np.log2(len(hashes) / SAMPLE)))
     scales = [scale] + ([scale - 1] if scale and len(hashes) < 1.25 * SAMPLE * 2**scale else [])
-    found = set()
-    for t in range(SAMPLES):
-        z = _mixed(hashes, 101 + t)
-        for s in scales:
-            chosen = z[z >> np.uint64(64 - s) == 0] if s else z
-            if len(chosen):
-                total = np.array([chosen.sum(dtype=np.uint64) + np.uint64(len(chosen))], np.uint64)
-                found.add(int(_mixed(total, 301 + s).view(np.int64)[0]))
-    return sorted(found)
+    totals, step = np.zeros((len(scales), SAMPLES), np.uint64), 1 << 14
+    for i in range(0, len(hashes), step):  # bounded memory for very long texts
+        some = hashes[i : i + step]
+        least, mixed = some[None, :] * _ODD[:, None], _mixed(some, 200)
+        for k, s in enumerate(scales):  # the smallest products make a sample
+            totals[k] += (np.where(least < np.uint64(1 << (64 - s)), mixed, np.uint64(0)) if s else mixed[None, :]).sum(axis=1, dtype=np.uint64)
+    cells = [_mixed(totals[k][totals[k] > 0], 301 + s) for k, s in enumerate(scales)]
+    return np.unique(np.concatenate(cells)).view(np.int64).tolist()
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5) -> DataFrame:
