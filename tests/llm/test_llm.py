@@ -120,6 +120,25 @@ def plain_components(values, radius):
     return root
 
 
+def test_near_copies(spark):
+    r = random.Random(11)
+    base = [[f"w{r.randrange(4000)}" for _ in range(n)] for n in (80, 200, 900)]
+    texts = [" ".join(w) for w in base]
+    for w in base:  # one word in eighty differs: a similarity of 0.8 or more
+        texts.append(" ".join("other" if i % 80 == 40 else x for i, x in enumerate(w)))
+    texts += [" ".join(f"v{r.randrange(4000)}" for _ in range(300)), None, "", "short text", "Short TEXT"]
+    docs = table(spark, texts)
+    found = dict(collected(simhash.near_components(docs), "doc_id", "component_id"))
+    assert found == {0: 0, 1: 1, 2: 2, 3: 0, 4: 1, 5: 2, 6: 6, 7: 7, 8: 7, 9: 9, 10: 9}
+    kept = simhash.simhash_dedup(docs)
+    assert kept.columns == docs.columns and collected(kept, "doc_id") == sorted([(0,), (1,), (2,), (6,), (7,), (9,)], key=str)
+    assert simhash.near_components(docs.limit(0)).count() == 0
+    sketched = simhash.sketches(docs).groupBy("fp").agg(F.first("wide").alias("wide"), F.first("cells").alias("cells"))
+    for size in (64, 1):  # small cells, and crowded ones
+        links = {frozenset((x.a, x.b)) for x in simhash.similar_links(sketched, 0.8, bucket_size=size).collect()}
+        assert len(links) == 3
+
+
 def test_simhash(spark, docs):
     texts = random_texts()
     fps = [plain_fingerprint(t, 3) for t in texts]
