@@ -42,6 +42,11 @@ def learned_score(base: Column, positive: Column, n: Column) -> Column:
     return F.when(n > 0, base * (1 - trust) + 2 * wilson_lower(positive, n) * trust).otherwise(base)
 
 
+def mapping_confidence(positive: Column, n: Column) -> Column:
+    """Share of successes, and up to 0.2 for their number; 0.5 without any."""
+    return F.when(n > 0, F.least(F.lit(1.0), positive / n + F.least(n / 10, F.lit(1.0)) * 0.2)).otherwise(F.lit(0.5))
+
+
 def metadata_boost(importance: Column, warning: Column, procedure: Column, hits: Column) -> Column:
     return F.when(importance >= 0.8, 1.3).otherwise(1.0) * F.when(warning, 1.2).otherwise(1.0) * F.when(procedure, 1.15).otherwise(1.0) * (1 + 0.1 * hits)
 

@@ -83,3 +83,14 @@ def token_budget(rows: DataFrame, keys: list[str], order: list[Column], budget:
     overflow = F.sum((F.col("total") > budget).cast("int")).over(w)
     kept = sums.withColumn("nth", overflow).withColumn("left", left).filter((F.col("nth") == 0) | ((F.col("nth") == 1) & (F.col("total") > budget) & (F.col("left") > least)))
     return kept.withColumn("truncated", F.col("nth") == 1).withColumn("taken_tokens", F.when(F.col("nth") == 1, F.col("left")).otherwise(F.col("tokens"))).drop("nth", "left", "total", "before")
+
+
+def greedy_distinct(rows: DataFrame, key: str, id_col: str, most: float) -> DataFrame:
+    """(key, id): rows (key, rank, words) of short ranked lists without those too like one kept before them, in order.
+
+    A list is one array, so it must be short: rank it and cut it first.
+    """
+    lists = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", F.col(id_col).alias("id"), "words"))).alias("l"))
+    none = F.filter("l", lambda x: F.lit(False))
+    kept = F.aggregate("l", none, lambda a, x: F.when(F.exists(a, lambda y: text.jaccard(x["words"], y["words"]) > most), a).otherwise(F.concat(a, F.array(x))))
+    return lists.select(key, F.explode(kept).alias("x")).select(key, F.col("x.id").alias(id_col))

@@ -1,6 +1,6 @@
 """Registered queries, family by family, each with its SQL oracle."""
 
-from . import analytics, extracting, searching, selecting
+from . import analytics, evaluating, extracting, filtering, learning, searching, selecting, state
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analytics", "extracting", "searching", "selecting"]
+__all__ = ["ORACLES", "QUERIES", "analytics", "evaluating", "extracting", "filtering", "learning", "searching", "selecting", "state"]
