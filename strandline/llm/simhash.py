@@ -16,6 +16,7 @@ of a few shingles are compared by SimHash fingerprints of 256 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,8 @@ from .shared import keyed_join, written
 BUCKET_SIZE = 64
 #: Numbers of 64 bits in a wide fingerprint; samples of a text, and shingles expected in each at least.
 LANES, SAMPLES, SAMPLE = 4, 24, 4
+#: Members of a linked set that stand for it when the rest of a crowded cell is searched.
+SPOKESMEN = 4
 
 
 def fingerprint(text: str | None, shingle_words: int = 3) -> int:
@@ -72,17 +75,22 @@ def masks(radius: int = 2) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in found]
 
 
-def _stars(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that join the members of a small bucket as all their links within radius would."""
-    apart = np.bitwise_count((fps[:, None] ^ fps[None, :]).view(np.uint64)) <= radius
-    root = np.arange(len(fps))
+def _roots(near: np.ndarray) -> np.ndarray:
+    """The first member that each member of a small group reaches; near: which of them are linked."""
+    root = np.arange(len(near))
     while True:  # each member takes the smallest root next to it
-        low = np.where(apart, root[None, :], len(fps)).min(axis=1)
+        low = np.where(near, root[None, :], len(near)).min(axis=1)
         if (low == root).all():
-            return [(int(fps[i]), int(fps[r])) for i, r in enumerate(root) if r != i]
+            return root
         root = low
 
 
+def _stars(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links that join the members of a small bucket as all their links within radius would."""
+    root = _roots(np.bitwise_count((fps[:, None] ^ fps[None, :]).view(np.uint64)) <= radius)
+    return [(int(fps[i]), int(fps[r])) for i, r in enumerate(root) if r != i]
+
+
 def fingerprint_links(distinct: DataFrame, radius: int = 2, bucket_size: int = BUCKET_SIZE) -> DataFrame:
     """(a, b): links that connect distinct fingerprints exactly as all pairs within radius do. distinct: column fp."""
     if radius > 2:
@@ -214,36 +222,61 @@ def allowed_bits(similarity: float) -> int:
 def similar_links(distinct: DataFrame, similarity: float = 0.8, bucket_size: int = BUCKET_SIZE) -> DataFrame:
     """(a, b): links between fingerprints that share a sample and whose wide fingerprints are as close as the similarity asks.
 
-    distinct: fp, wide, cells. All pairs of a cell of at most bucket_size are compared. The members of a crowded cell are
-    compared with its first one, and with the first one of those that agree in a byte of fp, for each of its eight bytes.
+    distinct: fp, wide, cells. All members of a cell of at most bucket_size are compared. Those of a crowded cell are dealt
+    into hands of about that size, by chance and anew in each cell; of each set that a hand links, SPOKESMEN members stand
+    for it in the next turn, until the cell is small. A cell whose members do not halve in a turn holds unlike texts: those
+    that agree in a byte of fp, for each of its eight bytes, are compared, in hands where they are many.
     """
     most = allowed_bits(similarity)
     entries = distinct.select(F.explode("cells").alias("cell"), "fp", "wide")
     sizes = written(entries.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "sample-cells")
-    n = sizes.count()
-    members = written(keyed_join(entries, sizes, ["cell"], "inner", n, F.col("fp")), "sample-members")
+    members = written(keyed_join(entries, sizes, ["cell"], "inner", sizes.count(), F.col("fp")), "sample-members")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            links = []
-            for group in pdf["found"]:
-                fps = np.array([x["fp"] for x in group], np.int64)
+            rows = []
+            for cell, n, group in zip(pdf["cell"].tolist(), pdf["n"].tolist(), pdf["found"], strict=True):
+                fps = [int(x["fp"]) for x in group]
                 wide = np.array([x["wide"].tolist() for x in group], np.int64).view(np.uint64)
-                i, j = np.triu_indices(len(fps), 1)
-                near = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= most
-                links += zip(fps[j[near]].tolist(), fps[i[near]].tolist(), strict=True)
-            yield pd.DataFrame(set(links), columns=["a", "b"], dtype="int64")
-
-    small = members.filter(F.col("n") <= bucket_size).groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("fp", "wide"))).alias("found"))
-    close = small.select("found").mapInPandas(compare, "a long, b long")
-
-    parts = F.array(F.lit(-1).cast("long"), *[F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255)) + F.lit(256 * i) for i in range(8)])
-    crowded = members.filter(F.col("n") > bucket_size).select("cell", "fp", "wide", F.explode(parts).alias("part"))
-    first = written(crowded.groupBy("cell", "part").agg(F.min(F.struct("fp", "wide")).alias("c"), F.count("*").alias("n")).filter("n > 1").drop("n"), "sample-centres")
-    joined = keyed_join(crowded, first, ["cell", "part"], "inner", first.count(), F.col("fp"))
-    bits = sum((F.bit_count(F.get("wide", F.lit(i)).bitwiseXOR(F.get("c.wide", F.lit(i)))) for i in range(LANES)), F.lit(0))
-    far = joined.filter((F.col("fp") != F.col("c.fp")) & (bits <= most)).select(F.col("fp").alias("a"), F.col("c.fp").alias("b"))
-    return close.unionByName(far)
+                root = _roots(np.bitwise_count(wide[:, None] ^ wide[None, :]).sum(axis=2, dtype=np.int64) <= most)
+                rows += [(cell, n, fps[i], fps[r], None) for i, r in enumerate(root.tolist()) if r != i]
+                for r in np.unique(root):
+                    rows += [(cell, n, fps[i], fps[i], wide[i].view(np.int64).tolist()) for i in np.flatnonzero(root == r)[:SPOKESMEN]]
+            yield pd.DataFrame(rows, columns=["cell", "n", "a", "b", "wide"])
+
+    def compared(rows: DataFrame, *keys: Column) -> DataFrame:
+        """Links (a <> b), and of each set of linked members the first few (a = b), of rows with equal cells and keys."""
+        named = [k.alias(f"_key{i}") for i, k in enumerate(keys)]
+        groups = rows.select("cell", "n", "fp", "wide", *named).groupBy("cell", "n", *[f"_key{i}" for i in range(len(keys))])
+        found = groups.agg(F.sort_array(F.collect_list(F.struct("fp", "wide"))).alias("found")).select("cell", "n", "found")
+        return found.mapInPandas(compare, "cell long, n long, a long, b long, wide array<long>")
+
+    def links(found: DataFrame) -> DataFrame:
+        return found.filter("a <> b").select("a", "b")
+
+    def hand(*by: Column | str) -> Column:
+        """The hand of about three quarters of bucket_size into which a member is dealt."""
+        return F.pmod(F.xxhash64("cell", "fp", *by), F.ceil(F.col("n") * 4 / (3 * bucket_size)))
+
+    every = [links(compared(members.filter(F.col("n") <= bucket_size)))]
+    crowded, unlike, turn = members.filter(F.col("n") > bucket_size), [], 0
+    while not crowded.isEmpty():
+        found = written(compared(crowded, hand(F.lit(turn))), "hands")
+        left = found.filter("a = b").select("cell", F.col("n").alias("before"), F.col("a").alias("fp"), "wide")
+        sizes = written(left.groupBy("cell").agg(F.count("*").alias("n")), "hand-cells")
+        left = written(keyed_join(left, sizes, ["cell"], "inner", sizes.count(), F.col("fp")), "hand-members")
+        many = left.filter(F.col("n") > bucket_size)
+        every += [links(found), links(compared(left.filter(F.col("n") <= bucket_size)))]
+        unlike.append(many.filter("2 * n > before").drop("before"))
+        crowded, turn = many.filter("2 * n <= before").drop("before"), turn + 1
+
+    parts = F.array(*[F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255)) + F.lit(256 * i) for i in range(8)])
+    for rows in unlike:
+        parted = rows.select("cell", "fp", "wide", F.explode(parts).alias("part"))
+        sizes = written(parted.groupBy("cell", "part").agg(F.count("*").alias("n")).filter("n > 1"), "parts")
+        shared = keyed_join(parted, sizes, ["cell", "part"], "inner", sizes.count(), F.col("fp"))
+        every.append(links(compared(shared, F.col("part"), F.when(F.col("n") > bucket_size, hand("part")).otherwise(0))))
+    return reduce(DataFrame.unionByName, every)
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
