@@ -306,3 +306,31 @@ def test_quality(spark):
     got = {x.doc_id: x for x in quality.score(docs, quality.fit(docs, labels)).collect()}
     assert sum(got[i].predicted == i % 2 for i in range(200, 300)) >= 95 and len(got) == 301
     assert quality.score(docs, quality.fit(docs.limit(0), labels)).count() == 301
+
+
+def test_crowded_near_copies_stay_together(spark):
+    """Two large groups of near copies, whose sample cells are all crowded, and unlike texts between them."""
+    r = random.Random(29)
+    bases = [[f"{c}{r.randrange(4000)}" for _ in range(300)] for c in "ab"]
+    texts = []
+    for i in range(90):
+        words = list(bases[i % 2])
+        for at in r.sample(range(300), 2):
+            words[at] = f"new{i}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"c{r.randrange(4000)}" for _ in range(100)) for _ in range(5)]
+    rows = simhash.sketches(table(spark, texts))
+    found = simhash.similar_links(rows.select("fp", "wide", "cells"), 0.8, bucket_size=8)
+    root = {x.fp: x.fp for x in rows.select("fp").collect()}
+
+    def top(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for link in found.collect():
+        a, b = sorted((top(link.a), top(link.b)))
+        root[b] = a
+    of = {x.doc_id: top(x.fp) for x in rows.select("doc_id", "fp").collect()}
+    assert len({of[i] for i in range(0, 90, 2)}) == len({of[i] for i in range(1, 90, 2)}) == 1
+    assert len(set(of.values())) == 7
