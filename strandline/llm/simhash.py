@@ -9,8 +9,8 @@ crowded bucket are dealt anew by the points one flip away from them, outside the
 flips share such a point, and no point has more than 65 neighbours, so no pair is missed and no group grows.
 
 Sets of shingles with a Jaccard similarity of 0.8 differ in about ten bits of 64, too many to cover: 2**(radius+1)
-tables. Near copies at such a similarity are therefore sought by samples besides: texts that agree in one of 24 samples
-of a few shingles are compared by SimHash fingerprints of 256 bits.
+tables. Near copies at such a similarity are therefore proposed by samples: texts that agree in one of 24 samples of a
+few shingles are compared by SimHash fingerprints of 256 bits. Each proposed link is then verified by the two sets.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .arrow import map_rows
 from .components import connected_components
-from .shared import keyed_join, written
+from .shared import dropped, keyed_join, written
 
 #: Distinct fingerprints of a bucket that are compared in one row; larger buckets are dealt by flips.
 BUCKET_SIZE = 64
@@ -85,6 +85,21 @@ def _roots(near: np.ndarray) -> np.ndarray:
         root = low
 
 
+def _trees(near: np.ndarray) -> list[tuple[int, int]]:
+    """Links out of near, from each member to one next to it, that join the members of a small group as all of them would."""
+    left, links = np.ones(len(near), bool), []
+    for first in range(len(near)):
+        if not left[first]:
+            continue
+        left[first], found = False, [first]
+        for at in found:
+            new = np.flatnonzero(near[at] & left)
+            left[new] = False
+            links += [(i, at) for i in new.tolist()]
+            found += new.tolist()
+    return links
+
+
 def _stars(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links that join the members of a small bucket as all their links within radius would."""
     root = _roots(np.bitwise_count((fps[:, None] ^ fps[None, :]).view(np.uint64)) <= radius)
@@ -197,35 +212,51 @@ def sample_cells(hashes: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5) -> DataFrame:
-    """(doc_id, fp, wide, cells) for each row of docs: fp is the first of the wide fingerprint's numbers."""
+    """(doc_id, fp, wide, cells, shingles) for each row of docs: fp is a hash of the whole set of shingles."""
+    import xxhash
+
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
         def run(given):
             for i, t in given:
                 hashes = shingle_hashes(t, shingle_words)
-                wide = wide_fingerprint(hashes).tolist()
-                yield i, wide[0], wide, sample_cells(hashes)
+                own = int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 42)).view(np.int64))
+                yield i, own, wide_fingerprint(hashes), sample_cells(hashes), hashes.view(np.int64)
 
         return run
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_rows(rows, make, f"doc_id {kind}, fp long, wide array<long>, cells array<long>")
+    return map_rows(rows, make, f"doc_id {kind}, fp long, wide array<long>, cells array<long>, shingles array<long>")
 
 
 def allowed_bits(similarity: float) -> int:
-    """Bits in which the wide fingerprints of equally large sets of that similarity differ, and one standard deviation."""
+    """Bits in which the wide fingerprints of equally large sets of that similarity differ, and three standard deviations."""
     apart = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
-    return int(64 * LANES * apart + (64 * LANES * apart * (1 - apart)) ** 0.5)
+    return int(64 * LANES * apart + 3 * (64 * LANES * apart * (1 - apart)) ** 0.5)
+
+
+def verified(links: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """The links (a, b), a > b, between sets whose Jaccard similarity is similarity or more. sets: fp, shingles; each fp once."""
+    pairs = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "proposed-links")
+    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    asked = written(sets.select("fp", "shingles").join(ends, "fp", "left_semi"), "asked-sets")
+    both = pairs.join(asked.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(asked.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
+    found = written(common.filter(F.col("common") + 1e-9 >= similarity * (F.col("sizes") - F.col("common"))).select("a", "b"), "verified-links")
+    dropped(asked)
+    return found
 
 
 def similar_links(distinct: DataFrame, similarity: float = 0.8, bucket_size: int = BUCKET_SIZE) -> DataFrame:
-    """(a, b): links between fingerprints that share a sample and whose wide fingerprints are as close as the similarity asks.
+    """(a, b): links between sets that share a sample and whose wide fingerprints are as close as the similarity asks.
+
+    These are proposals, to be verified, and not all there are.
 
     distinct: fp, wide, cells. All members of a cell of at most bucket_size are compared. Those of a crowded cell are dealt
     into hands of about that size, by chance and anew in each cell; of each set that a hand links, SPOKESMEN members stand
     for it in the next turn, until the cell is small. A cell whose members do not halve in a turn holds unlike texts: those
-    that agree in a byte of fp, for each of its eight bytes, are compared, in hands where they are many.
+    that agree in a byte of the first 64 bits, for each of its eight bytes, are compared, in hands where they are many.
     """
     most = allowed_bits(similarity)
     entries = distinct.select(F.explode("cells").alias("cell"), "fp", "wide")
@@ -238,8 +269,9 @@ def similar_links(distinct: DataFrame, similarity: float = 0.8, bucket_size: int
             for cell, n, group in zip(pdf["cell"].tolist(), pdf["n"].tolist(), pdf["found"], strict=True):
                 fps = [int(x["fp"]) for x in group]
                 wide = np.array([x["wide"].tolist() for x in group], np.int64).view(np.uint64)
-                root = _roots(np.bitwise_count(wide[:, None] ^ wide[None, :]).sum(axis=2, dtype=np.int64) <= most)
-                rows += [(cell, n, fps[i], fps[r], None) for i, r in enumerate(root.tolist()) if r != i]
+                near = np.bitwise_count(wide[:, None] ^ wide[None, :]).sum(axis=2, dtype=np.int64) <= most
+                root = _roots(near)
+                rows += [(cell, n, fps[i], fps[j], None) for i, j in _trees(near)]
                 for r in np.unique(root):
                     rows += [(cell, n, fps[i], fps[i], wide[i].view(np.int64).tolist()) for i in np.flatnonzero(root == r)[:SPOKESMEN]]
             yield pd.DataFrame(rows, columns=["cell", "n", "a", "b", "wide"])
@@ -270,7 +302,7 @@ def similar_links(distinct: DataFrame, similarity: float = 0.8, bucket_size: int
         unlike.append(many.filter("2 * n > before").drop("before"))
         crowded, turn = many.filter("2 * n <= before").drop("before"), turn + 1
 
-    parts = F.array(*[F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255)) + F.lit(256 * i) for i in range(8)])
+    parts = F.array(*[F.shiftrightunsigned(F.element_at("wide", 1), 8 * i).bitwiseAND(F.lit(255)) + F.lit(256 * i) for i in range(8)])
     for rows in unlike:
         parted = rows.select("cell", "fp", "wide", F.explode(parts).alias("part"))
         sizes = written(parted.groupBy("cell", "part").agg(F.count("*").alias("n")).filter("n > 1"), "parts")
@@ -279,20 +311,22 @@ def similar_links(distinct: DataFrame, similarity: float = 0.8, bucket_size: int
     return reduce(DataFrame.unionByName, every)
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for each row of docs whose set of shingles is nearly another's.
 
-    Links join fingerprints within radius bits, by covering, and those that similar_links finds. Texts without words are
+    Links that similar_links proposes count where the sets of shingles are as similar as asked. Texts without words are
     alike. Repeated rows give repeated rows; an empty table gives none; null ids never name a component that has others.
     """
-    rows = written(sketches(docs, id_col, text_col, shingle_words), "sketches")
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("wide", "cells")).alias("s")).select("fp", "first_id", "s.wide", "s.cells"), "distinct-sketches")
-    links = fingerprint_links(distinct.select("fp"), radius).unionByName(similar_links(distinct, similarity))
-    nodes = connected_components(links)
+    rows = written(sketches(docs, id_col, text_col, shingle_words).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("first_row")), "distinct-sketches")
+    n = distinct.count()
+    again = keyed_join(rows.select("fp", "row"), distinct.select("fp", "first_row"), ["fp"], "inner", n, F.col("row")).filter("row <> first_row")
+    sets = rows.join(written(again.select("row"), "repeated-sets"), "row", "left_anti")
+    nodes = connected_components(verified(similar_links(sets.select("fp", "wide", "cells"), similarity), sets, similarity))
     linked = distinct.select("fp", "first_id").join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = written(linked.join(names, "root").select("fp", "component_id"), "named-fingerprints")
-    return keyed_join(rows.select("doc_id", "fp"), named, ["fp"], "left", named.count(), F.monotonically_increasing_id()).select("doc_id", "component_id")
+    named = written(linked.join(names, "root").select("fp", "component_id"), "named-sets")
+    return keyed_join(rows.select("doc_id", "fp"), named, ["fp"], "left", n, F.monotonically_increasing_id()).select("doc_id", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:

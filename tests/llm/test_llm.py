@@ -334,3 +334,24 @@ def test_crowded_near_copies_stay_together(spark):
     of = {x.doc_id: top(x.fp) for x in rows.select("doc_id", "fp").collect()}
     assert len({of[i] for i in range(0, 90, 2)}) == len({of[i] for i in range(1, 90, 2)}) == 1
     assert len(set(of.values())) == 7
+
+
+def jaccard(a, b):
+    a, b = (set(simhash.shingle_hashes(t).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_links_are_verified(spark):
+    """Texts whose sets of shingles have a similarity of 0.65 to 0.79 never link, those of 0.8 or more do."""
+    r = random.Random(41)
+    texts = []
+    for k in range(40):
+        words = [f"w{r.randrange(9000)}" for _ in range(200)]
+        other = list(words)
+        for at in range(30, 30 + 12 * (3 + k % 3), 12):  # each changed word takes five shingles of 196
+            other[at] = f"new{k}"
+        texts += [" ".join(words), " ".join(other)]
+    near = [jaccard(texts[i], texts[i + 1]) >= 0.8 for i in range(0, 80, 2)]
+    assert min(jaccard(texts[i], texts[i + 1]) for i in range(0, 80, 2)) > 0.65 and 10 < sum(near) < 30
+    of = dict(collected(simhash.near_components(table(spark, texts)), "doc_id", "component_id"))
+    assert not [i for i, n in enumerate(near) if not n and of[2 * i] == of[2 * i + 1]]
