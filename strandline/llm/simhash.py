@@ -11,6 +11,12 @@ flips share such a point, and no point has more than 65 neighbours, so no pair i
 Sets of shingles with a Jaccard similarity of 0.8 differ in about ten bits of 64, too many to cover: 2**(radius+1)
 tables. Near copies at such a similarity are therefore proposed by samples: texts that agree in one of 24 samples of a
 few shingles are compared by SimHash fingerprints of 256 bits. Each proposed link is then verified by the two sets.
+
+The samples only spare work; what they miss is found by an exact join. In any fixed order of the shingles, two sets of a
+similarity t share one of the first n - ceil(t n) + 1 of each set's n shingles (prefix filter, Chaudhuri and others, 2006),
+and where they first agree at places i and j no more than min(n - i, m - j) can be common. All pairs of a cell, the sets
+that hold one shingle in their prefix, are compared where these bounds and the sizes leave it open and the samples have not
+joined the two. Shingles frequent in a sample of the sets come last in the order, so that cells are small.
 """
 
 from __future__ import annotations
@@ -20,10 +26,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_rows
+from .arrow import map_rows, slices
 from .components import connected_components
 from .shared import dropped, keyed_join, written
 
@@ -31,6 +38,10 @@ from .shared import dropped, keyed_join, written
 BUCKET_SIZE = 64
 #: Numbers of 64 bits in a wide fingerprint; samples of a text, and shingles expected in each at least.
 LANES, SAMPLES, SAMPLE = 4, 24, 4
+#: Sets in which frequent shingles are counted, sets that hold a frequent one at least, frequent shingles at most.
+COUNTED, FREQUENT, FREQUENTS = 10_000, 3, 200_000
+#: Members of a cell that a block of the exact join holds.
+BLOCK = 1000
 #: Members of a linked set that stand for it when the rest of a crowded cell is searched.
 SPOKESMEN = 4
 
@@ -311,18 +322,82 @@ def similar_links(distinct: DataFrame, similarity: float = 0.8, bucket_size: int
     return reduce(DataFrame.unionByName, every)
 
 
+def frequent_shingles(sets: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (ascending as signed numbers) that many of the n sets hold, and their counts, in about COUNTED of the sets.
+
+    They only order the shingles: the exact join finds the same pairs whatever is frequent.
+    """
+    some = sets.filter(F.pmod(F.xxhash64("fp"), F.lit(max(1, n // COUNTED))) == 0)
+    counts = some.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
+    rows = counts.orderBy(F.desc("n"), "s").limit(FREQUENTS).collect()  # two numbers each
+    found = np.array(sorted((r.s, r.n) for r in rows), np.int64).reshape(-1, 2)
+    return found[:, 0].copy(), found[:, 1].copy()
+
+
+def prefixes(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], similarity: float = 0.8) -> DataFrame:
+    """(cell, fp, at, size): the first shingles of each set, their places from 0, and the number of shingles in the set."""
+    target = pa.schema([("cell", pa.int64()), ("fp", pa.int64()), ("at", pa.int32()), ("size", pa.int32())])
+    shared = sets.sparkSession.sparkContext.broadcast(frequent)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = shared.value
+        for batch in slices(batches):
+            cells, fps, ats, sizes = [], [], [], []
+            shingles = batch.column(1)
+            bounds, flat = shingles.offsets.to_numpy(), shingles.values.to_numpy()
+            for fp, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if a == b:
+                    continue
+                own, size = flat[a:b], b - a
+                first = size - int(np.ceil(similarity * size - 1e-9)) + 1
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    often = np.where(keys[at] == own, counts[at], 0)
+                    own = own[np.lexsort((own, often))]
+                else:
+                    own = np.sort(own)
+                cells.append(own[:first])
+                fps.append(np.full(first, fp, np.int64))
+                ats.append(np.arange(first, dtype=np.int32))
+                sizes.append(np.full(first, size, np.int32))
+            if cells:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (cells, fps, ats, sizes)], schema=target)
+
+    return sets.select("fp", "shingles").mapInArrow(apply, "cell long, fp long, at int, size int")
+
+
+def exact_pairs(sets: DataFrame, nodes: DataFrame, n: int, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """(a, b): all pairs of different roots whose sets may be as similar as asked, to be verified.
+
+    sets: fp, shingles, n rows; nodes: node, root of those already joined, whose pairs within a root are left out.
+    """
+    firsts = written(prefixes(sets, frequent_shingles(sets, n), similarity), "prefixes")
+    rooted = keyed_join(firsts, nodes.withColumnRenamed("node", "fp"), ["fp"], "left", nodes.count(), F.col("cell")).withColumn("root", F.coalesce("root", "fp"))
+    cells = rooted.groupBy("cell").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    cells = written(cells.select("cell", "n"), "mixed-cells")
+    members = written(keyed_join(rooted, cells, ["cell"], "inner", cells.count(), F.col("fp")), "cell-members")
+    dropped(firsts)
+    blocks = F.ceil(F.col("n") / block)
+    x = members.select("cell", F.pmod(F.xxhash64("fp"), blocks).alias("block"), F.col("fp").alias("a"), F.col("root").alias("ra"), F.col("at").alias("i"), F.col("size").alias("m"))
+    y = members.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.col("fp").alias("b"), F.col("root").alias("rb"), F.col("at").alias("j"), F.col("size").alias("k"))
+    open_ = (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least(F.col("m") - F.col("i"), F.col("k") - F.col("j")) + 1e-9 >= similarity / (1 + similarity) * (F.col("m") + F.col("k")))
+    return x.join(y, ["cell", "block"]).filter(open_).select("a", "b").distinct()
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for each row of docs whose set of shingles is nearly another's.
 
-    Links that similar_links proposes count where the sets of shingles are as similar as asked. Texts without words are
-    alike. Repeated rows give repeated rows; an empty table gives none; null ids never name a component that has others.
+    Two texts link where the Jaccard similarity of their sets is as high as asked: no such pair is missed, and no other
+    links. Texts without words are alike. Repeated rows give repeated rows; an empty table gives none; null ids never name a component that has others.
     """
     rows = written(sketches(docs, id_col, text_col, shingle_words).withColumn("row", F.monotonically_increasing_id()), "sketches")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("first_row")), "distinct-sketches")
     n = distinct.count()
     again = keyed_join(rows.select("fp", "row"), distinct.select("fp", "first_row"), ["fp"], "inner", n, F.col("row")).filter("row <> first_row")
     sets = rows.join(written(again.select("row"), "repeated-sets"), "row", "left_anti")
-    nodes = connected_components(verified(similar_links(sets.select("fp", "wide", "cells"), similarity), sets, similarity))
+    sure = connected_components(verified(similar_links(sets.select("fp", "wide", "cells"), similarity), sets, similarity))
+    more = verified(exact_pairs(sets, sure, n, similarity), sets, similarity)
+    nodes = connected_components(sure.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     linked = distinct.select("fp", "first_id").join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = written(linked.join(names, "root").select("fp", "component_id"), "named-sets")

@@ -355,3 +355,42 @@ def test_near_links_are_verified(spark):
     assert min(jaccard(texts[i], texts[i + 1]) for i in range(0, 80, 2)) > 0.65 and 10 < sum(near) < 30
     of = dict(collected(simhash.near_components(table(spark, texts)), "doc_id", "component_id"))
     assert not [i for i, n in enumerate(near) if not n and of[2 * i] == of[2 * i + 1]]
+
+
+def plain_near(texts, similarity=0.8):
+    """The smallest index that each text reaches over all pairs of that similarity."""
+    sets = [set(simhash.shingle_hashes(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or (a and b and 5 * len(a & b) >= 4 * len(a | b)):
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    return root
+
+
+def test_near_copies_in_crowded_cells_of_unlike_texts(spark):
+    """Documents of one template, mostly of a similarity below 0.8, with a few near pairs among them: all pairs are found."""
+    r = random.Random(43)
+    frame = [f"t{r.randrange(9000)}" for _ in range(80)]
+    texts = []
+    for k in range(220):
+        own = [f"w{r.randrange(9000)}" for _ in range(20)]
+        texts.append(" ".join(frame + own))
+        if k % 6 == 0:  # a near copy: one own word more
+            texts.append(" ".join([*frame, *own, f"x{k}"]))
+        if k % 6 == 1:  # near it, or nearly so
+            texts.append(" ".join(["y", *frame[4:], *own[: 20 - k % 9]]))
+    want = plain_near(texts)
+    assert len(set(want)) > 150
+    docs = table(spark, texts)
+    assert dict(collected(simhash.near_components(docs), "doc_id", "component_id")) == dict(enumerate(want))
+    # the join alone, without what the samples find, in small blocks and in large ones
+    sets = simhash.sketches(docs).groupBy("fp").agg(F.first("shingles").alias("shingles")).cache()
+    shingles = {x.fp: set(x.shingles) for x in sets.collect()}
+    fps = sorted(shingles)
+    near = {(a, b) for a in fps for b in fps if a > b and 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b])}
+    none = spark.createDataFrame([], "node long, root long")
+    for block in (7, 1000):
+        assert {(x.a, x.b) for x in simhash.verified(simhash.exact_pairs(sets, none, len(fps), 0.8, block), sets).collect()} == near
