@@ -394,3 +394,15 @@ def test_near_copies_in_crowded_cells_of_unlike_texts(spark):
     none = spark.createDataFrame([], "node long, root long")
     for block in (7, 1000):
         assert {(x.a, x.b) for x in simhash.verified(simhash.exact_pairs(sets, none, len(fps), 0.8, block), sets).collect()} == near
+
+
+def test_short_near_copies(spark):
+    """Pairs of 8 to 12 words, one with a word more at an end: 4/5, 5/6, 6/7 and 7/8 shingles; and one of 3/4, which is less."""
+    r = random.Random(47)
+    texts = []
+    for k in range(30):
+        words = [f"w{r.randrange(9000)}" for _ in range(7 + k % 5)]
+        texts += [" ".join(words), " ".join([*words, "more"] if k % 2 else ["more", *words])]
+    want = plain_near(texts)
+    assert [want[i + 1] == i for i in range(0, 60, 2)] == [k % 5 > 0 for k in range(30)]
+    assert dict(collected(simhash.near_components(table(spark, texts)), "doc_id", "component_id")) == dict(enumerate(want))
