@@ -93,7 +93,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns.
+
+    Rows go by id and text, so that others of a null or repeated id stay. Whether a row stays depends on these two alone.
+    """
     groups = exact_groups(docs, id_col, text_col)
-    gone = written(groups.filter("not kept").select(F.col("doc_id").alias("_gone")), "dropped-rows").distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    gone = written(groups.filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha256")), "dropped-rows").distinct()
+    same = docs[id_col].eqNullSafe(gone["_gone"]) & (F.sha2(normalised(docs[text_col]), 256) == gone["_gone_sha256"])
+    return docs.join(gone, same, "left_anti")

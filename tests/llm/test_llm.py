@@ -406,3 +406,9 @@ def test_short_near_copies(spark):
     want = plain_near(texts)
     assert [want[i + 1] == i for i in range(0, 60, 2)] == [k % 5 > 0 for k in range(30)]
     assert dict(collected(simhash.near_components(table(spark, texts)), "doc_id", "component_id")) == dict(enumerate(want))
+
+
+def test_exact_dedup_keeps_other_texts_of_an_id(spark):
+    """A null id and a repeated one, each with a copy of another's text and with texts of its own."""
+    docs = table(spark, ["a", "A", "own", None, "b", "B", "else"], [None, 5, None, None, 3, 7, 3])
+    assert collected(exact_dedup.exact_dedup(docs), "doc_id", "text") == sorted([(5, "A"), (None, "own"), (None, None), (7, "B"), (3, "else")], key=str)
