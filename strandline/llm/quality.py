@@ -2,7 +2,7 @@
 
 One classifier sees the text's content (hashed words and a few ratios), the other what is known about the page without
 reading it (source, language, length). Both start from the labelled documents. In each round either one
-labels the unlabelled documents it is surest of, in the classes' own proportion, for the other to learn from. At the end each view is
+scores all unlabelled documents and labels those it is surest of, in the classes' own proportion, for the other to learn from. At the end each view is
 calibrated on labelled documents that neither learnt from, and a small logistic model weighs the two.
 """
 
@@ -14,14 +14,17 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_rows
+from .shared import dropped, keyed_join, written
 from .toxicity import held_out, lowest_hashes
 
-#: Labelled and unlabelled documents that a fit uses at most, and their longest text: the bound of what the driver gathers.
-FIT_LABELLED, FIT_POOL, FIT_CHARS = 3000, 3000, 20_000
+#: Labelled documents that a fit uses at most, and their longest text. Of the unlabelled the driver gathers those that a view
+#: labels: the features of at most 2 * ROUNDS * CONFIDENT.
+FIT_LABELLED, FIT_CHARS = 3000, 20_000
 ROUNDS, CONFIDENT = 4, 150
 TEXT_BUCKETS, PAGE_BUCKETS = 1 << 14, 1 << 10
 THRESHOLD = 0.5
@@ -101,7 +104,65 @@ def _dense(*columns: np.ndarray) -> Stack:
     return Stack((np.arange(width), np.array([*values, 1.0])) for values in zip(*columns, strict=True))
 
 
-def co_train(labelled: list[tuple[Row, int]], pool: list[Row], rounds: int = ROUNDS, confident: int = CONFIDENT) -> CoTrained:
+class Unlabelled:
+    """The features of all unlabelled documents, in a table of the shared folder that each round scans."""
+
+    def __init__(self, docs: DataFrame, marked: DataFrame):
+        cols = ["text", "lang", "source", "n_chars"]
+        free = keyed_join(docs.select("doc_id", *cols), marked.select("doc_id"), ["doc_id"], "left_anti", marked.count(), F.xxhash64("text"))
+
+        def make():
+            def run(given: Iterator[tuple]) -> Iterator[tuple]:
+                for key, *row in given:
+                    (bucket, value), (page, _) = text_features(_row(row)), page_features(_row(row))
+                    yield key, bucket.astype(np.int32), value.astype(np.float32), page.astype(np.int32)
+
+            return run
+
+        keyed = free.select(F.xxhash64("doc_id", *cols).alias("key"), *cols)
+        self.rows = written(map_rows(keyed, make, "key long, bucket array<int>, value array<float>, page array<int>"), "unlabelled")
+
+    def surest(self, weights: list[np.ndarray], taken: list[set[int]], low: int, high: int) -> list[tuple[list[int], list[int]]]:
+        """For each view the keys of the low documents that it scores lowest and of the high ones that it scores highest, but
+        those taken from it. A task sends no more than that on."""
+        target = pa.schema([("view", pa.int32()), ("high", pa.bool_()), ("z", pa.float64()), ("key", pa.int64())])
+        shared = self.rows.sparkSession.sparkContext.broadcast((weights, [np.array(sorted(t), np.int64) for t in taken]))
+
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weights, taken = shared.value
+            best = {(v, end): (np.zeros(0), np.zeros(0, np.int64)) for v in (0, 1) for end in (False, True)}
+            for batch in batches:
+                keys = batch.column(0).to_numpy()
+                for v in (0, 1):
+                    bucket = batch.column(1 if v == 0 else 3)
+                    bounds = bucket.offsets.to_numpy()
+                    flat = slice(int(bounds[0]), int(bounds[-1]))
+                    logit = weights[v][bucket.values.to_numpy()[flat]]
+                    if v == 0:
+                        logit = logit * batch.column(2).values.to_numpy()[flat]
+                    z = np.bincount(np.repeat(np.arange(len(keys)), np.diff(bounds)), logit, len(keys))
+                    open_ = ~np.isin(keys, taken[v])
+                    for end, n in ((False, low), (True, high)):
+                        zs, ks = (np.concatenate(x) for x in zip(best[v, end], (z[open_], keys[open_]), strict=True))
+                        order = np.lexsort((ks, -zs if end else zs))[:n]
+                        best[v, end] = zs[order], ks[order]
+            for (v, end), (zs, ks) in best.items():
+                columns = [pa.array(np.full(len(ks), v, np.int32)), pa.array(np.full(len(ks), end)), pa.array(zs), pa.array(ks)]
+                yield pa.RecordBatch.from_arrays(columns, schema=target)
+
+        found = written(self.rows.mapInArrow(apply, "view int, high boolean, z double, key long"), "surest")
+        lows = [found.filter((F.col("view") == v) & ~F.col("high")).orderBy("z", "key").limit(low).collect() for v in (0, 1)]
+        highs = [found.filter((F.col("view") == v) & F.col("high")).orderBy(F.desc("z"), "key").limit(high).collect() for v in (0, 1)]
+        dropped(found)
+        return [([r.key for r in a], [r.key for r in b]) for a, b in zip(lows, highs, strict=True)]
+
+    def features(self, keys: set[int]) -> dict[int, list[Features]]:
+        """Both views' features of the documents with these keys."""
+        rows = self.rows.filter(F.col("key").isin(sorted(keys))).dropDuplicates(["key"]).collect() if keys else []
+        return {r.key: [(np.array(r.bucket, np.int64), np.array(r.value)), (np.array(r.page, np.int64), np.ones(len(r.page)))] for r in rows}
+
+
+def co_train(labelled: list[tuple[Row, int]], pool: Unlabelled, rounds: int = ROUNDS, confident: int = CONFIDENT) -> CoTrained:
     """Fit on three quarters of the labelled rows and the pool, calibrate on the last quarter."""
     learn = [x for i, x in enumerate(labelled) if i % 4 != 3]
     rest = [x for i, x in enumerate(labelled) if i % 4 == 3]
@@ -111,23 +172,21 @@ def co_train(labelled: list[tuple[Row, int]], pool: list[Row], rounds: int = ROU
         return CoTrained(np.zeros(TEXT_BUCKETS), np.zeros(PAGE_BUCKETS), weights=(0.0, 0.0, float(np.log(level / (1 - level)))))
     views = [(text_features, TEXT_BUCKETS), (page_features, PAGE_BUCKETS)]
     own = [[f(r) for r, _ in learn] for f, _ in views]
-    free = [Stack(map(f, pool)) for f, _ in views]
-    pooled = [[f(r) for r in pool] for f, _ in views]
+    pooled: dict[int, list[Features]] = {}
     given: list[dict[int, float]] = [{}, {}]  # pseudo-labels of the pool, by the view that learns from them
     weights = [np.zeros(size) for _, size in views]
     for turn in range(rounds + 1):
         for v, (_, size) in enumerate(views):
             extra = sorted(given[v])
-            weights[v] = logistic(Stack([*own[v], *[pooled[v][i] for i in extra]]), np.concatenate((y, [given[v][i] for i in extra])), size)
-        if turn == rounds or not pool:
+            weights[v] = logistic(Stack([*own[v], *[pooled[i][v] for i in extra]]), np.concatenate((y, [given[v][i] for i in extra])), size)
+        if turn == rounds:
             break
-        for v in (0, 1):
-            order = np.argsort(free[v].logits(weights[v]), kind="stable")
-            good = round(confident * y.mean())
-            taken = given[1 - v]
-            low = [i for i in order.tolist() if i not in taken][: confident - good]
-            high = [i for i in order[::-1].tolist() if i not in taken][:good]
-            taken.update(dict.fromkeys(low, 0.0) | dict.fromkeys(high, 1.0))
+        good = round(confident * y.mean())
+        taken = [set(given[1 - v]) for v in (0, 1)]
+        found = pool.surest(weights, taken, confident - good, good)
+        pooled |= pool.features({i for ends in found for keys in ends for i in keys} - set(pooled))
+        for v, (low, high) in enumerate(found):
+            given[1 - v].update(dict.fromkeys(low, 0.0) | dict.fromkeys(high, 1.0))
     model = CoTrained(*weights)
     if rest and 0 < (t := np.array([q for _, q in rest], float)).mean() < 1:
         rows = [r for r, _ in rest]
@@ -143,16 +202,14 @@ def _row(r) -> Row:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
-    """Co-train on the documents whose ids hash lowest: FIT_LABELLED with labels that are not held out, FIT_POOL without."""
+    """Co-train on FIT_LABELLED documents whose ids hash lowest of those with labels that are not held out, and on all
+    documents without labels."""
     cols = ["text", "lang", "source", "n_chars"]
     marked = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = F.broadcast(lowest_hashes(marked.filter(~held_out(F.col("doc_id"))), 2 * FIT_LABELLED))  # at most so many rows
     short = docs.select("doc_id", *cols).filter(F.length("text") <= FIT_CHARS)
     learn = _first(short.join(known, "doc_id").collect(), FIT_LABELLED)
-    unmarked = docs.select("doc_id").join(marked.select("doc_id"), "doc_id", "left_anti").distinct()
-    free = F.broadcast(lowest_hashes(unmarked.filter(F.col("doc_id").isNotNull()), 2 * FIT_POOL))
-    pool = _first(short.join(free, "doc_id").collect(), FIT_POOL)
-    return co_train([(_row([r[c] for c in cols]), int(r.quality)) for r in learn], [_row([r[c] for c in cols]) for r in pool])
+    return co_train([(_row([r[c] for c in cols]), int(r.quality)) for r in learn], Unlabelled(docs, marked))
 
 
 def _first(rows: list, n: int) -> list:

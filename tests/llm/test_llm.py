@@ -412,3 +412,25 @@ def test_exact_dedup_keeps_other_texts_of_an_id(spark):
     """A null id and a repeated one, each with a copy of another's text and with texts of its own."""
     docs = table(spark, ["a", "A", "own", None, "b", "B", "else"], [None, 5, None, None, 3, 7, 3])
     assert collected(exact_dedup.exact_dedup(docs), "doc_id", "text") == sorted([(5, "A"), (None, "own"), (None, None), (7, "B"), (3, "else")], key=str)
+
+
+def test_quality_scores_all_unlabelled(spark):
+    """The surest of all unlabelled documents are taken, a very long one and one with a null id among them."""
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["good", "bad", "of", "text", "x"]) for _ in range(40)) for _ in range(3300)]
+    texts += ["good " * 6000, "bad " * 50]
+    docs = table(spark, texts, [*range(3301), None])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    pool = quality.Unlabelled(docs, labels)
+    assert pool.rows.count() == 3262
+    weight = np.zeros(quality.TEXT_BUCKETS)
+    for word, w in (("good", 1.0), ("bad", -1.0)):
+        weight[zlib.crc32(word.encode()) % (quality.TEXT_BUCKETS - 32)] = w
+    keys = {x.doc_id: x.key for x in docs.select("doc_id", F.xxhash64("doc_id", "text", "lang", "source", "n_chars").alias("key")).collect()}
+    z = {i: quality.Stack([quality.text_features((t, "", "s", 7))]).logits(weight)[0] for i, t in zip([*range(3301), None], texts, strict=True) if i is None or i >= 40}
+    order = sorted(z, key=lambda i: z[i])
+    low, high = pool.surest([weight, np.zeros(quality.PAGE_BUCKETS)], [set(), set()], 1, 1)[0]
+    assert low == [keys[None]] == [keys[order[0]]] and high == [keys[3300]] == [keys[order[-1]]]
+    low, high = pool.surest([weight, np.zeros(quality.PAGE_BUCKETS)], [{*low, *high}, set()], 20, 20)[0]
+    assert z[order[1]] == min(z[i] for i in z if keys[i] in low) and not {keys[None], keys[3300]} & {*low, *high} and len(low) == len(high) == 20
+    assert set(pool.features({keys[3300]})) == {keys[3300]}
