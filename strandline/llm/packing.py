@@ -2,8 +2,8 @@
 
 Each task packs its documents in the order they come. What a document has over whole windows goes into the fill level
 for which the sum of the squared counts of partially filled windows is least afterwards (Csirik and others, 2006); the
-counts are one array over the levels. Open windows are few and bounded: when there are too many, and at the end, the
-emptiest are cut up to fill the fullest, so that one at most stays partly filled. That last one is cut at powers of two, the
+counts are one array over the levels. Open windows are bounded: one beyond the bound is cut up to fill the fullest, and at the
+end the emptiest are, so that one at most stays partly filled. That last one is cut at powers of two, the
 lengths that need no padding. Nothing is shuffled, and a task that is run again packs alike.
 """
 
@@ -22,8 +22,8 @@ from .arrow import map_rows
 from .word_tokens import word_tokens
 
 CAPACITY = 4096
-#: Open windows of a task; their ids are all that it keeps: 8 MB at this bound.
-OPEN_WINDOWS = 512
+#: Open windows of a task, half as many as there are levels; their ids are all that it keeps: 32 MB at this bound.
+OPEN_WINDOWS = 2048
 
 Piece = tuple[object, int, bytes, int]  # document, start, ids, tokens of the document
 
@@ -50,21 +50,21 @@ class SumOfSquares:
     def _place(self, piece: Piece) -> None:
         size, n = len(piece[2]) // 4, self.counts
         # a window leaves level h and one enters h + size; at capacity it is complete and counts no more
-        change = 2 * n[size:] - 2 * n[: self.capacity - size + 1]
-        change[-1] = -2 * n[self.capacity - size] - 1
-        usable = n[: self.capacity - size + 1] > 0
-        usable[0] = True  # a new window
-        change[0] = (2 * n[size] if size < self.capacity else 0) - 1
-        change[~usable] = np.iinfo(np.int64).max
-        level = len(change) - 1 - int(np.argmin(change[::-1]))  # of equals the fullest
+        held = np.flatnonzero(n[1 : self.capacity - size + 1]) + 1
+        best, level = (2 * int(n[size]) if size < self.capacity else 0), 0  # a new window
+        if len(held):
+            change = np.where(held + size < self.capacity, 2 * n[held + size] + 1, 0) - 2 * n[held]
+            at = len(held) - 1 - int(np.argmin(change[::-1]))  # of equals the fullest
+            if change[at] <= best:
+                level = int(held[at])
         if level:
             window = self._take(level)
         else:
             window = []
         window.append(piece)
         self._put(level + size, window)
-        if self.open > self.limit:
-            self._settle()
+        while self.open > self.limit:
+            self._merge()
 
     def _take(self, level: int) -> list[Piece]:
         self.counts[level] -= 1
@@ -79,26 +79,26 @@ class SumOfSquares:
             self.open += 1
             self.levels[level].append(window)
 
-    def _settle(self) -> None:
-        """Fill the fullest windows with pieces cut from the emptiest; one partly filled window is left at most."""
-        while self.open > 1:
-            filled = np.flatnonzero(self.counts)
-            high, low = int(filled[-1]), int(filled[0])
-            target = self._take(high)
-            source = self._take(low)
-            gap = self.capacity - high
-            while gap and source:
-                doc, start, ids, total = source.pop()
-                keep = max(0, len(ids) // 4 - gap)
-                target.append((doc, start + keep, ids[4 * keep :], total))
-                gap -= len(ids) // 4 - keep
-                if keep:
-                    source.append((doc, start, ids[: 4 * keep], total))
-            self._put(self.capacity - gap, target)
-            self._put(sum(len(p[2]) for p in source) // 4, source)
+    def _merge(self) -> None:
+        """Fill the fullest window with pieces cut from the emptiest; one window is open less, or complete."""
+        filled = np.flatnonzero(self.counts)
+        high, low = int(filled[-1]), int(filled[0])
+        target = self._take(high)
+        source = self._take(low)
+        gap = self.capacity - high
+        while gap and source:
+            doc, start, ids, total = source.pop()
+            keep = max(0, len(ids) // 4 - gap)
+            target.append((doc, start + keep, ids[4 * keep :], total))
+            gap -= len(ids) // 4 - keep
+            if keep:
+                source.append((doc, start, ids[: 4 * keep], total))
+        self._put(self.capacity - gap, target)
+        self._put(sum(len(p[2]) for p in source) // 4, source)
 
     def finish(self) -> None:
-        self._settle()
+        while self.open > 1:
+            self._merge()
         for window in [w for level in self.levels.values() for w in level]:
             left = sum(len(p[2]) for p in window) // 4
             pieces = window[::-1]
@@ -123,8 +123,8 @@ class SumOfSquares:
         return ready
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = CAPACITY, ids: bool = True) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with ids the ids.
 
     A document is its text's ids and end_id; a null or empty text is end_id alone. Sequences hold capacity tokens but
     for the last few of a task, whose lengths are powers of two. sequence_id counts within a task above the
@@ -142,9 +142,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         def rows(windows: list[list[Piece]], first: int) -> Iterator[tuple]:
             for k, window in enumerate(windows):
                 offset = 0
-                for doc, start, ids, total in window:
-                    yield doc, start, len(ids) // 4, zlib.crc32(ids), total, base + first + k, offset, np.frombuffer(ids, "<u4").astype("<i4")
-                    offset += len(ids) // 4
+                for doc, start, part, total in window:
+                    row = doc, start, len(part) // 4, zlib.crc32(part), total, base + first + k, offset
+                    yield (*row, np.frombuffer(part, "<u4").astype("<i4")) if ids else row
+                    offset += len(part) // 4
 
         def run(given: Iterator[tuple]) -> Iterator[tuple]:
             n = 0
@@ -160,4 +161,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         return run
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_rows(rows, make, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>")
+    return map_rows(rows, make, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * ids)

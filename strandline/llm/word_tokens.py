@@ -13,8 +13,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Words that a worker remembers; it starts anew when they are this many, so memory stays bounded.
-CACHE_WORDS = 120_000
+#: Words that a worker remembers; it starts anew when they are this many, so memory stays bounded (some 250 bytes a word).
+CACHE_WORDS = 500_000
 #: Longer words (in characters) are not remembered.
 CACHE_CHARS = 40
 
@@ -73,10 +73,11 @@ class WordTokens:
 
     def _word(self, word: str) -> bytes:
         if word.isascii():
-            if word.isalpha():
-                return self.parts[word.lower()]
+            low = word.lower()
+            if word.isalpha():  # one entry, under the word itself
+                return self._part(word) if low == word else self.words[low]
             if word[:-1].isalpha() and word[-1] in ",.":
-                return self.parts[word[:-1].lower()] + self.parts[word[-1]]
+                return self.words[low[:-1]] + self.parts[word[-1]]
         if not PLAIN.fullmatch(word) or "<|" in word:
             return self._by_library(word) if word else b""
         return b"".join(map(self.parts.__getitem__, PARTS.findall(word.lower())))
