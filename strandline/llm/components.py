@@ -23,14 +23,17 @@ def connected_components(links: DataFrame) -> DataFrame:
     state = _state(links)
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # the smallest neighbours are tables, so that Spark can split the join's part of a node with very many links
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         large = both.filter("b > a").join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        down = written(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
+        dropped(least)
+        least = written(down.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
         now = _state(after)
-        dropped(links)
+        for old in (links, down, least):
+            dropped(old)
         links = after
         if now == state:
             break

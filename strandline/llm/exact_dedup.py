@@ -1,10 +1,10 @@
 """Exact duplicates by an extendible-hash index that is kept as tables in the shared folder.
 
-The index key of a text is its 64-bit hash. Buckets are prefixes of the key. The directory starts with one bucket;
-while a bucket holds more distinct keys than its capacity, the directory doubles and that bucket is split by the
-next bit, so that crowded prefixes get long addresses and others short ones. Only texts whose key occurs again can
-have a copy: these go to the owner tasks, which hold ranges of the key in its order, chain different texts that share
-a key, and compare whole byte strings. All of it is DataFrame operations.
+The index key of a text is its 64-bit hash. Buckets are prefixes of the key. A directory doubles as long as a bucket holds more
+distinct keys than its capacity: that bucket is split by the next bit, so that crowded prefixes get long addresses and others
+short ones. Each key is placed in its bucket as the directory grows. Only texts whose key occurs again can have a copy: these go to
+the owner tasks of their buckets, which chain different texts that share a key and compare whole byte strings. All of it is
+DataFrame operations.
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, keyed_join, written
+from .shared import keyed_join, written
 
 #: Distinct keys that a bucket holds before it is split.
 BUCKET_KEYS = 4096
-#: Bits of the longest bucket address: the directory has at most 2**MAX_DEPTH slots, which bounds its size.
-MAX_DEPTH = 14
+#: Parts into which the copies of a text are dealt, aggregated in each task, on their way to its owner.
+SALTS = 16
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -29,59 +29,52 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def _prefix(cell: Column, depth: int, max_depth: int) -> Column:
-    return F.shiftright(cell, max_depth - depth)
+def placed(keys: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """keys (a table with a column key, each key once) with bucket and local_depth: the bucket's address is the key's leading
+    local_depth bits.
 
-
-def directory(keys: DataFrame, bucket_keys: int = BUCKET_KEYS, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Slots of the extendible-hash directory for a table of distinct keys: slot, bucket, local_depth.
-
-    A slot is one value of the key's leading max_depth bits, so there are at most 2**max_depth rows.
+    The directory begins at the depth at which buckets would be full if the keys were spread evenly, and doubles until no bucket
+    is overfull.
     """
-    cells = written(keys.groupBy(F.shiftrightunsigned("key", 64 - max_depth).alias("slot")).agg(F.count("*").alias("n")), "cells")
-    left, done = cells, []
-    for depth in range(max_depth + 1):
-        addressed = left.withColumn("bucket", _prefix(F.col("slot"), depth, max_depth))
-        # a table per doubling: what is left of the directory never exceeds its bound, and plans stay short
-        sized = written(addressed.withColumn("held", F.sum("n").over(Window.partitionBy("bucket"))), "directory")
-        settled = (F.col("held") <= bucket_keys) | F.lit(depth == max_depth)
-        done.append(sized.filter(settled).select("slot", "bucket", F.lit(depth).alias("local_depth")))
-        left = sized.filter(~settled).select("slot", "n")
-        if left.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, done)
-
-
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS, max_depth: int = MAX_DEPTH, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    depth = max(0, (keys.count() // bucket_keys).bit_length() - 1)
+    left, done = keys, []
+    while True:
+        bucket = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
+        addressed = left.withColumn("bucket", bucket)
+        sizes = written(addressed.groupBy("bucket").agg(F.count("*").alias("held")), "directory")
+        full = F.col("held") > bucket_keys if depth < 64 else F.lit(False)  # different keys part within 64 bits
+        dealt = written(keyed_join(addressed, sizes, ["bucket"], "inner", "held").withColumn("overfull", full).drop("held"), "bucket-keys")
+        done.append(dealt.filter("NOT overfull").drop("overfull").withColumn("local_depth", F.lit(depth)))
+        left = dealt.filter("overfull").drop("overfull", "bucket")
+        if not left.head(1):
+            return reduce(DataFrame.unionByName, done)
+        depth += 1
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, bucket, local_depth, chain.
 
     Of equal texts the row with the largest id stays. bucket, local_depth and chain tell where the index keeps
     a text that has copies (chain counts from 0 among texts that share a key); they are null for the others.
 
-    A null text is the empty text. A null id never wins against another; rows of a group that has only null ids,
-    and rows that repeat the largest id, all stay. An empty table gives an empty table. Other columns of docs,
+    A null text is the empty text, a very long one is read whole. A null id never wins against another; rows of a group that has
+    only null ids, and rows that repeat the largest id, all stay. An empty table gives an empty table. Other columns of docs,
     whatever their names, are not read.
     """
     text = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
     entries = written(text.select("doc_id", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("text_sha256")), "entries")
-
-    per_key = entries.groupBy("key").agg(F.count("*").alias("n"))
-    slots = directory(per_key.select("key"), bucket_keys, max_depth)
-    again = written(per_key.filter("n > 1").select("key"), "repeated-keys")
-    n_again = again.count()
-
-    # Map-side aggregation sends each task's copies of a text on as one row.
-    candidates = keyed_join(text.withColumn("key", F.xxhash64("norm")), again, ["key"], "left_semi", n_again, F.col("doc_id"), broadcast_rows)
-    groups = candidates.groupBy("key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    owned = (
-        groups.withColumn("slot", F.shiftrightunsigned("key", 64 - max_depth))
-        .join(F.broadcast(slots), "slot")  # at most 2**max_depth rows
-        .repartitionByRange("key")
-        .withColumn("chain", F.row_number().over(Window.partitionBy("key").orderBy("norm")) - 1)
-        .select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size", "bucket", "local_depth", "chain")
-    )
+    keys = written(entries.groupBy("key").agg(F.count("*").alias("n")), "keys")
+    again = written(placed(keys, bucket_keys).filter("n > 1"), "repeated-keys")
+
+    # Only texts of repeated keys go on; a task sends the copies of a text to an owner as one row for each salt.
+    candidates = keyed_join(text.withColumn("key", F.xxhash64("norm")), again, ["key"], "inner")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
+    sent = candidates.groupBy("bucket", "local_depth", "key", "norm", salt).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = sent.repartition("bucket").groupBy("bucket", "local_depth", "key", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("norm")) - 1
+    owned = groups.withColumn("chain", chain).select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size", "bucket", "local_depth", "chain")
     index = written(owned, "index")
-    found = keyed_join(entries, index, ["key", "text_sha256"], "left", n_again, F.col("doc_id"), broadcast_rows)
+    found = keyed_join(entries, index, ["key", "text_sha256"], "left", "group_size")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
         "doc_id",
@@ -98,6 +91,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows go by id and text, so that others of a null or repeated id stay. Whether a row stays depends on these two alone.
     """
     groups = exact_groups(docs, id_col, text_col)
-    gone = written(groups.filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha256")), "dropped-rows").distinct()
+    gone = groups.filter("NOT kept").groupBy(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha256")).agg(F.count("*").alias("_rows"))
+    gone = written(gone.drop("_rows"), "dropped-rows")
     same = docs[id_col].eqNullSafe(gone["_gone"]) & (F.sha2(normalised(docs[text_col]), 256) == gone["_gone_sha256"])
-    return docs.join(gone, same, "left_anti")
+    return docs.join(gone.hint("merge"), same, "left_anti")

@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_rows
-from .shared import dropped, keyed_join, written
+from .shared import dropped, written
 from .toxicity import held_out, lowest_hashes
 
-#: Labelled documents that a fit uses at most, and their longest text. Of the unlabelled the driver gathers those that a view
-#: labels: the features of at most 2 * ROUNDS * CONFIDENT.
-FIT_LABELLED, FIT_CHARS = 3000, 20_000
+#: Labelled documents whose features a fit gathers at most. Of the unlabelled the driver gathers those that a view labels: the
+#: features of at most 2 * ROUNDS * CONFIDENT. A document's features are TEXT_BUCKETS numbers at most, a few hundred mostly.
+FIT_LABELLED = 3000
 ROUNDS, CONFIDENT = 4, 150
 TEXT_BUCKETS, PAGE_BUCKETS = 1 << 14, 1 << 10
 THRESHOLD = 0.5
@@ -91,92 +91,117 @@ class CoTrained:
     calibration: list[tuple[float, float]] = field(default_factory=lambda: [(1.0, 0.0), (1.0, 0.0)])
     weights: tuple[float, float, float] = (0.5, 0.5, 0.0)
 
-    def score(self, rows: list[Row]) -> np.ndarray:
-        """Columns: both views' scores, and the combined."""
-        views = [Stack(map(text_features, rows)).logits(self.text), Stack(map(page_features, rows)).logits(self.page)]
+    def combined(self, views: list[np.ndarray]) -> np.ndarray:
+        """Columns: both views' scores and the combined one, from the views' logits."""
         z = [a * v + b for v, (a, b) in zip(views, self.calibration, strict=True)]
         z.append(self.weights[0] * z[0] + self.weights[1] * z[1] + self.weights[2])
         return np.stack([1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in z], axis=1)
 
 
+def _row(r) -> Row:
+    return r[0] or "", r[1] or "", r[2] or "", r[3] if r[3] is not None else len(r[0] or "")
+
+
 def _dense(*columns: np.ndarray) -> Stack:
     width = len(columns) + 1
     return Stack((np.arange(width), np.array([*values, 1.0])) for values in zip(*columns, strict=True))
 
 
+def features(docs: DataFrame) -> DataFrame:
+    """key, doc_id, bucket, value, page: both views' features of each row; key is a hash of the row."""
+    cols = ["text", "lang", "source", "n_chars"]
+
+    def make():
+        def run(given: Iterator[tuple]) -> Iterator[tuple]:
+            for key, doc, *row in given:
+                (bucket, value), (page, _) = text_features(_row(row)), page_features(_row(row))
+                yield key, doc, bucket.astype(np.int32), value.astype(np.float32), page.astype(np.int32)
+
+        return run
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    keyed = docs.select(F.xxhash64("doc_id", *cols).alias("key"), "doc_id", *cols)
+    return map_rows(keyed, make, f"key long, doc_id {kind}, bucket array<int>, value array<float>, page array<int>")
+
+
+def _logits(batch: pa.RecordBatch, weights: list[np.ndarray]) -> list[np.ndarray]:
+    """Both views' logits of a batch of bucket, value, page."""
+    found = []
+    for v, bucket in enumerate((batch.column("bucket"), batch.column("page"))):
+        bounds = bucket.offsets.to_numpy()
+        flat = slice(int(bounds[0]), int(bounds[-1]))
+        part = weights[v][bucket.values.to_numpy()[flat]]
+        if v == 0:
+            part = part * batch.column("value").values.to_numpy()[flat]
+        found.append(np.bincount(np.repeat(np.arange(batch.num_rows), np.diff(bounds)), part, batch.num_rows))
+    return found
+
+
 class Unlabelled:
-    """The features of all unlabelled documents, in a table of the shared folder that each round scans."""
+    """The documents without labels, scored anew in each round from a table of all documents' features."""
 
     def __init__(self, docs: DataFrame, marked: DataFrame):
-        cols = ["text", "lang", "source", "n_chars"]
-        free = keyed_join(docs.select("doc_id", *cols), marked.select("doc_id"), ["doc_id"], "left_anti", marked.count(), F.xxhash64("text"))
+        self._set(written(features(docs), "features"), marked)
 
-        def make():
-            def run(given: Iterator[tuple]) -> Iterator[tuple]:
-                for key, *row in given:
-                    (bucket, value), (page, _) = text_features(_row(row)), page_features(_row(row))
-                    yield key, bucket.astype(np.int32), value.astype(np.float32), page.astype(np.int32)
+    @classmethod
+    def among(cls, found: DataFrame, marked: DataFrame) -> Unlabelled:
+        """From a table that features() made."""
+        self = cls.__new__(cls)
+        self._set(found, marked)
+        return self
 
-            return run
+    def _set(self, found: DataFrame, marked: DataFrame) -> None:
+        self.found, self.marked = found, marked.select("doc_id").distinct()
 
-        keyed = free.select(F.xxhash64("doc_id", *cols).alias("key"), *cols)
-        self.rows = written(map_rows(keyed, make, "key long, bucket array<int>, value array<float>, page array<int>"), "unlabelled")
+    @property
+    def rows(self) -> DataFrame:
+        return self.found.join(self.marked.hint("merge"), "doc_id", "left_anti")
 
     def surest(self, weights: list[np.ndarray], taken: list[set[int]], low: int, high: int) -> list[tuple[list[int], list[int]]]:
         """For each view the keys of the low documents that it scores lowest and of the high ones that it scores highest, but
-        those taken from it. A task sends no more than that on."""
-        target = pa.schema([("view", pa.int32()), ("high", pa.bool_()), ("z", pa.float64()), ("key", pa.int64())])
-        shared = self.rows.sparkSession.sparkContext.broadcast((weights, [np.array(sorted(t), np.int64) for t in taken]))
+        those taken from it. All are scored; only ids, keys and scores move, and each top-k is cut in the tasks first."""
+        shared = self.found.sparkSession.sparkContext.broadcast(weights)
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            weights, taken = shared.value
-            best = {(v, end): (np.zeros(0), np.zeros(0, np.int64)) for v in (0, 1) for end in (False, True)}
             for batch in batches:
-                keys = batch.column(0).to_numpy()
-                for v in (0, 1):
-                    bucket = batch.column(1 if v == 0 else 3)
-                    bounds = bucket.offsets.to_numpy()
-                    flat = slice(int(bounds[0]), int(bounds[-1]))
-                    logit = weights[v][bucket.values.to_numpy()[flat]]
-                    if v == 0:
-                        logit = logit * batch.column(2).values.to_numpy()[flat]
-                    z = np.bincount(np.repeat(np.arange(len(keys)), np.diff(bounds)), logit, len(keys))
-                    open_ = ~np.isin(keys, taken[v])
-                    for end, n in ((False, low), (True, high)):
-                        zs, ks = (np.concatenate(x) for x in zip(best[v, end], (z[open_], keys[open_]), strict=True))
-                        order = np.lexsort((ks, -zs if end else zs))[:n]
-                        best[v, end] = zs[order], ks[order]
-            for (v, end), (zs, ks) in best.items():
-                columns = [pa.array(np.full(len(ks), v, np.int32)), pa.array(np.full(len(ks), end)), pa.array(zs), pa.array(ks)]
-                yield pa.RecordBatch.from_arrays(columns, schema=target)
-
-        found = written(self.rows.mapInArrow(apply, "view int, high boolean, z double, key long"), "surest")
-        lows = [found.filter((F.col("view") == v) & ~F.col("high")).orderBy("z", "key").limit(low).collect() for v in (0, 1)]
-        highs = [found.filter((F.col("view") == v) & F.col("high")).orderBy(F.desc("z"), "key").limit(high).collect() for v in (0, 1)]
-        dropped(found)
-        return [([r.key for r in a], [r.key for r in b]) for a, b in zip(lows, highs, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *map(pa.array, _logits(batch, shared.value))], names=["doc_id", "key", "z0", "z1"])
+
+        kind = self.found.schema["doc_id"].dataType.simpleString()
+        scored = self.found.mapInArrow(apply, f"doc_id {kind}, key long, z0 double, z1 double")
+        free = written(scored.join(self.marked.hint("merge"), "doc_id", "left_anti").select("key", "z0", "z1"), "scores")
+
+        def best(v: int, order: list, n: int) -> list[int]:
+            return [r.key for r in free.filter(~F.col("key").isin(sorted(taken[v]))).orderBy(*order, "key").limit(n).collect()]
+
+        ends = [(best(v, [F.col(f"z{v}")], low), best(v, [F.desc(f"z{v}")], high)) for v in (0, 1)]
+        dropped(free)
+        return ends
 
     def features(self, keys: set[int]) -> dict[int, list[Features]]:
         """Both views' features of the documents with these keys."""
-        rows = self.rows.filter(F.col("key").isin(sorted(keys))).dropDuplicates(["key"]).collect() if keys else []
-        return {r.key: [(np.array(r.bucket, np.int64), np.array(r.value)), (np.array(r.page, np.int64), np.ones(len(r.page)))] for r in rows}
+        rows = self.found.filter(F.col("key").isin(sorted(keys))).dropDuplicates(["key"]).collect() if keys else []
+        return {r.key: _both(r) for r in rows}
+
+
+def _both(r) -> list[Features]:
+    return [(np.array(r.bucket, np.int64), np.array(r.value)), (np.array(r.page, np.int64), np.ones(len(r.page)))]
 
 
-def co_train(labelled: list[tuple[Row, int]], pool: Unlabelled, rounds: int = ROUNDS, confident: int = CONFIDENT) -> CoTrained:
-    """Fit on three quarters of the labelled rows and the pool, calibrate on the last quarter."""
+def co_train(labelled: list[tuple[list[Features], int]], pool: Unlabelled, rounds: int = ROUNDS, confident: int = CONFIDENT) -> CoTrained:
+    """Fit on three quarters of the labelled rows (both views' features, and the label) and the pool, calibrate on the last quarter."""
     learn = [x for i, x in enumerate(labelled) if i % 4 != 3]
     rest = [x for i, x in enumerate(labelled) if i % 4 == 3]
     y = np.array([q for _, q in learn], float)
     if not len(y) or y.min() == y.max():
         level = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
         return CoTrained(np.zeros(TEXT_BUCKETS), np.zeros(PAGE_BUCKETS), weights=(0.0, 0.0, float(np.log(level / (1 - level)))))
-    views = [(text_features, TEXT_BUCKETS), (page_features, PAGE_BUCKETS)]
-    own = [[f(r) for r, _ in learn] for f, _ in views]
+    sizes = [TEXT_BUCKETS, PAGE_BUCKETS]
+    own = [[r[v] for r, _ in learn] for v in (0, 1)]
     pooled: dict[int, list[Features]] = {}
     given: list[dict[int, float]] = [{}, {}]  # pseudo-labels of the pool, by the view that learns from them
-    weights = [np.zeros(size) for _, size in views]
+    weights = [np.zeros(size) for size in sizes]
     for turn in range(rounds + 1):
-        for v, (_, size) in enumerate(views):
+        for v, size in enumerate(sizes):
             extra = sorted(given[v])
             weights[v] = logistic(Stack([*own[v], *[pooled[i][v] for i in extra]]), np.concatenate((y, [given[v][i] for i in extra])), size)
         if turn == rounds:
@@ -189,8 +214,7 @@ def co_train(labelled: list[tuple[Row, int]], pool: Unlabelled, rounds: int = RO
             given[1 - v].update(dict.fromkeys(low, 0.0) | dict.fromkeys(high, 1.0))
     model = CoTrained(*weights)
     if rest and 0 < (t := np.array([q for _, q in rest], float)).mean() < 1:
-        rows = [r for r, _ in rest]
-        z = [Stack(map(f, rows)).logits(w) for (f, _), w in zip(views, weights, strict=True)]
+        z = [Stack([r[v] for r, _ in rest]).logits(weights[v]) for v in (0, 1)]
         model.calibration = [tuple(logistic(_dense(x), t, 2, steps=300).tolist()) for x in z]
         both = [a * x + b for x, (a, b) in zip(z, model.calibration, strict=True)]
         model.weights = tuple(logistic(_dense(*both), t, 3, steps=300).tolist())
@@ -201,47 +225,39 @@ def _row(r) -> Row:
     return r[0] or "", r[1] or "", r[2] or "", r[3] if r[3] is not None else len(r[0] or "")
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
-    """Co-train on FIT_LABELLED documents whose ids hash lowest of those with labels that are not held out, and on all
-    documents without labels."""
-    cols = ["text", "lang", "source", "n_chars"]
+def fit_features(found: DataFrame, labels: DataFrame, fit_labelled: int = FIT_LABELLED) -> CoTrained:
+    """Co-train on a table that features() made: on at most fit_labelled documents whose ids hash lowest of those with labels that
+    are not held out, and on all documents without labels."""
     marked = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = F.broadcast(lowest_hashes(marked.filter(~held_out(F.col("doc_id"))), 2 * FIT_LABELLED))  # at most so many rows
-    short = docs.select("doc_id", *cols).filter(F.length("text") <= FIT_CHARS)
-    learn = _first(short.join(known, "doc_id").collect(), FIT_LABELLED)
-    return co_train([(_row([r[c] for c in cols]), int(r.quality)) for r in learn], Unlabelled(docs, marked))
-
+    known = F.broadcast(lowest_hashes(marked.filter(~held_out(F.col("doc_id"))), fit_labelled))  # at most so many rows
+    learn = found.join(known, "doc_id").orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id", "key").limit(fit_labelled).collect()
+    return co_train([(_both(r), int(r.quality)) for r in learn], Unlabelled.among(found, marked))
 
-def _first(rows: list, n: int) -> list:
-    return sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), str(r.doc_id), r.text))[:n]
 
+def fit(docs: DataFrame, labels: DataFrame, fit_labelled: int = FIT_LABELLED) -> CoTrained:
+    """fit_features() of the documents' features; texts of any length take part."""
+    return fit_features(written(features(docs), "features"), labels, fit_labelled)
 
-def score(docs: DataFrame, model: CoTrained) -> DataFrame:
-    """One row per row of docs: doc_id, text_score, page_score, score, predicted (1 from THRESHOLD on).
 
-    docs has doc_id, text, lang, source and n_chars; nulls count as empty, a null n_chars as the text's length. Whole texts
-    are read; an empty table gives no rows; other columns are not read.
-    """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a number a bucket, whatever the input's size
+def score_features(found: DataFrame, model: CoTrained) -> DataFrame:
+    """doc_id, text_score, page_score, score, predicted (1 from THRESHOLD on) of each row of a table that features() made."""
+    kind = found.schema["doc_id"].dataType.simpleString()
+    shared = found.sparkSession.sparkContext.broadcast(model)  # a number a bucket, whatever the input's size
 
-    def make():
-        def run(given: Iterator[tuple]) -> Iterator[tuple]:
-            block, chars = [], 0
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = shared.value.combined(_logits(batch, [shared.value.text, shared.value.page]))
+            predicted = (scores[:, 2] >= THRESHOLD).astype(np.int32)
+            columns = [batch.column("doc_id"), *[pa.array(np.ascontiguousarray(scores[:, i])) for i in range(3)], pa.array(predicted)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_score", "page_score", "score", "predicted"])
 
-            def done() -> Iterator[tuple]:
-                for (doc, *_), s in zip(block, shared.value.score([_row(r[1:]) for r in block]).tolist(), strict=True):
-                    yield doc, *s, int(s[2] >= THRESHOLD)
+    return found.mapInArrow(apply, f"doc_id {kind}, text_score double, page_score double, score double, predicted int")
 
-            for row in given:
-                block.append(row)
-                chars += len(row[1] or "")
-                if chars > 1_000_000:
-                    yield from done()
-                    block, chars = [], 0
-            if block:
-                yield from done()
 
-        return run
+def score(docs: DataFrame, model: CoTrained) -> DataFrame:
+    """One row per row of docs: doc_id, text_score, page_score, score, predicted.
 
-    return map_rows(docs.select("doc_id", "text", "lang", "source", "n_chars"), make, f"doc_id {kind}, text_score double, page_score double, score double, predicted int")
+    docs has doc_id, text, lang, source and n_chars; nulls count as empty, a null n_chars as the text's length. Whole texts
+    are read; repeated rows give repeated rows, an empty table none; other columns are not read.
+    """
+    return score_features(features(docs), model)

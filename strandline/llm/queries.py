@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, exact_dedup, line_dedup, packing, piece_codec, quality, simhash, suffix_dedup, toxicity, warc
+from .shared import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids stay out of the result: their checksum stands for them."""
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ids=False)
 
 
 def op2_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,9 +47,9 @@ def op6_line_run_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_co_trained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+    found = written(quality.features(table(spark, sf_dir, "documents")), "features")  # read by each round and by the scoring
+    model = quality.fit_features(found, table(spark, sf_dir, "labels"))
+    return quality.score_features(found, model).withColumn("held_out", toxicity.held_out(F.col("doc_id")))
 
 
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,8 @@ ORACLE_SQL: dict[str, str] = {
         l AS (SELECT doc_id, lines, len(lines) AS n, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
         w AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS after, i + 1 < n AS pair FROM l),
         r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line, after ORDER BY doc_id, i) AS k FROM w WHERE pair),
-        c AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i FROM r WHERE k > 1),
+        p AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS k FROM l WHERE length(line) >= 300),
+        c AS (SELECT doc_id, unnest([i, i + 1]) AS i FROM r WHERE k > 1 UNION SELECT doc_id, i FROM p WHERE k > 1),
         m AS (SELECT l.doc_id, l.i, line, c.i IS NOT NULL AS gone FROM l LEFT JOIN c ON l.doc_id = c.doc_id AND l.i = c.i),
         g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS head FROM m)
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (head) AS n_runs,

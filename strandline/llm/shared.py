@@ -1,17 +1,16 @@
-"""Tables in the cluster's shared folder, and joins that look at the size of a side before it is broadcast."""
+"""Tables in the cluster's shared folder, and joins that hold whatever share of the rows one key has."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-#: Rows of a narrow table (a few numbers and digests each, under 200 bytes) up to which it may be broadcast.
-BROADCAST_ROWS = 200_000
-#: Parts into which the rows of one key are dealt when a join is salted.
-SALTS = 16
+#: A key is hot if it holds more than one in HOT_KEYS of the rows, and HOT_ROWS at least; so there are fewer than HOT_KEYS of them.
+HOT_KEYS, HOT_ROWS = 10_000, 100
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,29 +48,36 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, right_rows: int, spread: Column, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a long table with one that has each key once, whatever share of left one key holds.
+def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, n: str = "n") -> DataFrame:
+    """Join left with a table that has each key once and, as column n, how many rows of left hold it.
 
-    A right side of at most broadcast_rows narrow rows is broadcast. Beyond that left is dealt by the key and
-    a salt from ``spread`` (a column that differs within a key), and right is repeated for each salt.
+    how: inner, left, left_semi or left_anti. Fewer than HOT_KEYS keys can hold more than one in HOT_KEYS of the rows counted:
+    only these hot ones are broadcast, so their rows stay where they are. All others meet in a sort-merge join, at every size.
+    right should be a table, for it is read thrice; keys are never null.
     """
-    if right_rows <= broadcast_rows:
-        return left.join(F.broadcast(right), keys, how)
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    total = right.agg(F.sum(n)).first()[0] or 0
+    is_hot = (F.col(n) * HOT_KEYS > total) & (F.col(n) >= HOT_ROWS)
+    hot, cold = right.filter(is_hot), right.filter(~is_hot).hint("merge")
+    if not hot.head(1):
+        return left.join(cold, keys, how)
+    others = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+    if how == "left_anti":
+        return others
+    return left.join(F.broadcast(hot), keys, "left_semi" if how == "left_semi" else "inner").unionByName(others)
 
 
 def ordered_rows(docs: DataFrame, id_col: str, text_col: str, carry: list[str] = ()) -> DataFrame:
     """doc_id, text (never null) and doc, a long that orders the rows by id and tells them apart; columns to carry along
     are named _carry_ and their name.
 
-    Where ids are unique and never null they serve themselves. Else the rows are written in order (null ids last, equal
-    ids by text) and numbered.
+    Where ids are whole numbers, unique and never null, they serve themselves. Else (ids of other types too) the rows are written
+    in order (null ids last, equal ids by a hash of their text) and numbered.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
-    n, named, different = rows.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
-    if n == named == different:
-        return rows.withColumn("doc", F.col("doc_id").cast("long"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    if isinstance(docs.schema[id_col].dataType, IntegralType):
+        n, named, different = rows.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
+        if n == named == different:
+            return rows.withColumn("doc", F.col("doc_id").cast("long"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("_place")]  # the place deals out rows that are all alike
+    ordered = rows.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("_place")
     return written(ordered.withColumn("doc", F.monotonically_increasing_id()), "ordered-rows")

@@ -124,9 +124,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, bucket_size: int = B
     table = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(m).alias("mask")) for i, m in enumerate(masks(radius))])
     entries = distinct.select("fp", F.explode(table).alias("m")).select("m.t", "m.mask", F.col("fp").bitwiseAND(F.col("m.mask")).alias("cell"), "fp")
     sizes = written(entries.groupBy("t", "cell").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    n = sizes.count()
-    shared = keyed_join(entries, sizes, ["t", "cell"], "inner", n, F.col("fp"))
-    shared = written(shared, "bucket-members")
+    shared = written(keyed_join(entries, sizes, ["t", "cell"], "inner"), "bucket-members")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -147,6 +145,14 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, bucket_size: int = B
     return close.unionByName(far)
 
 
+def _named(distinct: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(fp, n, first) of a table fp, n, first: first is now the smallest of the component. nodes: node, root of linked fps."""
+    linked = distinct.join(nodes.withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
+    linked = written(linked.withColumn("root", F.coalesce("root", "fp")), "linked")
+    names = written(linked.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("members")), "names")
+    return written(keyed_join(linked.drop("first"), names, ["root"], "inner", "members").select("fp", "n", "first"), "named")
+
+
 def hexed(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
@@ -159,13 +165,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     give repeated rows, an empty table an empty one; other columns are not read.
     """
     rows = written(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    nodes = connected_components(fingerprint_links(distinct.select("fp"), radius, bucket_size))
-    linked = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = written(linked.join(names, "root").select("fp", "component_id"), "named-fingerprints")
-    # rows of one fingerprint may be a third of all: salted unless the names are few
-    found = keyed_join(rows, named, ["fp"], "left", named.count(), F.monotonically_increasing_id())
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
+    named = _named(distinct, connected_components(fingerprint_links(distinct.select("fp"), radius, bucket_size)))
+    found = keyed_join(rows, named.withColumnRenamed("first", "component_id"), ["fp"], "left")
     return found.select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -222,23 +224,29 @@ def sample_cells(hashes: np.ndarray) -> list[int]:
     return np.unique(np.concatenate(cells)).view(np.int64).tolist()
 
 
+def digests(text: Column) -> tuple[Column, Column]:
+    """Two hashes that tell texts apart, whatever their ids."""
+    return F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2")
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5) -> DataFrame:
-    """(doc_id, fp, wide, cells, shingles) for each row of docs: fp is a hash of the whole set of shingles."""
+    """(doc_id, d1, d2, fp, wide, cells, shingles) for each row of docs: d1 and d2 are hashes of the text as it is, fp one of the
+    whole set of shingles."""
     import xxhash
 
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
         def run(given):
-            for i, t in given:
+            for i, d1, d2, t in given:
                 hashes = shingle_hashes(t, shingle_words)
                 own = int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 42)).view(np.int64))
-                yield i, own, wide_fingerprint(hashes), sample_cells(hashes), hashes.view(np.int64)
+                yield i, d1, d2, own, wide_fingerprint(hashes), sample_cells(hashes), hashes.view(np.int64)
 
         return run
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_rows(rows, make, f"doc_id {kind}, fp long, wide array<long>, cells array<long>, shingles array<long>")
+    rows = docs.select(F.col(id_col).alias("doc_id"), *digests(F.col(text_col)), F.col(text_col).alias("text"))
+    return map_rows(rows, make, f"doc_id {kind}, d1 long, d2 long, fp long, wide array<long>, cells array<long>, shingles array<long>")
 
 
 def allowed_bits(similarity: float) -> int:
@@ -272,7 +280,7 @@ def similar_links(distinct: DataFrame, similarity: float = 0.8, bucket_size: int
     most = allowed_bits(similarity)
     entries = distinct.select(F.explode("cells").alias("cell"), "fp", "wide")
     sizes = written(entries.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "sample-cells")
-    members = written(keyed_join(entries, sizes, ["cell"], "inner", sizes.count(), F.col("fp")), "sample-members")
+    members = written(keyed_join(entries, sizes, ["cell"], "inner"), "sample-members")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -307,7 +315,7 @@ def similar_links(distinct: DataFrame, similarity: float = 0.8, bucket_size: int
         found = written(compared(crowded, hand(F.lit(turn))), "hands")
         left = found.filter("a = b").select("cell", F.col("n").alias("before"), F.col("a").alias("fp"), "wide")
         sizes = written(left.groupBy("cell").agg(F.count("*").alias("n")), "hand-cells")
-        left = written(keyed_join(left, sizes, ["cell"], "inner", sizes.count(), F.col("fp")), "hand-members")
+        left = written(keyed_join(left, sizes, ["cell"], "inner"), "hand-members")
         many = left.filter(F.col("n") > bucket_size)
         every += [links(found), links(compared(left.filter(F.col("n") <= bucket_size)))]
         unlike.append(many.filter("2 * n > before").drop("before"))
@@ -317,7 +325,7 @@ def similar_links(distinct: DataFrame, similarity: float = 0.8, bucket_size: int
     for rows in unlike:
         parted = rows.select("cell", "fp", "wide", F.explode(parts).alias("part"))
         sizes = written(parted.groupBy("cell", "part").agg(F.count("*").alias("n")).filter("n > 1"), "parts")
-        shared = keyed_join(parted, sizes, ["cell", "part"], "inner", sizes.count(), F.col("fp"))
+        shared = keyed_join(parted, sizes, ["cell", "part"], "inner")
         every.append(links(compared(shared, F.col("part"), F.when(F.col("n") > bucket_size, hand("part")).otherwise(0))))
     return reduce(DataFrame.unionByName, every)
 
@@ -372,11 +380,13 @@ def exact_pairs(sets: DataFrame, nodes: DataFrame, n: int, similarity: float = 0
     sets: fp, shingles, n rows; nodes: node, root of those already joined, whose pairs within a root are left out.
     """
     firsts = written(prefixes(sets, frequent_shingles(sets, n), similarity), "prefixes")
-    rooted = keyed_join(firsts, nodes.withColumnRenamed("node", "fp"), ["fp"], "left", nodes.count(), F.col("cell")).withColumn("root", F.coalesce("root", "fp"))
+    rooted = firsts.join(nodes.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = written(rooted, "rooted-prefixes")
+    dropped(firsts)
     cells = rooted.groupBy("cell").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     cells = written(cells.select("cell", "n"), "mixed-cells")
-    members = written(keyed_join(rooted, cells, ["cell"], "inner", cells.count(), F.col("fp")), "cell-members")
-    dropped(firsts)
+    members = written(keyed_join(rooted, cells, ["cell"], "inner"), "cell-members")
+    dropped(rooted)
     blocks = F.ceil(F.col("n") / block)
     x = members.select("cell", F.pmod(F.xxhash64("fp"), blocks).alias("block"), F.col("fp").alias("a"), F.col("root").alias("ra"), F.col("at").alias("i"), F.col("size").alias("m"))
     y = members.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.col("fp").alias("b"), F.col("root").alias("rb"), F.col("at").alias("j"), F.col("size").alias("k"))
@@ -384,28 +394,39 @@ def exact_pairs(sets: DataFrame, nodes: DataFrame, n: int, similarity: float = 0
     return x.join(y, ["cell", "block"]).filter(open_).select("a", "b").distinct()
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) for each row of docs whose set of shingles is nearly another's.
+def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, d1, d2, component_id, stays) for each row of docs whose set of shingles is nearly another's.
 
     Two texts link where the Jaccard similarity of their sets is as high as asked: no such pair is missed, and no other
-    links. Texts without words are alike. Repeated rows give repeated rows; an empty table gives none; null ids never name a component that has others.
+    links. Texts without words are alike. Of a component the row with the smallest id stays, of equal ids the one with the least
+    hash of its text, and rows equal in both; null ids stay only where the component has no other. Repeated rows give repeated
+    rows; an empty table gives none.
     """
     rows = written(sketches(docs, id_col, text_col, shingle_words).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("first_row")), "distinct-sketches")
-    n = distinct.count()
-    again = keyed_join(rows.select("fp", "row"), distinct.select("fp", "first_row"), ["fp"], "inner", n, F.col("row")).filter("row <> first_row")
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "d1", "d2")
+    distinct = written(rows.groupBy("fp").agg(F.min(own).alias("first"), F.min("row").alias("first_row"), F.count("*").alias("n")), "distinct-sketches")
+    again = keyed_join(rows.select("fp", "row"), distinct.select("fp", "first_row", "n"), ["fp"], "inner").filter("row <> first_row")
     sets = rows.join(written(again.select("row"), "repeated-sets"), "row", "left_anti")
+    n = distinct.count()
     sure = connected_components(verified(similar_links(sets.select("fp", "wide", "cells"), similarity), sets, similarity))
     more = verified(exact_pairs(sets, sure, n, similarity), sets, similarity)
     nodes = connected_components(sure.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    linked = distinct.select("fp", "first_id").join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = written(linked.join(names, "root").select("fp", "component_id"), "named-sets")
-    return keyed_join(rows.select("doc_id", "fp"), named, ["fp"], "left", n, F.monotonically_increasing_id()).select("doc_id", "component_id")
+    named = _named(distinct.select("fp", "first", "n"), nodes)
+    found = keyed_join(rows.select("doc_id", "d1", "d2", "fp"), named, ["fp"], "left")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("d1") == F.col("first.d1")) & (F.col("d2") == F.col("first.d2"))
+    return found.select("doc_id", "d1", "d2", F.col("first.doc_id").alias("component_id"), stays.alias("stays"))
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for each row of docs, as near_rows() finds them; null ids never name a component that has others."""
+    return near_rows(docs, id_col, text_col, shingle_words, similarity).select("doc_id", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs whose id is the smallest of their near copies, with all their columns."""
-    parts = near_components(docs, id_col, text_col, shingle_words, similarity)
-    gone = written(parts.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "dropped-rows").distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """The rows of docs that near_rows() lets stay, with all their columns. Rows go by id and text together."""
+    parts = near_rows(docs, id_col, text_col, shingle_words, similarity)
+    gone = parts.filter("NOT stays").groupBy(F.col("doc_id").alias("_gone"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2")).agg(F.count("*").alias("_rows"))
+    gone = written(gone.drop("_rows"), "dropped-rows")
+    d1, d2 = digests(docs[text_col])
+    same = docs[id_col].eqNullSafe(gone["_gone"]) & (d1 == gone["_d1"]) & (d2 == gone["_d2"])
+    return docs.join(gone.hint("merge"), same, "left_anti")

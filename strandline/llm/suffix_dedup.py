@@ -11,6 +11,10 @@ move each byte a hundred times, so the suffixes that can decide anything are fou
    Spark samples. Equal leading bytes never straddle a border, so a bucket is complete; within, borders between the chunks
    that fit memory fall between different leads. A multikey quicksort orders the windows of a chunk, eight bytes at a
    time and only among those still equal; neighbours that stay equal are repeats.
+3. An anchor with very many different contexts would fill a bucket. Its windows go on one by one instead, keyed by all their
+   bytes, and equal ones are counted in Spark.
+
+Equal contexts of step 1 are told by 128 bits of hashes (64 of the anchor, 64 of the context), steps 2 and 3 compare bytes.
 """
 
 from __future__ import annotations
@@ -27,13 +31,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .arrow import map_rows, slices
-from .shared import ordered_rows, written
+from .shared import keyed_join, ordered_rows, written
 
 WIDTH, GRAM = 100, 40
 #: Bytes of text that are hashed at once; anchors among which a task looks for equal contexts before it sends them on.
 BLOCK_BYTES, TASK_ANCHORS = 1 << 20, 2_000_000
-#: Windows that a bucket sorts at once; only a lead with more contexts is sorted alone, one place of the anchor at a time.
-CHUNK_WINDOWS = 400_000
+#: Bytes of a text longer than a block that are hashed at once.
+PIECE_BYTES = 1 << 23
+#: Windows that a bucket sorts at once, and contexts of an anchor from which its windows are range-partitioned one by one instead.
+CHUNK_WINDOWS, CROWDED = 400_000, 4000
+#: Bits of a place in a block: an anchor is chosen by the other bits of its hash, however long the block is.
+PLACE_BITS = 24
 
 BASE = np.uint64(0xC6A4A7935BD1E995)
 U = np.uint64
@@ -77,15 +85,14 @@ def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: Has
     grams = n - gram + 1
     h = hashes.of(prefix, slice(0, grams), slice(gram, n + 1))
     reach = width - gram + 1  # anchors to choose from
-    bits = int(n).bit_length()
-    least = ((h >> U(bits)) << U(bits)) | np.arange(grams, dtype=np.uint64)
+    least = ((h >> U(PLACE_BITS)) << U(PLACE_BITS)) | np.arange(grams, dtype=np.uint64)
     span = 1
     while 2 * span <= reach:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     if span < reach:
         least = np.minimum(least[: len(least) - (reach - span)], least[reach - span :])
-    at = (least & U((1 << bits) - 1)).astype(np.int64)  # of window i, for each i
+    at = (least & U((1 << PLACE_BITS) - 1)).astype(np.int64)  # of window i, for each i
     own = np.searchsorted(starts, np.arange(len(at)), side="right") - 1
     valid = np.flatnonzero((own >= 0) & (np.arange(len(at)) + width <= ends[np.maximum(own, 0)]))
     if not len(valid):
@@ -158,13 +165,16 @@ def anchors(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
                 starts, ends, docs_ = starts[long], ends[long], docs_[long]
                 if not len(starts):
                     continue
-                first, last, anchor, h, c = contexts(data, starts, ends, hashes, width, gram)
-                own = np.searchsorted(starts, first, side="right") - 1
-                parts.append((h, c, docs_[own], first - starts[own], last - first + 1, anchor - first))
-                total += len(first)
-                if total >= TASK_ANCHORS:
-                    yield settle(parts)
-                    parts, total = [], 0
+                for at in range(0, len(data), PIECE_BYTES):  # one but for very long texts; each window begins in one piece
+                    piece = data[at : at + PIECE_BYTES + width - 1]
+                    first, last, anchor, h, c = contexts(piece, starts - at, ends - at, hashes, width, gram)
+                    first, last, anchor = first + at, last + at, anchor + at
+                    own = np.searchsorted(starts, first, side="right") - 1
+                    parts.append((h, c, docs_[own], first - starts[own], last - first + 1, anchor - first))
+                    total += len(first)
+                    if total >= TASK_ANCHORS:
+                        yield settle(parts)
+                        parts, total = [], 0
             if parts:
                 yield settle(parts)
 
@@ -220,17 +230,7 @@ def _compare(buckets: DataFrame, width: int) -> DataFrame:
             number = {x: i for i, x in enumerate(dict.fromkeys(lead))}
             arrays = [np.array(x, np.int64) for x in (doc, start, n, off)]
             ids = np.array([number[x] for x in lead], np.int64)
-            if len(number) > 1 or arrays[2].sum() <= CHUNK_WINDOWS:
-                d, s = repeats(list(ctx), *arrays, ids, width)
-            else:  # one crowded lead: windows that hold the anchor at one place after those of another
-                found = []
-                doc, start, n, off = arrays
-                for place in range(int((off - n + 1).min()), int(off.max()) + 1):
-                    has = np.flatnonzero((off - n + 1 <= place) & (place <= off))
-                    if len(has) > 1:
-                        skip = off[has] - place
-                        found.append(repeats([ctx[i][k : k + width] for i, k in zip(has.tolist(), skip.tolist(), strict=True)], doc[has], start[has] + skip, np.ones(len(has), np.int64), np.full(len(has), place), ids[has], width))
-                d, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+            d, s = repeats(list(ctx), *arrays, ids, width)
             order = np.lexsort((s, d))
             d, s = d[order], s[order]
             head = np.flatnonzero(np.concatenate(([True], (np.diff(d) != 0) | (np.diff(s) > 1)))) if len(d) else np.zeros(0, np.int64)
@@ -253,15 +253,22 @@ def _compare(buckets: DataFrame, width: int) -> DataFrame:
     return buckets.mapInArrow(apply, schema)
 
 
+def _equal_windows(windows: DataFrame) -> DataFrame:
+    """doc, start, n of the windows (ctx, doc, start) whose bytes an earlier one has, however many are equal."""
+    firsts = windows.groupBy("ctx").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    again = keyed_join(windows.select("ctx", "doc", "start"), written(firsts, "first-windows"), ["ctx"], "inner")
+    return again.filter("doc <> first.doc OR start <> first.start").select("doc", "start", F.lit(1).cast("long").alias("n"))
+
+
 def repeated_spans(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(doc, spans): the windows to remove in each document that has some, as (start, windows) structs."""
     w = Window.partitionBy("h").orderBy("c", "doc", "start")
     whole = Window.partitionBy("h")
     found = anchors(keyed.select("doc", "text"), width, gram)
-    ranked = found.withColumn("repeat", F.col("c").isNull() | F.coalesce(F.lag("c").over(w) == F.col("c"), F.lit(False))).withColumn("mixed", F.min("c").over(whole) != F.max("c").over(whole))
-    marked = written(ranked.filter("repeat OR mixed").select("doc", "start", "n", "off", "repeat"), "marked-anchors")
+    ranked = found.withColumn("repeat", F.col("c").isNull() | F.coalesce(F.lag("c").over(w) == F.col("c"), F.lit(False))).withColumn("mixed", F.min("c").over(whole) != F.max("c").over(whole)).withColumn("crowded", F.count("*").over(whole) > CROWDED)
+    marked = written(ranked.filter("repeat OR mixed").select("doc", "start", "n", "off", "repeat", "crowded"), "marked-anchors")
 
-    asked = marked.filter("NOT repeat").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "off")).alias("spans"))
+    asked = marked.filter("NOT repeat").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "off", "crowded")).alias("spans"))
     asked = written(asked, "open-contexts")
 
     def cut_out():
@@ -269,14 +276,19 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
             for doc, text, spans in given:
                 for s in spans:
                     start, n, off = s["start"], s["n"], s["off"]
-                    yield text[start + off : start + off + gram], text[start : start + n - 1 + width], doc, start, n, off
+                    if s["crowded"]:
+                        for at in range(start, start + n):
+                            yield None, text[at : at + width], doc, at, 1, off - (at - start)
+                    else:
+                        yield text[start + off : start + off + gram], text[start : start + n - 1 + width], doc, start, n, off
 
         return run
 
-    texts = keyed.select("doc", "text").join(asked, "doc")
+    texts = keyed.select("doc", "text").join(asked.hint("merge"), "doc")
     suffixes = map_rows(texts.select("doc", "text", "spans"), cut_out, "lead binary, ctx binary, doc long, start long, n long, off long")
-    suffixes = written(suffixes, "suffixes")  # read twice: for the splitters and for the shuffle
-    equal = _compare(suffixes.repartitionByRange("lead").sortWithinPartitions("lead"), width)
+    suffixes = written(suffixes, "suffixes")  # read more than once: for the splitters and for the shuffles
+    buckets = suffixes.filter("lead IS NOT NULL").repartitionByRange("lead").sortWithinPartitions("lead")
+    equal = _compare(buckets, width).unionByName(_equal_windows(suffixes.filter("lead IS NULL")))
     gone = marked.filter("repeat").select("doc", "start", "n").unionByName(equal)
     return written(gone.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "repeated-spans")
 
@@ -315,6 +327,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return run
 
-    joined = keyed.join(spans, "doc", "left").select("doc_id", "text", "spans", *[f"_carry_{c}" for c in carry])
+    joined = keyed.join(spans.hint("merge"), "doc", "left").select("doc_id", "text", "spans", *[f"_carry_{c}" for c in carry])
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
     return map_rows(joined, make, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts + kinds)

@@ -13,13 +13,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_rows
+from .arrow import map_rows, slices
+from .shared import dropped, written
 
-#: Labelled texts that a fit uses at most, and their longest: the bound of what the driver gathers (under 100 MB).
-FIT_DOCS, FIT_CHARS = 4000, 20_000
+#: Labelled ids that a fit uses at most, and bags of each class that it gathers at most (three times as many clean ones): runs of
+#: BAG words, some 60 characters each, so that the driver holds tens of megabytes however long the texts are.
+FIT_DOCS, FIT_BAGS = 4000, 60_000
 BUCKETS, DIM, BAG = 1 << 16, 8, 8
 GRAMS = (3, 4, 5)
 THRESHOLD = 0.3
@@ -102,39 +105,37 @@ class Scorer:
         return out
 
 
-def _bags(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
-    """The different words of the texts, and each text's words as their numbers."""
-    number: dict[str, int] = {}
-    return number, [np.array([number.setdefault(w, len(number)) for w in t.lower().split()], np.int64) for t in texts]
+def bags(text: str) -> list[str]:
+    """The words of a text in runs of BAG, as they are trained on."""
+    words = text.lower().split()
+    return [" ".join(words[i : i + BAG]) for i in range(0, len(words), BAG)]
 
 
-def train(texts: list[str], toxic: np.ndarray, epochs: int = 4, rate: float = 0.5, clean_bags: int = 3, seed: int = 7) -> Model:
-    """Joint training of subword vectors and softmax on the bags of the texts, by minibatches with adaptive rates.
+def train(bad: list[str], good: list[str], epochs: int = 4, rate: float = 0.5, clean_bags: int = 3, seed: int = 7) -> Model:
+    """Joint training of subword vectors and softmax on bags of words, by minibatches with adaptive rates.
 
-    All bags of toxic texts are used, and clean_bags times as many drawn from the clean texts.
+    All bags of toxic texts are used, and clean_bags times as many drawn from those of clean texts.
     """
+    if not bad or not good:
+        return Model(np.zeros(BUCKETS), 0.0)
     rng = np.random.default_rng(seed)
-    number, numbered = _bags(texts)
+    good = [good[i] for i in rng.permutation(len(good))[: clean_bags * len(bad)]]
+    number: dict[str, int] = {}
+    runs = [np.array([number.setdefault(w, len(number)) for w in b.split(" ")], np.int64) for b in bad + good]
+    y = np.repeat(np.array([1, 0]), [len(bad), len(good)])
     words = list(number)
-    owner, bucket = features(words) if words else (np.zeros(0, np.int64),) * 2
+    owner, bucket = features(words)
     order = np.argsort(owner, kind="stable")
     bucket, size = bucket[order], np.bincount(owner, minlength=len(words))
     first = np.concatenate(([0], np.cumsum(size)))
-    bags = [(w[i : i + BAG], y) for w, y in zip(numbered, toxic.tolist(), strict=True) for i in range(0, len(w), BAG)]
-    bad, good = [b for b in bags if b[1]], [b for b in bags if not b[1]]
-    if not bad or not good:
-        return Model(np.zeros(BUCKETS), 0.0)
-    good = [good[i] for i in rng.permutation(len(good))[: clean_bags * len(bad)]]
-    bags = bad + good
-    y = np.array([b[1] for b in bags], np.int64)
     vectors, softmax, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
     seen_v, seen_s, seen_b = np.full(BUCKETS, 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
     for _ in range(epochs):
-        shuffled = rng.permutation(len(bags))
-        for at in range(0, len(bags), 512):
+        shuffled = rng.permutation(len(runs))
+        for at in range(0, len(runs), 512):
             batch = shuffled[at : at + 512]
-            ws = np.concatenate([bags[i][0] for i in batch])
-            bag = np.repeat(np.arange(len(batch)), [len(bags[i][0]) for i in batch])
+            ws = np.concatenate([runs[i] for i in batch])
+            bag = np.repeat(np.arange(len(batch)), [len(runs[i]) for i in batch])
             n = size[ws]
             flat = bucket[np.repeat(first[ws] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
             own = np.repeat(bag, n)
@@ -172,17 +173,6 @@ def _calibrate(logits: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return slope, float(np.log(THRESHOLD / (1 - THRESHOLD)) - slope * cut)
 
 
-def fit(texts: list[str], toxic: list[int]) -> Model:
-    """Train on three quarters of the texts and calibrate on the rest."""
-    y = np.array(toxic, np.int64)
-    part = np.arange(len(texts)) % 4 == 3
-    model = train([t for t, p in zip(texts, part, strict=True) if not p], y[~part])
-    rest = [t for t, p in zip(texts, part, strict=True) if p]
-    if rest:
-        model.slope, model.level = _calibrate(np.array(Scorer(model).logits(rest)), y[part])
-    return model
-
-
 def held_out(doc_id: Column) -> Column:
     """Ids whose labels no fit may see: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -193,26 +183,42 @@ def lowest_hashes(marked: DataFrame, rows: int) -> DataFrame:
     return marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def fit_labelled(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from at most FIT_DOCS labelled texts: of the twice as many labelled ids that hash lowest, none held out, those
-    with texts of at most FIT_CHARS. The ids are picked before texts are touched, so only theirs move."""
+def fit_labelled(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_bags: int = FIT_BAGS) -> Model:
+    """A model from the texts of at most fit_docs labelled ids, those that hash lowest and are not held out.
+
+    Three quarters of the rows are trained on: tasks cut them into bags, of which the driver gathers at most fit_bags toxic and
+    three times as many clean ones, by the order of a hash. The worst bags of the last quarter calibrate. Texts of any length take
+    part; an id may stand for several rows. Without labels of both kinds every text gets the same score.
+    """
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = F.broadcast(lowest_hashes(marked, 2 * FIT_DOCS))  # at most so many rows
-    found = docs.select("doc_id", "text").filter(F.length("text") <= FIT_CHARS).join(sample, "doc_id")
-    rows = found.collect()  # bounded by the sample (an id stands for one document) and FIT_CHARS
-    rows = sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), str(r.doc_id), r.text))[:FIT_DOCS]
-    return fit([r.text for r in rows], [int(r.toxic) for r in rows])
+    sample = F.broadcast(lowest_hashes(marked, fit_docs))  # at most so many rows
+    rest = F.pmod(F.xxhash64("doc_id", "text"), F.lit(4)) == 3
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), rest.alias("rest"))
+    rows = written(rows, "labelled-texts")  # those of the sample alone
 
+    def cut():
+        def run(given: Iterator[tuple]) -> Iterator[tuple]:
+            for doc, text, toxic in given:
+                for i, bag in enumerate(bags(text or "")):
+                    yield toxic, zlib.crc32(f"{doc} {i} {bag}".encode("utf-8", "surrogatepass")), bag
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, score (0 to 1), predicted (1 from THRESHOLD on).
+        return run
 
-    Texts without a word (null ones too) get the score of an empty bag. Ids stay as they are, null ones too; other columns
-    are not read; an empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    shared = spark.sparkContext.broadcast(model)  # one number a bucket, whatever the input's size
+    cuts = written(map_rows(rows.filter("NOT rest").select("doc_id", "text", "toxic"), cut, "toxic int, place long, bag string"), "bags")
+    gathered = lambda toxic, n: [r.bag for r in cuts.filter(F.col("toxic") == toxic).orderBy("place", "bag").limit(n).collect()]
+    model = train(gathered(1, fit_bags), gathered(0, 3 * fit_bags))
+    kept = rows.filter("rest").select(F.xxhash64("doc_id", "text").alias("place"), "toxic", "text")
+    worst = logits(kept, model, "place long, toxic int").orderBy("place", "logit").limit(fit_docs).collect()
+    if worst:
+        model.slope, model.level = _calibrate(np.array([r.logit for r in worst]), np.array([r.toxic for r in worst], np.int64))
+    for old in (rows, cuts):
+        dropped(old)
+    return model
+
+
+def logits(rows: DataFrame, model: Model, kept: str) -> DataFrame:
+    """The columns before the last one (kept: their DDL), and logit, the worst bag's logit of the text in the last one."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # one number a bucket, whatever the input's size
 
     def make():
         scorer = Scorer(shared.value)
@@ -221,7 +227,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             block, chars = [], 0
             for row in rows:
                 block.append(row)
-                chars += len(row[1] or "")
+                chars += len(row[-1] or "")
                 if chars >= BLOCK_CHARS:
                     yield block
                     block, chars = [], 0
@@ -230,11 +236,36 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
         def run(given: Iterator[tuple]) -> Iterator[tuple]:
             for block in blocks(given):
-                for (doc, _), logit in zip(block, scorer.logits([t or "" for _, t in block]), strict=True):
-                    s = scorer.model.calibrated(logit)
-                    yield doc, s, int(s >= THRESHOLD)
+                for row, logit in zip(block, scorer.logits([row[-1] or "" for row in block]), strict=True):
+                    yield *row[:-1], logit
 
         return run
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_rows(rows, make, f"doc_id {kind}, score double, predicted int")
+    return map_rows(rows, make, f"{kept}, logit double")
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, score (0 to 1), predicted (1 from THRESHOLD on).
+
+    Texts without a word (null ones too) get the score of an empty bag. Ids stay as they are, null ones too; other columns
+    are not read; an empty table gives no rows.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = logits(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model, f"doc_id {kind}")
+    z = F.least(F.lit(30.0), F.greatest(F.lit(-30.0), F.col("logit") * model.slope + model.level))
+    scored = found.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not predicted toxic, with all their columns; each row is judged by its text alone."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in slices(batches):
+            found = scorer.logits([t or "" for t in batch.column(place).to_pylist()])
+            yield batch.filter(pa.array([scorer.model.calibrated(z) < THRESHOLD for z in found], pa.bool_()))
+
+    return docs.mapInArrow(apply, docs.schema)

@@ -47,7 +47,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refe
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def with_types(pages: DataFrame, min_bytes: int = 0, broadcast_rows: int | None = None) -> DataFrame:
+def with_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, html, sha1, revisit, refers_to of each page.
 
     Of pages with equal payloads of at least min_bytes bytes the one with the largest id is the response; pages that
@@ -56,9 +56,8 @@ def with_types(pages: DataFrame, min_bytes: int = 0, broadcast_rows: int | None
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     marked = rows.withColumn("sha1", F.sha1("html")).withColumn("bytes", F.octet_length("html").cast("long"))
     groups = marked.filter(F.col("bytes") >= min_bytes).groupBy("sha1", "bytes").agg(F.max("page_id").alias("keep"), F.count("*").alias("n"))
-    repeated = written(groups.filter("n > 1").drop("n"), "repeated-payloads")
-    more = {} if broadcast_rows is None else {"broadcast_rows": broadcast_rows}
-    found = keyed_join(marked, repeated, ["sha1", "bytes"], "left", repeated.count(), F.col("page_id"), **more)
+    repeated = written(groups.filter("n > 1"), "repeated-payloads")
+    found = keyed_join(marked, repeated, ["sha1", "bytes"], "left")
     revisit = F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep"))
     return found.select("page_id", "url", "html", "sha1", revisit.alias("revisit"), F.when(revisit, F.col("keep")).alias("refers_to"))
 

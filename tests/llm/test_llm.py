@@ -80,8 +80,8 @@ def test_exact_dedup(spark):
     want = [(i, max(j for j in ids if norm[j] == n), norm.count(n), i == max(j for j in ids if norm[j] == n), hashlib.sha256(n.encode()).hexdigest()) for i, n in zip(ids, norm, strict=True)]
     cols = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
     assert collected(exact_dedup.exact_groups(docs), *cols) == sorted(want, key=str)
-    # tiny buckets make the directory double; no broadcasts
-    assert collected(exact_dedup.exact_groups(docs, bucket_keys=2, max_depth=6, broadcast_rows=0), *cols) == sorted(want, key=str)
+    # tiny buckets make the directory double
+    assert collected(exact_dedup.exact_groups(docs, bucket_keys=2), *cols) == sorted(want, key=str)
     assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
     assert exact_dedup.exact_dedup(docs).count() == len(set(norm))
     nulls = table(spark, ["a", "A", "b", "b"], [None, 4, None, None])
@@ -163,9 +163,9 @@ def test_fingerprint_links_lose_nothing(spark, bucket_size):
     assert len({(a, b) for a, b in zip(got, want, strict=True)}) == len(set(want)) == len(set(got))
 
 
-def plain_lines(texts, m):
+def plain_lines(texts, m, min_chars=300):
     lines = [(t or "").split("\n") for t in texts]
-    seen, out = set(), []
+    seen, passages, out = set(), set(), []
     for ls in lines:
         gone = set()
         for i in range(len(ls) - m + 1):
@@ -173,15 +173,19 @@ def plain_lines(texts, m):
             if run in seen:
                 gone.update(range(i, i + m))
             seen.add(run)
+        for i, x in enumerate(ls):
+            if len(x) >= min_chars and x in passages:
+                gone.add(i)
+            passages.add(x)
         out.append((len(ls), len(gone), sum(1 for i in gone if i - 1 not in gone), "\n".join(x for i, x in enumerate(ls) if i not in gone)))
     return out
 
 
-@pytest.mark.parametrize("m,broadcast", [(1, 200_000), (2, 0), (3, 200_000), (5, 200_000)])
-def test_line_dedup(spark, m, broadcast):
+@pytest.mark.parametrize("m", [1, 2, 3, 5])
+def test_line_dedup(spark, m):
     r = random.Random(m)
-    texts = [None, "", "a", "a\na\na\na\na"] + ["\n".join(r.choice("abcd") for _ in range(r.randrange(1, 14))) for _ in range(40)]
-    got = line_dedup.line_dedup(table(spark, texts), min_lines=m, broadcast_rows=broadcast)
+    texts = [None, "", "a", "a\na\na\na\na", "p" * 300, "x\n" + "p" * 300 + "\ny", "p" * 299, "q\n" + "p" * 299] + ["\n".join(r.choice("abcd") for _ in range(r.randrange(1, 14))) for _ in range(40)]
+    got = line_dedup.line_dedup(table(spark, texts), min_lines=m)
     want = [(i, *x) for i, x in enumerate(plain_lines(texts, m))]
     assert collected(got, "doc_id", "n_lines", "n_removed", "n_runs", "kept_text") == sorted(want, key=str)
 
@@ -214,7 +218,8 @@ def test_suffix_dedup(spark, width, gram):
 
 
 def test_suffix_dedup_crowded_lead(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "CHUNK_WINDOWS", 50)
+    monkeypatch.setattr(suffix_dedup, "CROWDED", 10)
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 150)  # texts in several pieces
     r = random.Random(2)
     core = "".join(r.choice("abcdefgh") for _ in range(140))
     texts = ["".join(r.choice("xyz") for _ in range(50)) + core + "".join(r.choice("xyz") for _ in range(50)) for _ in range(30)]
