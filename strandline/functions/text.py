@@ -16,7 +16,7 @@ def words(text: Column) -> Column:
 
 def bm25_tokens(text: Column) -> Column:
     """Plain ASCII words of three characters or more."""
-    return F.filter(words(text), lambda w: w.rlike("^[a-z0-9]{3,}$"))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{N}_])[a-z0-9]{3,}(?![\p{L}\p{N}_])"), F.lit(0))
 
 
 def eval_tokens(text: Column) -> Column:

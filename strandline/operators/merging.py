@@ -23,6 +23,14 @@ def smart_upsert(old: DataFrame, new: DataFrame, key: str, forced: list[str] = (
     return both.select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), *map(merged, columns), action.alias("action"))
 
 
+def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Rows of old with the fields that new has for their key, and the rows that only new has; a null in new changes nothing."""
+    o, n = old.alias("o"), new.alias("n")
+    both = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
+    fields = [F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) if c in new.columns else F.col(f"o.{c}").alias(c) for c in old.columns if c != key]
+    return both.select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), *fields)
+
+
 def completeness(df: DataFrame, columns: list[str]) -> DataFrame:
     """column_name, missing, empty, filled, fill_rate: one pass over the table, one row per column."""
     counts = []

@@ -6,36 +6,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-
-#: Rows of a query-side table up to which it is broadcast.
-BROADCAST_ROWS = 50_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows; else Spark picks the join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
+from ..sources.tables import stored
 
 def postings(docs: DataFrame, tokens=text.bm25_tokens) -> DataFrame:
-    """doc_id, term, tf, dl: how often each term stands in each document, and the document's length."""
+    """doc_id, dl, term, tf: how often each term stands in each document, and the document's length.
+
+    Partial aggregation counts a document's terms in the task that has it.
+    """
     rows = docs.select("doc_id", tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
     return rows.select("doc_id", "dl", F.explode("t").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def term_frequencies(docs: DataFrame, tokens=text.bm25_tokens) -> DataFrame:
+    """term, df, cf: documents that hold each term, and how often all do. One shuffle, of terms counted in the tasks."""
+    ordered = F.array_sort("t")
+    rows = docs.select(tokens(F.col("text")).alias("t")).select(ordered.alias("o"))
+    marked = rows.select(F.explode(F.transform("o", lambda w, i: F.struct(w.alias("term"), ((i == 0) | (F.get("o", F.greatest(i - 1, F.lit(0))) != w)).cast("long").alias("new")))).alias("x"))
+    return marked.groupBy("x.term").agg(F.sum("x.new").alias("df"), F.count("*").alias("cf"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, doc_id, score, rank of the k best documents for each query (query_id, text).
 
-    Terms that no query has are dropped before the first shuffle. A term that a query repeats counts again.
+    Texts are cut into terms once and kept as a table; the number of documents and their mean length, the counts of the terms that
+    some query has, and the documents of each such term come from it. A term that a query repeats counts again.
     """
     asked = queries.select("query_id", F.explode(text.bm25_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    rows = docs.select("doc_id", text.bm25_tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    size = rows.agg(F.count("*").alias("n"), F.greatest(F.avg("dl"), F.lit(1e-9)).alias("average"))
-    terms = small(asked.select("term").distinct())
-    tf = rows.select("doc_id", "dl", F.explode("t").alias("term")).join(terms, "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    asked = stored(asked, "asked-terms")
+    index = stored(docs.select("doc_id", text.bm25_tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t")), "terms")
+    size = index.agg(F.count("*").alias("n"), F.greatest(F.avg("dl"), F.lit(1e-9)).alias("average"))
+    terms = index.select("doc_id", "dl", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    tf = stored(terms.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")), "postings")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = tf.join(small(df), "term").crossJoin(F.broadcast(size))  # one row
+    weighed = tf.join(df, "term").crossJoin(F.broadcast(size))  # one row
     weighed = weighed.select("term", "doc_id", scores.bm25_weight(scores.idf(F.col("n"), F.col("df")), F.col("tf"), F.col("dl"), F.col("average")).alias("w"))
-    found = weighed.join(small(asked), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("times")), 6).alias("score"))
+    found = weighed.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("times")), 6).alias("score"))
     return top(found.filter("score > 0"), ["query_id"], [F.desc("score"), F.col("doc_id")], k)
 
 
@@ -46,7 +51,7 @@ def top(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFr
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float | None = None) -> DataFrame:
     """query_id, vec_id, score, rank: exact cosine neighbours of a stated query set (query_id, q)."""
-    pairs = vectors.crossJoin(small(queries)).filter("vec_id <> query_id")
+    pairs = vectors.crossJoin(queries).filter("vec_id <> query_id")
     found = pairs.select("query_id", "vec_id", F.round(scores.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
     if least is not None:
         found = found.filter(F.col("score") >= least)

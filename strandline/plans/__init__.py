@@ -1,6 +1,6 @@
 """Registered queries, family by family, each with its SQL oracle."""
 
-from . import analytics, chunks, classifying, evaluating, extracting, filtering, learning, searching, selecting, state
+from . import analytics, chunks, classifying, evaluating, extracting, filtering, learning, searching, selecting, sources, state
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analytics", "chunks", "classifying", "evaluating", "extracting", "filtering", "learning", "searching", "selecting", "state"]
+__all__ = ["ORACLES", "QUERIES", "analytics", "chunks", "classifying", "evaluating", "extracting", "filtering", "learning", "searching", "selecting", "sources", "state"]

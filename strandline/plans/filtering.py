@@ -45,7 +45,7 @@ def f07_relevance_rules(spark, sf_dir):
     out = F.lower("text").contains("license")
     f = chunks(spark, sf_dir).select("doc_id", "source", out.alias("excluded"), ((F.col("similarity") >= 0.25) & ~out).alias("fit"))
     g = f.groupBy("source").agg(((F.count_if("excluded") > 10) | (F.count_if("fit") == 0)).alias("abort"))
-    return f.join(retrieval.small(g), "source").filter("fit OR abort").select("doc_id", "source")
+    return f.join(g, "source").filter("fit OR abort").select("doc_id", "source")
 
 
 @query("""SELECT e.vec_id, round(greatest(0, 1 - list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / 2), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q

@@ -98,7 +98,7 @@ def l09_contrastive_pairs(spark, sf_dir):
     """Each good document of a source with the source's first bad one."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     first = rows.filter("quality = 0").groupBy("source").agg(F.min("doc_id").alias("negative"))
-    return rows.filter("quality = 1").join(retrieval.small(first), "source").select(F.col("source").alias("anchor"), F.col("doc_id").alias("positive"), "negative")
+    return rows.filter("quality = 1").join(first, "source").select(F.col("source").alias("anchor"), F.col("doc_id").alias("positive"), "negative")
 
 
 @query(f"""WITH {RATED} SELECT term, round(list_reduce(list(CASE WHEN positive THEN 0.1::DOUBLE ELSE -0.05::DOUBLE END ORDER BY ts, event_id), lambda w, a: greatest(0.5, least(3.0, w + a)), 1.0::DOUBLE), 6) AS weight

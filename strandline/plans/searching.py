@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text
 from ..operators import retrieval
+from ..sources.tables import stored
 from .registry import query
 from .views import BM25_TOKENS, CHUNKS, EVAL_TOKENS, chunks, table
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
 _KEYWORDS = f"list_sort(list_distinct(list_filter({EVAL_TOKENS}, lambda w: length(w) >= 4 AND NOT list_contains({_STOP}, w))))"
-_BM25 = f"""
+BM25_SQL = _BM25 = f"""
     d AS (SELECT doc_id, {BM25_TOKENS} AS t FROM documents),
     n AS (SELECT count(*) AS n, avg(len(t)) AS average FROM d),
     tf AS (SELECT doc_id, len(t) AS dl, term, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS term FROM d) GROUP BY ALL),
@@ -127,8 +128,7 @@ def x02_page_title(spark, sf_dir):
 @query(f"""WITH d AS (SELECT doc_id, {BM25_TOKENS} AS t FROM documents)
     SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, unnest(t) AS term, 1 AS x FROM d), (SELECT 1 AS y) GROUP BY term""".replace("count(*) AS df, sum(tf)::BIGINT AS cf", "count(DISTINCT doc_id) AS df, sum(x)::BIGINT AS cf"))
 def a01_term_frequencies(spark, sf_dir):
-    p = retrieval.postings(table(spark, sf_dir, "documents"))
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return retrieval.term_frequencies(table(spark, sf_dir, "documents"))
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM bm25 WHERE rank <= 10")
@@ -138,15 +138,15 @@ def r01_bm25_top_k(spark, sf_dir):
 
 
 _DENSE = """
-    q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 20),
+    q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
     dense AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM q, embeddings WHERE vec_id <> query_id)"""
 
 
 @query(f"WITH {_DENSE} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM dense WHERE score >= 0.3) WHERE rank <= 10")
 def r02_dense_top_k(spark, sf_dir):
-    """A stated set of twenty query vectors against all vectors."""
+    """A stated set of query vectors, one in a hundred, against all vectors."""
     e = table(spark, sf_dir, "embeddings")
-    queries = e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    queries = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return retrieval.dense(e, queries, 10, least=0.3)
 
 
@@ -201,7 +201,7 @@ def e01_e04_keyword_overlap(spark, sf_dir):
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
     hits = r01_bm25_top_k(spark, sf_dir).filter("rank <= 5")
     asked = b.select(F.col("item_id").alias("query_id"), text.keyword_set(F.col("text")).alias("kw"))
-    found = retrieval.small(hits).join(d, "doc_id").join(retrieval.small(asked), "query_id").withColumn("dk", text.keyword_set(F.col("text")))
+    found = stored(hits.select("query_id", "doc_id"), "hits").join(d, "doc_id").join(asked, "query_id").withColumn("dk", text.keyword_set(F.col("text")))
     overlap = F.when(F.size("kw") == 0, 0.0).otherwise(F.round(F.size(F.array_intersect("kw", "dk")) / F.size("kw"), 6))
     g = found.select("query_id", overlap.alias("o")).groupBy("query_id").agg(F.max("o").alias("best"), F.round(F.avg("o"), 6).alias("mean"))
     return g.withColumn("grade", scores.grade(F.col("best")))

@@ -46,12 +46,6 @@ def s07_full_scroll(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("chars"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'pdf' WHEN doc_id % 3 = 1 THEN 'html' ELSE 'text' END AS reader FROM documents WHERE length(trim(text)) >= 50")
-def s10_format_dispatch(spark, sf_dir):
-    kind = F.when(F.col("doc_id") % 3 == 0, "pdf").when(F.col("doc_id") % 3 == 1, "html").otherwise("text")
-    return table(spark, sf_dir, "documents").filter(F.length(F.trim("text")) >= 50).select("doc_id", kind.alias("reader"))
-
-
 def _upsert_sides(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
     old = c.filter("c_custkey % 5 <> 0")
@@ -84,16 +78,6 @@ def s17_upsert_stats(spark, sf_dir):
     return s16_smart_upsert(spark, sf_dir).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query("""
-    SELECT doc_id, source, text FROM documents WHERE source <> 'src3'
-    UNION ALL SELECT doc_id, source, 'v2 ' || text AS text FROM documents WHERE source = 'src3' AND n_chars > 100""")
-def s21_targeted_reingest(spark, sf_dir):
-    """Rows of one source are replaced by their new version."""
-    d = table(spark, sf_dir, "documents")
-    fresh = d.filter("source = 'src3' AND n_chars > 100").select("doc_id", "source", F.concat(F.lit("v2 "), "text").alias("text"))
-    return d.filter("source <> 'src3'").select("doc_id", "source", "text").unionByName(fresh)
-
-
 @query("""
     SELECT count(*) AS before, count(*) FILTER (length(text) < 50) AS purged, count(*) FILTER (length(text) >= 50) AS after FROM documents""")
 def s22_quality_purge(spark, sf_dir):
@@ -106,14 +90,6 @@ def s28_collection_info(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").agg(F.count("*").alias("points"), F.min(F.size("embedding")).cast("long").alias("dims"))
 
 
-@query("""
-    WITH a AS (SELECT count(*) AS n FROM documents), b AS (SELECT count(*) AS n FROM documents WHERE n_chars > 20)
-    SELECT a.n AS left_rows, b.n AS right_rows, abs(a.n - b.n) <= greatest(10, 0.05 * a.n) AS alike FROM a, b""")
-def s29_store_parity(spark, sf_dir):
-    counts = table(spark, sf_dir, "documents").agg(F.count("*").alias("left_rows"), F.count_if(F.col("n_chars") > 20).alias("right_rows"))
-    return counts.withColumn("alike", F.abs(F.col("left_rows") - F.col("right_rows")) <= F.greatest(F.lit(10.0), 0.05 * F.col("left_rows")))
-
-
 @query(f"WITH {CHUNKS} SELECT doc_id, document_type, importance FROM chunks WHERE document_type IN ('bulletin', 'guide') AND importance >= 0.5 AND is_procedure")
 def f01_metadata_filter(spark, sf_dir):
     c = chunks(spark, sf_dir)

@@ -1 +1 @@
-"""Readers and writers of corpora."""
+"""Files and tables outside the session: exports, scans, stored copies."""
