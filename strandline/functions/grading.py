@@ -38,8 +38,9 @@ def rouge_l(expected: pd.Series, actual: pd.Series) -> pd.Series:
     return pd.Series([one(e, a) for e, a in zip(expected, actual, strict=True)], dtype="float64")
 
 
-def cites_source(text: Column) -> Column:
-    return F.lower(text).rlike("source|ticket|bulletin|document|pdf")
+def cites_source(text: Column, words: list[str]) -> Column:
+    """Whether a text names one of the words that tell a source."""
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(text), w))
 
 
 def codes(text: Column) -> Column:

@@ -14,6 +14,16 @@ INTENTS = {
     "connection": ["network", "connect", "pair", "cable"],
     "maintenance": ["clean", "replace", "service"],
     "specification": ["weight", "speed", "size", "range"],
+    "installation": ["install", "mount", "set up"],
+    "firmware": ["firmware", "update", "version"],
+    "compatibility": ["compatib", "fits", "works with"],
+    "accessory": ["accessor", "spare", "holder"],
+    "procedure": ["step", "how to", "instruction"],
+    "comparison": ["compare", "differ", "better"],
+    "safety": ["warning", "danger", "safe"],
+    "ordering": ["order", "price", "deliver"],
+    "greeting": ["hello", "bonjour", "hola", "guten"],
+    "explanation": ["what is", "why", "que ", "was ist"],
 }
 #: Words that tell English text.
 ENGLISH = ["the", "a", "an", "and", "or", "of", "to", "in", "is", "for", "with", "on", "that", "this"]
@@ -46,16 +56,6 @@ def retrieval_weights(text: Column, default: tuple[float, float] = (0.5, 0.5)) -
     return F.when(F.upper(text).rlike(r"(^|[^A-Z0-9_])[EI][0-9]{2,4}([^A-Z0-9_]|$)"), pair(0.6, 0.4)).when(F.lower(text).rlike(trouble), pair(0.45, 0.55)).otherwise(pair(*default))
 
 
-def content_flags(text: Column) -> dict[str, Column]:
-    return {
-        "procedure": text.rlike(r"(?im)(Step\s+\d+|^\s*\d+\.\s+[A-Z])"),
-        "table": text.rlike(r"\|.*\|.*\||\t.*\t"),
-        "error_code": text.rlike(r"[A-Z]{1,4}[-\s]?\d{2,4}\s*:"),
-        "warning": text.rlike("(?i)(Warning|Caution|Danger)"),
-        "specs": text.rlike(r"\d+\.?\d*\s*(Nm|kg|mm|rpm|bar|V|A|W)"),
-    }
-
-
 def is_english(text: Column) -> Column:
     """At most a quarter beyond ASCII and, from fifteen words on, four of a hundred among common English ones."""
     n = F.length(text)
@@ -119,18 +119,28 @@ def torque_range(text: Column) -> Column:
     return F.struct(F.coalesce(value(to, 1), value(dash, 1), value(one, 1)).alias("low"), F.coalesce(value(to, 2), value(dash, 2), value(one, 1)).alias("high"))
 
 
-def cid_decoded(text: Column) -> Column:
-    """(cid:N) as the character of that number; those beyond ASCII go."""
+def version_parts(version: Column, n: int) -> Column:
+    """The numbers of a version, filled up with zeros to n, so that versions compare as arrays."""
+    numbers = F.transform(F.split(version, "[.]"), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
+    return F.slice(F.concat(numbers, F.array_repeat(F.lit(0), n)), 1, n)
+
+
+def numbers_with_units(text: Column, units: list[str]) -> Column:
+    """Array of (value, unit), units in lower case."""
+    found = F.regexp_extract_all(F.lower(text), F.lit("[0-9]+(?:[.][0-9]+)? ?(?:" + "|".join(units) + ")"), F.lit(0))
+    return F.transform(found, lambda m: F.struct(F.regexp_extract(m, "^([0-9.]+)", 1).cast("double").alias("value"), F.regexp_extract(m, "([a-z]+)$", 1).alias("unit")))
+
+
+def ungrounded(answer: Column, context: Column, units: list[str], within: float = 0.01) -> Column:
+    """The numbers with units in the answer that the context does not hold."""
+    known = numbers_with_units(context, units)
+    return F.filter(numbers_with_units(answer, units), lambda x: ~F.exists(known, lambda k: (k["unit"] == x["unit"]) & (F.abs(k["value"] - x["value"]) <= within)))
+
+
+def cid_decoded(text: Column, shift: int = 0) -> Column:
+    """(cid:N) as the character of that number and the shift; those beyond ASCII go."""
     parts = F.split(text, r"\(cid:")
     number = lambda p: F.regexp_extract(p, r"^([0-9]{1,6})\)", 1)
     rest = lambda p: F.regexp_replace(p, r"^[0-9]{1,6}\)", "")
-    decoded = F.transform(F.slice(parts, 2, 1 << 30), lambda p: F.when(number(p) == "", F.concat(F.lit("(cid:"), p)).otherwise(F.concat(F.when(number(p).cast("int").between(1, 127), F.char(number(p).cast("long"))).otherwise(""), rest(p))))
+    decoded = F.transform(F.slice(parts, 2, 1 << 30), lambda p: F.when(number(p) == "", F.concat(F.lit("(cid:"), p)).otherwise(F.concat(F.when((number(p).cast("int") + shift).between(1, 127), F.char(number(p).cast("long") + shift)).otherwise(""), rest(p))))
     return F.concat(F.get(parts, F.lit(0)), F.array_join(decoded, ""))
-
-
-def section_path(text: Column) -> Column:
-    """Headings near the start as "chapter > section"; null without any."""
-    head = F.substring(text, 1, 500)
-    found = [F.substring(F.trim(F.regexp_extract(head, p, 1)), 1, 50) for p in (r"(?i)(Chapter\s+\d+[^>\n]*)", r"(?i)(Section\s+\d+\.\d+[^>\n]*)", r"(\d+\.\d+\.?\d*\s+[A-Z][^>\n]*)")]
-    path = F.array_join(F.filter(F.array(*found), lambda x: x != ""), " > ")
-    return F.when(path != "", path)

@@ -97,7 +97,12 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 #: Phrases of each language that tell it apart.
-LANGUAGE_WORDS = {"de": ["der", "die", "und", "ist"], "fr": ["les", "des", "est", "une"], "es": ["los", "que", "una", "del"], "en": ["the", "and", "that", "with"]}
+LANGUAGE_WORDS = {
+    "de": ["der", "die", "und", "ist", "das", "nicht", "von", "mit", "zu", "ein"],
+    "fr": ["les", "des", "est", "une", "dans", "pour", "le", "et", "du", "avec"],
+    "es": ["los", "que", "una", "del", "las", "por", "el", "con", "para", "en"],
+    "en": ["the", "and", "that", "with", "of", "is", "for", "was", "are", "this"],
+}
 
 
 def language(text: Column) -> Column:

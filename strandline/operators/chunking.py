@@ -62,7 +62,7 @@ def typed(lines: DataFrame, kinds: dict[str, str] = LINE_KINDS) -> DataFrame:
     return lines.withColumn("kind", first).withColumn("tokens", F.greatest(F.lit(1), F.floor(F.length("line") / 4)).cast("long"))
 
 
-def _in_order() -> Window:
+def in_order() -> Window:
     return Window.partitionBy("doc_id").orderBy("i")
 
 
@@ -75,7 +75,7 @@ def _joined(lines: DataFrame, *keys: str, **more: Column) -> DataFrame:
 def sections(lines: DataFrame, budget: int = 60) -> DataFrame:
     """(doc_id, section, part, heading, chunk, tokens, has_procedure): a header begins a section; a section larger than the budget is
     cut into parts, a line going to the part in which its first token falls. lines are typed()."""
-    placed = lines.withColumn("section", F.sum((F.col("kind") == "header").cast("long")).over(_in_order()))
+    placed = lines.withColumn("section", F.sum((F.col("kind") == "header").cast("long")).over(in_order()))
     within = Window.partitionBy("doc_id", "section").orderBy("i")
     cut = placed.withColumn("heading", F.first(F.when(F.col("kind") == "header", F.regexp_replace("line", "^#+ ", ""))).over(within))
     cut = cut.withColumn("part", F.floor((F.sum("tokens").over(within) - F.col("tokens")) / budget))
@@ -84,8 +84,8 @@ def sections(lines: DataFrame, budget: int = 60) -> DataFrame:
 
 def blocks(lines: DataFrame, kind: str) -> DataFrame:
     """The lines of a kind with block, the number of their unbroken run in the document, and place within it from 1."""
-    starts = (F.col("kind") == kind) & (F.lag("kind", 1, "").over(_in_order()) != kind)
-    runs = lines.withColumn("block", F.sum(starts.cast("long")).over(_in_order())).filter(F.col("kind") == kind)
+    starts = (F.col("kind") == kind) & (F.lag("kind", 1, "").over(in_order()) != kind)
+    runs = lines.withColumn("block", F.sum(starts.cast("long")).over(in_order())).filter(F.col("kind") == kind)
     return runs.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "block").orderBy("i")))
 
 
@@ -101,12 +101,12 @@ def steps(lines: DataFrame) -> DataFrame:
     """(doc_id, i, number, last): each step and the last line before the next step or the end of the document."""
     number = F.regexp_extract("line", "^([0-9]+)", 1).cast("long")
     marked = lines.withColumn("end", F.max("i").over(Window.partitionBy("doc_id"))).filter("kind = 'step'")
-    return marked.select("doc_id", "i", number.alias("number"), F.coalesce(F.lead("i").over(_in_order()) - 1, F.col("end")).alias("last"))
+    return marked.select("doc_id", "i", number.alias("number"), F.coalesce(F.lead("i").over(in_order()) - 1, F.col("end")).alias("last"))
 
 
 def step_chunks(lines: DataFrame, most: int = 5) -> DataFrame:
     """(doc_id, part, label, chunk, warned): steps with what follows them, so many to a chunk; a warning among them is flagged."""
-    numbered = lines.withColumn("step", F.sum((F.col("kind") == "step").cast("long")).over(_in_order())).filter("step > 0")
+    numbered = lines.withColumn("step", F.sum((F.col("kind") == "step").cast("long")).over(in_order())).filter("step > 0")
     part = F.floor((F.col("step") - 1) / most)
     nth = F.when(F.col("kind") == "step", F.col("step"))
     found = _joined(numbered.withColumn("part", part), "part", low=F.min(nth), high=F.max(nth), warned=F.count_if(F.col("kind") == "warning") > 0)
@@ -116,7 +116,7 @@ def step_chunks(lines: DataFrame, most: int = 5) -> DataFrame:
 def problem_pairs(lines: DataFrame) -> DataFrame:
     """(doc_id, i, problem, solution): each problem line with the next solution line before another problem."""
     marked = lines.filter("kind IN ('problem', 'solution')")
-    after = marked.withColumn("next_kind", F.lead("kind").over(_in_order())).withColumn("next_line", F.lead("line").over(_in_order()))
+    after = marked.withColumn("next_kind", F.lead("kind").over(in_order())).withColumn("next_line", F.lead("line").over(in_order()))
     bare = lambda c: F.trim(F.regexp_replace(c, "^[A-Za-z]+:", ""))
     return after.filter("kind = 'problem' AND next_kind = 'solution'").select("doc_id", "i", bare("line").alias("problem"), bare("next_line").alias("solution"))
 
@@ -125,8 +125,32 @@ def segments(lines: DataFrame) -> DataFrame:
     """(doc_id, segment, kind, chunk, tokens): unbroken runs of tables, of steps, and of all else."""
     kind = F.when(F.col("kind").isin("table", "step"), F.col("kind")).otherwise("text")
     named = lines.withColumn("kind", kind)
-    new = F.lag("kind", 1, "").over(_in_order()) != F.col("kind")
-    return _joined(named.withColumn("segment", F.sum(new.cast("long")).over(_in_order())), "segment", kind=F.min("kind"), tokens=F.sum("tokens"))
+    new = F.lag("kind", 1, "").over(in_order()) != F.col("kind")
+    return _joined(named.withColumn("segment", F.sum(new.cast("long")).over(in_order())), "segment", kind=F.min("kind"), tokens=F.sum("tokens"))
+
+
+def section_paths(lines: DataFrame) -> DataFrame:
+    """(doc_id, section, path): the headings from the document's first to the section's own, those of higher levels that hold it
+    between them; a heading's level is the number of its #."""
+    heads = lines.filter("kind = 'header'").withColumn("level", F.length(F.regexp_extract("line", "^(#+)", 1))).withColumn("name", F.regexp_replace("line", "^#+ ", ""))
+    placed = heads.withColumn("section", F.row_number().over(in_order()).cast("long"))
+    above = [F.last(F.when(F.col("level") == n, F.struct("section", "name")), ignorenulls=True).over(in_order()) for n in range(1, 5)]
+    held = placed.select("doc_id", "section", "level", "name", F.first("name").over(in_order()).alias("first"), *[a.alias(f"h{n}") for n, a in enumerate(above, 1)])
+    # a heading above holds the section unless a higher one came between them
+    parts = [F.when((F.col("level") > n) & (F.col(f"h{n}.section") >= F.greatest(F.lit(0), F.lit(0), *[F.coalesce(F.col(f"h{m}.section"), F.lit(0)) for m in range(1, n)])), F.col(f"h{n}.name")) for n in range(1, 4)]
+    whole = F.array_distinct(F.array_compact(F.array("first", *parts, "name")))
+    return held.select("doc_id", "section", F.array_join(whole, " > ").alias("path"))
+
+
+#: What a chunk is by the share or number of its kinds of lines: name -> (kind, least number, least share). The first that holds.
+CHUNK_TYPES = {"table": ("table", 1, 0.3), "procedure": ("step", 2, 0.0), "solution": ("solution", 1, 0.0), "warning": ("warning", 1, 0.2)}
+
+
+def chunk_types(lines: DataFrame, keys: list[str], types: dict[str, tuple[str, int, float]] = CHUNK_TYPES, default: str = "text") -> DataFrame:
+    """(keys, n_lines, type) of the chunks that the keys tell apart."""
+    counts = lines.groupBy(*keys).agg(F.count("*").alias("n_lines"), *[F.count_if(F.col("kind") == k).alias(f"_{name}") for name, (k, _, _) in types.items()])
+    first = F.coalesce(*[F.when((F.col(f"_{name}") >= n) & (F.col(f"_{name}") >= share * F.col("n_lines")), F.lit(name)) for name, (_, n, share) in types.items()], F.lit(default))
+    return counts.select(*keys, "n_lines", first.alias("type"))
 
 
 def merged_small(chunks: DataFrame, order: list[str], least: int) -> DataFrame:

@@ -31,6 +31,18 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return both.select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), *fields)
 
 
+def disjoint_spans(spans: DataFrame, key: str) -> DataFrame:
+    """spans (key, a, b, kind, both ends inclusive) without those that overlap a larger one that stays; of equal ones the earlier.
+
+    The spans of a key are one array, sorted by size and folded: a span stays if it meets none that stayed before it.
+    """
+    size = (F.col("a") - F.col("b")).alias("size")  # negative, so that the largest comes first
+    lists = spans.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(size, "a", "b", "kind"))).alias("l"))
+    none = F.filter("l", lambda x: F.lit(False))
+    kept = F.aggregate("l", none, lambda done, x: F.when(F.exists(done, lambda y: (x["a"] <= y["b"]) & (y["a"] <= x["b"])), done).otherwise(F.concat(done, F.array(x))))
+    return lists.select(key, F.explode(kept).alias("x")).select(key, "x.a", "x.b", "x.kind")
+
+
 def completeness(df: DataFrame, columns: list[str]) -> DataFrame:
     """column_name, missing, empty, filled, fill_rate: one pass over the table, one row per column."""
     counts = []

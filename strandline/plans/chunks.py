@@ -130,3 +130,29 @@ def w11_merged_chunks(spark, sf_dir):
 @query(f"WITH {TYPED} SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS documents FROM t GROUP BY kind")
 def h00_line_kinds(spark, sf_dir):
     return lines(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
+
+
+@query(f"""WITH {TYPED}, h AS (SELECT doc_id, i, regexp_replace(line, '^#+ ', '') AS name FROM t WHERE kind = 'header'),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS section, first_value(name) OVER (PARTITION BY doc_id ORDER BY i) AS first FROM h)
+    SELECT doc_id, section, CASE WHEN first = name THEN name ELSE first || ' > ' || name END AS path FROM n""")
+def x17_section_paths(spark, sf_dir):
+    """The headings under which each section stands."""
+    return chunking.section_paths(lines(spark, sf_dir))
+
+
+@query(f"""WITH {TYPED} SELECT doc_id, bool_or(kind = 'step') AS "procedure", bool_or(kind = 'table') AS "table", bool_or(kind = 'warning') AS warning, bool_or(kind = 'problem') AS problem,
+    bool_or(regexp_matches(line, '[A-Z]{{1,3}}[0-9]{{2,}}')) AS code, bool_or(regexp_matches(lower(line), '[0-9] ?(kg|mm|rpm)')) AS specs FROM t GROUP BY doc_id""")
+def x11_content_flags(spark, sf_dir):
+    """What kinds of lines, codes and measures each document has."""
+    has = lambda kind: F.bool_or(F.col("kind") == kind)
+    g = lines(spark, sf_dir).groupBy("doc_id")
+    return g.agg(has("step").alias("procedure"), has("table").alias("table"), has("warning").alias("warning"), has("problem").alias("problem"), F.bool_or(F.col("line").rlike("[A-Z]{1,3}[0-9]{2,}")).alias("code"), F.bool_or(F.lower("line").rlike("[0-9] ?(kg|mm|rpm)")).alias("specs"))
+
+
+@query(f"""WITH {TYPED}, s AS (SELECT *, sum((kind = 'header')::INT) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS section FROM t),
+    c AS (SELECT doc_id, section, count(*) AS n, count(*) FILTER (kind = 'table') AS tables, count(*) FILTER (kind = 'step') AS steps, count(*) FILTER (kind = 'solution') AS solutions, count(*) FILTER (kind = 'warning') AS warnings FROM s GROUP BY ALL)
+    SELECT doc_id, section, n AS n_lines, CASE WHEN tables >= 1 AND tables >= 0.3 * n THEN 'table' WHEN steps >= 2 THEN 'procedure' WHEN solutions >= 1 THEN 'solution' WHEN warnings >= 1 AND warnings >= 0.2 * n THEN 'warning' ELSE 'text' END AS type FROM c""")
+def c04_chunk_types(spark, sf_dir):
+    """The type of each section, by a table of kinds of lines, numbers and shares."""
+    placed = lines(spark, sf_dir).withColumn("section", F.sum((F.col("kind") == "header").cast("long")).over(chunking.in_order()))
+    return chunking.chunk_types(placed, ["doc_id", "section"])

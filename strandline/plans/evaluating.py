@@ -27,11 +27,11 @@ def e02_rouge_l(spark, sf_dir):
 _CODES = "list_distinct(regexp_extract_all(upper({}), '[EW][0-9]{{3,4}}'))"
 
 
-@query(f"""WITH {_PAIRS} SELECT conv_id, turn, regexp_matches(lower(answer), 'source|ticket|bulletin|document|pdf') AS cited,
+@query(f"""WITH {_PAIRS} SELECT conv_id, turn, len(list_filter(['page', 'http', 'thou'], lambda w: contains(lower(answer), w))) > 0 AS cited,
     len({_CODES.format('answer')}) > 0 AND NOT list_has_any({_CODES.format('answer')}, {_CODES.format('question')}) AS invented FROM p""")
 def e03_answer_flags(spark, sf_dir):
     pairs = e05_question_answer_pairs(spark, sf_dir)
-    return pairs.select("conv_id", "turn", grading.cites_source(F.col("answer")).alias("cited"), grading.invented_codes(F.col("answer"), F.col("question")).alias("invented"))
+    return pairs.select("conv_id", "turn", grading.cites_source(F.col("answer"), ["page", "http", "thou"]).alias("cited"), grading.invented_codes(F.col("answer"), F.col("question")).alias("invented"))
 
 
 @query(f"""WITH {_PAIRS} SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN length(answer) < 100 THEN 'short' END, CASE WHEN NOT contains(lower(answer), 'the') THEN 'lacks word' END,

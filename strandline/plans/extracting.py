@@ -48,27 +48,6 @@ def r13_severity(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", level.alias("severity"))
 
 
-_STEP = r"(?m)^\s*\d+\.\s+"
-_KIND = rf"""CASE WHEN regexp_matches(text, '\|.*\|.*\|') OR length(text) - length(replace(text, chr(9), '')) > 5 THEN 'table_row'
-        WHEN regexp_matches(text, '[A-Z]{{1,4}}[-\s]?\d{{2,4}}\s*:') AND length(text) < 500 THEN 'error_code'
-        WHEN regexp_matches(text, '{_STEP}[A-Z]') AND len(regexp_extract_all(text, '{_STEP}')) >= 2 THEN 'procedure'
-        WHEN regexp_matches(text, '[A-Z]{{4}}[-\s]?\d{{4,5}}') AND regexp_matches(text, '(?i)solution|remedy|fix|corrective') THEN 'problem_solution_pair'
-        ELSE 'semantic_section' END"""
-
-
-@query(f"SELECT doc_id, {_KIND} AS kind FROM documents")
-def c04_chunk_type(spark, sf_dir):
-    t, n = F.col("text"), F.length("text")
-    kind = (
-        F.when(t.rlike(r"\|.*\|.*\|") | (n - F.length(F.replace(t, F.lit("\t"), F.lit(""))) > 5), "table_row")
-        .when(t.rlike(r"[A-Z]{1,4}[-\s]?\d{2,4}\s*:") & (n < 500), "error_code")
-        .when(t.rlike(_STEP + "[A-Z]") & (F.regexp_count(t, F.lit(_STEP)) >= 2), "procedure")
-        .when(t.rlike(r"[A-Z]{4}[-\s]?\d{4,5}") & t.rlike("(?i)solution|remedy|fix|corrective"), "problem_solution_pair")
-        .otherwise("semantic_section")
-    )
-    return table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"))
-
-
 @query()
 def h02_word_windows(spark, sf_dir):
     return chunking.split_by_words(table(spark, sf_dir, "documents").select("doc_id", "text"), budget=400, overlap=80)

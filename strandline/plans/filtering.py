@@ -48,13 +48,13 @@ def f07_relevance_rules(spark, sf_dir):
     return f.join(g, "source").filter("fit OR abort").select("doc_id", "source")
 
 
-@query("""SELECT e.vec_id, round(greatest(0, 1 - list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / 2), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
-    WHERE round(greatest(0, 1 - list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / 2), 6) >= 0.3""")
+@query("""SELECT q.vec_id AS query_id, e.vec_id, round(greatest(0, 1 - list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / 2), 6) AS score FROM embeddings e, embeddings q
+    WHERE q.vec_id % 100 = 0 AND round(greatest(0, 1 - list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / 2), 6) >= 0.3""")
 def f09_distance_threshold(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)  # one query vector
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # a stated query set
     square = F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    return e.crossJoin(F.broadcast(q)).select("vec_id", F.round(F.greatest(F.lit(0.0), 1 - F.sqrt(square) / 2), 6).alias("score")).filter("score >= 0.3")
+    return e.crossJoin(q).select("query_id", "vec_id", F.round(F.greatest(F.lit(0.0), 1 - F.sqrt(square) / 2), 6).alias("score")).filter("score >= 0.3")
 
 
 @query(f"""WITH {_PAIRS} SELECT coalesce(CASE WHEN regexp_matches(answer, '(?i)\\b(see|apply) (the )?bulletin\\b') THEN 'bulletin' WHEN length(answer) <= 100 AND regexp_matches(answer, '(?i)\\b(thanks|thank you|closed|feedback)\\b') THEN 'feedback only'
@@ -121,12 +121,6 @@ def c14_password_policy(spark, sf_dir):
     return words.select("c_custkey", F.array_join(rules.password_errors(F.col("w")), ",").alias("errors"), rules.password_strength(F.col("w")).alias("strength"))
 
 
-@query(r"""SELECT doc_id, regexp_matches(text, '(?im)(Step\s+\d+|^\s*\d+\.\s+[A-Z])') AS "procedure", regexp_matches(text, '\|.*\|.*\||\t.*\t') AS "table", regexp_matches(text, '[A-Z]{1,4}[-\s]?\d{2,4}\s*:') AS error_code,
-    regexp_matches(text, '(?i)(Warning|Caution|Danger)') AS warning, regexp_matches(text, '\d+\.?\d*\s*(Nm|kg|mm|rpm|bar|V|A|W)') AS specs FROM documents""")
-def x11_content_flags(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in rules.content_flags(F.col("text")).items()])
-
-
 _T = "CASE k % 3 WHEN 0 THEN 'from ' || k || ' to ' || (k + 5) || ' Nm' WHEN 1 THEN k || '.5 Nm - ' || (k + 9) || ' Nm' ELSE 'set ' || k || ' Nm' END"
 
 
@@ -172,10 +166,10 @@ def a17_problem_rows(spark, sf_dir):
     return found.orderBy("c_custkey").limit(10).select("c_custkey", F.array_join("issues", ",").alias("issues"))
 
 
-@query("""SELECT p_partkey, coalesce(CASE WHEN p_name LIKE 'red%' THEN 'warm' WHEN p_name LIKE 'small%' THEN 'little' END, 'none') AS controller FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_name LIKE 'red%' THEN 'warm' WHEN p_name LIKE 'small%' THEN 'little' WHEN p_name LIKE 'blue%' THEN 'cold' WHEN p_name LIKE '%gear' THEN 'drive' WHEN p_name LIKE '%ring' THEN 'seal' ELSE 'none' END AS controller FROM part""")
 def j10_pattern_join(spark, sf_dir):
     """Anchored patterns of a small rule table against each name; the first rule that fits."""
-    rows = spark.createDataFrame([(0, "^red", "warm"), (1, "^small", "little")], "place int, pattern string, controller string")
+    rows = spark.createDataFrame([(0, "^red", "warm"), (1, "^small", "little"), (2, "^blue", "cold"), (3, "gear$", "drive"), (4, "ring$", "seal")], "place int, pattern string, controller string")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     hits = p.join(F.broadcast(rows), F.expr("p_name RLIKE pattern"), "left")
     first = hits.groupBy("p_partkey").agg(F.min_by("controller", "place").alias("c"))
@@ -202,11 +196,11 @@ def t04_learning_keywords(spark, sf_dir):
     return retrieval.top(counted, ["doc_id"], [F.desc("n"), F.col("at")], 10).select("doc_id", "word", "n", "rank")
 
 
-@query("SELECT event_id, 'x' || chr((65 + event_id % 26)::INT) || 'y' AS decoded FROM events")
+@query("SELECT doc_id, text AS decoded, text AS shifted FROM documents")
 def t10_glyph_codes(spark, sf_dir):
-    """Glyph numbers read back from strings made of each event's id; a number beyond ASCII goes."""
-    said = F.concat(F.lit("x(cid:"), (F.col("event_id") % 26 + 65).cast("string"), F.lit(")(cid:900)y"))
-    return table(spark, sf_dir, "events").select("event_id", rules.cid_decoded(said).alias("decoded"))
+    """Texts whose letter t was written as a glyph number, by its own code and by one that fonts number from 29 on; a number beyond ASCII goes."""
+    said = lambda n: F.replace("text", F.lit("t"), F.lit(f"(cid:900)(cid:{n})"))
+    return table(spark, sf_dir, "documents").select("doc_id", rules.cid_decoded(said(116)).alias("decoded"), rules.cid_decoded(said(87), 29).alias("shifted"))
 
 
 @query(f"""WITH {CHUNKS}, r AS (SELECT doc_id, source, document_type, row_number() OVER (PARTITION BY source ORDER BY similarity DESC, doc_id) AS rank FROM chunks)
@@ -219,10 +213,10 @@ def t23_citation_list(spark, sf_dir):
 
 
 @query(f"""WITH {CHUNKS}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY similarity DESC, doc_id) AS rank FROM chunks WHERE length(text) > 0)
-    SELECT source, string_agg('[' || document_type || ']' || CASE WHEN is_warning THEN ' !' ELSE '' END || ' ' || substr(text, 1, 80), chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM r WHERE rank <= 4 GROUP BY source""")
+    SELECT source, string_agg('[' || document_type || ']' || CASE WHEN is_warning THEN ' !' ELSE '' END || ' ' || text, chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM r WHERE rank <= 4 GROUP BY source""")
 def t24_context_string(spark, sf_dir):
     best = retrieval.top(chunks(spark, sf_dir).filter(F.length("text") > 0), ["source"], [F.desc("similarity"), F.col("doc_id")], 4)
-    line = F.concat(F.lit("["), F.col("document_type"), F.lit("]"), F.when(F.col("is_warning"), " !").otherwise(""), F.lit(" "), F.substring("text", 1, 80))
+    line = F.concat(F.lit("["), F.col("document_type"), F.lit("]"), F.when(F.col("is_warning"), " !").otherwise(""), F.lit(" "), F.col("text"))
     lines = best.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))  # four
     return lines.select("source", F.array_join("l.line", "\n---\n").alias("context"))
 
@@ -265,12 +259,6 @@ def u05_greedy_near_duplicates(spark, sf_dir):
     return retrieval.greedy_distinct(best.withColumn("words", F.array_distinct(text.words(F.col("text")))), "source", "doc_id", 0.85)
 
 
-@query("""SELECT doc_id, string_agg(p, ' > ' ORDER BY i) AS path FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, [substr(trim(regexp_extract(substr(text, 1, 500), '(?i)(Chapter\\s+\\d+[^>\\n]*)', 1)), 1, 50),
-    substr(trim(regexp_extract(substr(text, 1, 500), '(?i)(Section\\s+\\d+\\.\\d+[^>\\n]*)', 1)), 1, 50), substr(trim(regexp_extract(substr(text, 1, 500), '(\\d+\\.\\d+\\.?\\d*\\s+[A-Z][^>\\n]*)', 1)), 1, 50)] AS ps FROM documents)) WHERE p <> '' GROUP BY doc_id""")
-def x17_section_path(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", rules.section_path(F.col("text")).alias("path")).filter("path IS NOT NULL")
-
-
 _LINKS = r"""list_sort(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1)))"""
 
 

@@ -90,12 +90,9 @@ def t17_t18_truncation(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.truncated(t, 120).alias("cut"), text.sentence_truncated(t, 200).alias("sentence"))
 
 
-@query(r"""WITH l AS (SELECT event_id, 'error e ' || lpad(((props->>'$.k')::BIGINT % 60)::VARCHAR, 3, '0') || ' seen' AS t FROM events)
-    SELECT event_id, 'E' || regexp_extract(upper(t), 'E[ \-]?0*([0-9]{1,4})', 1) AS code FROM l""")
+@query(r"""SELECT doc_id, CASE WHEN regexp_extract(upper(text), 'E[ \-]?0*([0-9]{1,4})', 1) <> '' THEN 'E' || regexp_extract(upper(text), 'E[ \-]?0*([0-9]{1,4})', 1) END AS code FROM documents""")
 def t19_error_code(spark, sf_dir):
-    k = F.get_json_object("props", "$.k").cast("long") % 60
-    log = F.concat(F.lit("error e "), F.lpad(k.cast("string"), 3, "0"), F.lit(" seen"))
-    return table(spark, sf_dir, "events").select("event_id", text.error_code(log).alias("code"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.error_code(F.col("text")).alias("code"))
 
 
 _LANG = r"regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')"
@@ -150,36 +147,6 @@ def r02_dense_top_k(spark, sf_dir):
     return retrieval.dense(e, queries, 10, least=0.3)
 
 
-def _ranked_lists(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    by_similarity = retrieval.top(c, ["source"], [F.desc("similarity"), F.col("doc_id")], 20)
-    by_importance = retrieval.top(c, ["source"], [F.desc("importance"), F.col("doc_id")], 20)
-    return by_similarity, by_importance
-
-
-_RRF = f"""{CHUNKS}, a AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY similarity DESC, doc_id) AS rank FROM chunks),
-    b AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY importance DESC, doc_id) AS rank FROM chunks),
-    rrf AS (SELECT source, doc_id, round(sum(part), 8) AS score FROM (SELECT source, doc_id, 0.6 / (60 + rank) AS part FROM a WHERE rank <= 20
-        UNION ALL SELECT source, doc_id, 0.4 / (60 + rank) FROM b WHERE rank <= 20) GROUP BY ALL)"""
-
-
-@query(f"WITH {_RRF} SELECT source, doc_id, score FROM rrf")
-def r05_weighted_rrf(spark, sf_dir):
-    a, b = _ranked_lists(spark, sf_dir)
-    return retrieval.fused([(a, 0.6), (b, 0.4)], ["source", "doc_id"])
-
-
-@query(f"""WITH {_RRF}, s AS (SELECT r.source, r.doc_id, round(score * (CASE WHEN importance >= 0.8 THEN 1.3 ELSE 1.0 END) * (CASE WHEN is_warning THEN 1.2 ELSE 1.0 END)
-        * (CASE WHEN is_procedure THEN 1.15 ELSE 1.0 END), 8) AS boosted FROM rrf r JOIN chunks c ON r.doc_id = c.doc_id)
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY boosted DESC, doc_id) AS rank FROM s) WHERE rank <= 5""")
-def r06_hybrid_search(spark, sf_dir):
-    """Two rankings fused, boosted by metadata, the best five per source."""
-    hits = r05_weighted_rrf(spark, sf_dir).join(chunks(spark, sf_dir).drop("source"), "doc_id")
-    boost = scores.metadata_boost(F.col("importance"), F.col("is_warning"), F.col("is_procedure"), F.lit(0))
-    boosted = hits.select("source", "doc_id", F.round(F.col("score") * boost, 8).alias("boosted"))
-    return retrieval.top(boosted, ["source"], [F.desc("boosted"), F.col("doc_id")], 5)
-
-
 @query(f"""WITH {CHUNKS} SELECT source, round(0.5 * least(avg(similarity) / 0.5, 1) + 0.3 * least(max(similarity) / 0.6, 1) + 0.2 * least(count(*) / 3.0, 1), 6) AS score,
     CASE WHEN 0.5 * least(avg(similarity) / 0.5, 1) + 0.3 * least(max(similarity) / 0.6, 1) + 0.2 * least(count(*) / 3.0, 1) >= 0.7 THEN 'answer'
          WHEN 0.5 * least(avg(similarity) / 0.5, 1) + 0.3 * least(max(similarity) / 0.6, 1) + 0.2 * least(count(*) / 3.0, 1) >= 0.4 THEN 'caution' ELSE 'refuse' END AS advice

@@ -119,12 +119,12 @@ def f10_excluded_sources(spark, sf_dir):
 
 
 @query("""
-    SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'price|order|invoice') THEN 'commercial'
-        WHEN regexp_matches(lower(text), 'weather|football') THEN 'off_topic' WHEN length(text) < 30 THEN 'short' ELSE 'ok' END AS verdict
+    SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'price|order|invoice|discount|deliver|payment|refund') THEN 'commercial'
+        WHEN regexp_matches(lower(text), 'weather|football|recipe|movie|politic|horoscope|lottery') THEN 'off_topic' WHEN length(text) < 30 THEN 'short' ELSE 'ok' END AS verdict
     FROM conversations WHERE role = 'user'""")
 def f11_off_topic_guard(spark, sf_dir):
     low = F.lower("text")
-    verdict = F.when(low.rlike("price|order|invoice"), "commercial").when(low.rlike("weather|football"), "off_topic").when(F.length("text") < 30, "short").otherwise("ok")
+    verdict = F.when(low.rlike("price|order|invoice|discount|deliver|payment|refund"), "commercial").when(low.rlike("weather|football|recipe|movie|politic|horoscope|lottery"), "off_topic").when(F.length("text") < 30, "short").otherwise("ok")
     return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", verdict.alias("verdict"))
 
 
@@ -150,15 +150,6 @@ def a18_quality_breakdown(spark, sf_dir):
     return f15_chunk_quality(spark, sf_dir).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-@query("""
-    SELECT e.event_id, e.user_id, coalesce(o.o_orderkey, -1) AS o_orderkey, coalesce(o.o_orderstatus, 'none') AS o_orderstatus
-    FROM events e LEFT JOIN orders o ON o.o_orderkey = e.event_id WHERE e.event_type = 'purchase'""")
-def j05_feedback_to_original(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_type = 'purchase'")
-    joined = e.join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("event_id"), "left")
-    return joined.select("event_id", "user_id", F.coalesce("o_orderkey", F.lit(-1)).alias("o_orderkey"), F.coalesce("o_orderstatus", F.lit("none")).alias("o_orderstatus"))
-
-
 @query(f"""WITH {FEEDBACK}, s AS (SELECT source, count(*) AS n, sum(positive::INT) AS p FROM feedback GROUP BY source)
     SELECT d.doc_id, round(CASE WHEN n IS NULL THEN 1.0 ELSE 0.5 + p / n::DOUBLE END, 6) AS boost FROM documents d LEFT JOIN s ON d.source = s.source""")
 def j07_source_score(spark, sf_dir):

@@ -1,4 +1,4 @@
-"""Rate limits, bans and caches over events in order. No SQL expresses them; tests hold them against plain loops."""
+"""Rate limits and bans over events in order. No SQL expresses them; tests hold them against plain loops."""
 
 from __future__ import annotations
 
@@ -33,9 +33,3 @@ def k06_blocked_list(spark, sf_dir):
     last = _bans(spark, sf_dir).filter(F.col("ts") <= at).groupBy("user_id").agg(F.max_by("blocked_until", F.struct("ts", "event_id")).alias("until"))
     left = (F.floor((F.unix_timestamp("until") - F.unix_timestamp(at)) / 60) + 1).alias("minutes_left")
     return last.filter(F.col("until") > at).select("user_id", "until", left).orderBy(F.desc("until"), "user_id").limit(10)
-
-
-@query()
-def z01_cache_replay(spark, sf_dir):
-    m = metrics(spark, sf_dir).select("event_id", "user_id", "ts", (F.col("k") % 7).alias("entry"))
-    return folds.cache_replay(m, "user_id", "entry", capacity=4, seconds=6 * 3600.0)

@@ -43,11 +43,11 @@ def flattened(df: DataFrame) -> DataFrame:
 
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV files with a header; quotes are doubled, so that any text comes back as it was."""
-    flattened(df).write.option("header", True).option("escape", '"').option("emptyValue", '""').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    flattened(df).write.option("header", True).option("escape", '"').option("nullValue", "\\N").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).option("emptyValue", "").csv(path)
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).option("nullValue", "\\N").csv(path)
 
 
 def export_json(df: DataFrame, path: str, by: str | None = None) -> None:

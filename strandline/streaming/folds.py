@@ -1,4 +1,4 @@
-"""Keyed state over ordered rows: rate limits, bans and caches.
+"""Keyed state over ordered rows: rate limits and bans.
 
 Whether a request counts depends on what became of those before it, which no window frame expresses. Rows are dealt by key
 and sorted; a task then reads them batch by batch and holds the state of the key at hand alone. The rows of one key are
@@ -7,7 +7,7 @@ necessarily taken one after another, but never gathered.
 
 from __future__ import annotations
 
-from collections import OrderedDict, deque
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -77,26 +77,3 @@ def progressive_bans(attempts: DataFrame, key: str, ts: str = "ts", order: list[
         return state["n"], False, state.get("until")
 
     return fold_in_order(attempts, key, [ts, *order], dict, step, "attempts long, blocked boolean, blocked_until timestamp")
-
-
-def cache_replay(requests: DataFrame, key: str, entry: str, ts: str = "ts", order: list[str] = ("event_id",), capacity: int = 20, seconds: float = 3600.0) -> DataFrame:
-    """Adds outcome (hit, miss or expired) and evicted, for a cache of each key that drops the entry used longest ago.
-
-    An entry expires when it is older than the seconds; it is made anew by a miss.
-    """
-    ttl = pd.Timedelta(seconds=seconds)
-
-    def step(cache: OrderedDict, row) -> tuple:
-        now, name = getattr(row, ts), getattr(row, entry)
-        made = cache.get(name)
-        if made is not None and now - made <= ttl:
-            cache.move_to_end(name)
-            return "hit", False
-        cache.pop(name, None)
-        full = len(cache) >= capacity
-        if full:
-            cache.popitem(last=False)
-        cache[name] = now
-        return ("miss" if made is None else "expired"), full
-
-    return fold_in_order(requests, key, [ts, *order], OrderedDict, step, "outcome string, evicted boolean")

@@ -61,24 +61,6 @@ def test_bans(spark):
     assert any(b for _, b in want.values())
 
 
-def test_cache(spark):
-    rows, want = events(7), {}
-    for group in by_user(rows).values():
-        made, used = {}, {}
-        for at, (i, _, t, _, e) in enumerate(group):
-            if e in made and t - made[e] <= dt.timedelta(seconds=900):
-                want[i] = "hit"
-            else:
-                want[i] = "expired" if e in made else "miss"
-                made.pop(e, None), used.pop(e, None)
-                if len(made) >= 3:
-                    oldest = min(used, key=used.get)
-                    del made[oldest], used[oldest]
-                made[e] = t
-            used[e] = at
-    got = folds.cache_replay(table(spark, rows), "user", "entry", capacity=3, seconds=900.0)
-    assert {x.event_id: x.outcome for x in got.collect()} == want
-
 
 def test_term_weights_with_bounds(spark):
     r = random.Random(3)
