@@ -380,7 +380,10 @@ def exact_pairs(sets: DataFrame, nodes: DataFrame, n: int, similarity: float = 0
     sets: fp, shingles, n rows; nodes: node, root of those already joined, whose pairs within a root are left out.
     """
     firsts = written(prefixes(sets, frequent_shingles(sets, n), similarity), "prefixes")
-    rooted = firsts.join(nodes.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    # most shingles stand in one prefix alone: those go before anything is joined
+    shared = written(firsts.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "shared-cells")
+    twice = keyed_join(firsts, shared, ["cell"], "inner").drop("n")
+    rooted = twice.join(nodes.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = written(rooted, "rooted-prefixes")
     dropped(firsts)
     cells = rooted.groupBy("cell").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
@@ -412,7 +415,8 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     more = verified(exact_pairs(sets, sure, n, similarity), sets, similarity)
     nodes = connected_components(sure.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = _named(distinct.select("fp", "first", "n"), nodes)
-    found = keyed_join(rows.select("doc_id", "d1", "d2", "fp"), named, ["fp"], "left")
+    found = written(keyed_join(rows.select("doc_id", "d1", "d2", "fp"), named, ["fp"], "left"), "near-rows")
+    dropped(rows)  # the sets of shingles are as large as the texts
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("d1") == F.col("first.d1")) & (F.col("d2") == F.col("first.d2"))
     return found.select("doc_id", "d1", "d2", F.col("first.doc_id").alias("component_id"), stays.alias("stays"))
 
