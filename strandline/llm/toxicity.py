@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .arrow import map_rows, slices
 from .shared import dropped, written
 
-#: Labelled ids that a fit uses at most, and bags of each class that it gathers at most (three times as many clean ones): runs of
-#: BAG words, some 60 characters each, so that the driver holds tens of megabytes however long the texts are.
+#: Labelled ids that a fit uses at most, and toxic bags that it gathers at most (and three clean ones for each): runs of BAG
+#: words, some 60 characters each, so that the driver holds tens of megabytes however long the texts are.
 FIT_DOCS, FIT_BAGS = 4000, 60_000
 BUCKETS, DIM, BAG = 1 << 16, 8, 8
 GRAMS = (3, 4, 5)
@@ -187,7 +187,7 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, f
     """A model from the texts of at most fit_docs labelled ids, those that hash lowest and are not held out.
 
     Three quarters of the rows are trained on: tasks cut them into bags, of which the driver gathers at most fit_bags toxic and
-    three times as many clean ones, by the order of a hash. The worst bags of the last quarter calibrate. Texts of any length take
+    three times as many clean ones as toxic ones, by the order of a hash. The worst bags of the last quarter calibrate. Texts of any length take
     part; an id may stand for several rows. Without labels of both kinds every text gets the same score.
     """
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -206,7 +206,8 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, f
 
     cuts = written(map_rows(rows.filter("NOT rest").select("doc_id", "text", "toxic"), cut, "toxic int, place long, bag string"), "bags")
     gathered = lambda toxic, n: [r.bag for r in cuts.filter(F.col("toxic") == toxic).orderBy("place", "bag").limit(n).collect()]
-    model = train(gathered(1, fit_bags), gathered(0, 3 * fit_bags))
+    bad = gathered(1, fit_bags)
+    model = train(bad, gathered(0, 3 * len(bad)))
     kept = rows.filter("rest").select(F.xxhash64("doc_id", "text").alias("place"), "toxic", "text")
     worst = logits(kept, model, "place long, toxic int").orderBy("place", "logit").limit(fit_docs).collect()
     if worst:
