@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,13 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Ask for a collection of garbage: the shuffle files of datasets that nothing refers to go then, so that the disk holds those of
+    a long job's last steps only."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, n: str = "n") -> DataFrame:
     """Join left with a table that has each key once and, as column n, how many rows of left hold it.
 

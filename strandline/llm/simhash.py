@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .arrow import map_rows, slices
 from .components import connected_components
-from .shared import dropped, keyed_join, written
+from .shared import dropped, keyed_join, released, written
 
 #: Distinct fingerprints of a bucket that are compared in one row; larger buckets are dealt by flips.
 BUCKET_SIZE = 64
@@ -278,9 +278,10 @@ def similar_links(distinct: DataFrame, similarity: float = 0.8, bucket_size: int
     that agree in a byte of the first 64 bits, for each of its eight bytes, are compared, in hands where they are many.
     """
     most = allowed_bits(similarity)
-    entries = distinct.select(F.explode("cells").alias("cell"), "fp", "wide")
+    entries = distinct.select(F.explode("cells").alias("cell"), "fp")
     sizes = written(entries.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "sample-cells")
-    members = written(keyed_join(entries, sizes, ["cell"], "inner"), "sample-members")
+    shared = keyed_join(entries, sizes, ["cell"], "inner")  # few cells have two members: the wide fingerprints join those alone
+    members = written(shared.join(distinct.select("fp", "wide").hint("merge"), "fp").select("cell", "n", "fp", "wide"), "sample-members")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -412,11 +413,14 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     sets = rows.join(written(again.select("row"), "repeated-sets"), "row", "left_anti")
     n = distinct.count()
     sure = connected_components(verified(similar_links(sets.select("fp", "wide", "cells"), similarity), sets, similarity))
+    released(docs.sparkSession)
     more = verified(exact_pairs(sets, sure, n, similarity), sets, similarity)
+    released(docs.sparkSession)
     nodes = connected_components(sure.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = _named(distinct.select("fp", "first", "n"), nodes)
     found = written(keyed_join(rows.select("doc_id", "d1", "d2", "fp"), named, ["fp"], "left"), "near-rows")
     dropped(rows)  # the sets of shingles are as large as the texts
+    released(docs.sparkSession)
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("d1") == F.col("first.d1")) & (F.col("d2") == F.col("first.d2"))
     return found.select("doc_id", "d1", "d2", F.col("first.doc_id").alias("component_id"), stays.alias("stays"))
 
