@@ -387,10 +387,12 @@ def exact_pairs(sets: DataFrame, nodes: DataFrame, n: int, similarity: float = 0
     rooted = twice.join(nodes.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = written(rooted, "rooted-prefixes")
     dropped(firsts)
+    released(sets.sparkSession)  # the shuffles of all prefixes
     cells = rooted.groupBy("cell").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     cells = written(cells.select("cell", "n"), "mixed-cells")
     members = written(keyed_join(rooted, cells, ["cell"], "inner"), "cell-members")
     dropped(rooted)
+    released(sets.sparkSession)
     blocks = F.ceil(F.col("n") / block)
     x = members.select("cell", F.pmod(F.xxhash64("fp"), blocks).alias("block"), F.col("fp").alias("a"), F.col("root").alias("ra"), F.col("at").alias("i"), F.col("size").alias("m"))
     y = members.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.col("fp").alias("b"), F.col("root").alias("rb"), F.col("at").alias("j"), F.col("size").alias("k"))
