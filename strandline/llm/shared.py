@@ -12,6 +12,8 @@ from pyspark.sql.types import IntegralType
 
 #: A key is hot if it holds more than one in HOT_KEYS of the rows, and HOT_ROWS at least; so there are fewer than HOT_KEYS of them.
 HOT_KEYS, HOT_ROWS = 10_000, 100
+#: Words of 64 bits in which sieved_join() marks keys: a table of two million bytes, whatever the number of keys.
+SIEVE_WORDS = 1 << 17
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,6 +76,23 @@ def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, n:
     return left.join(F.broadcast(hot), keys, "left_semi" if how == "left_semi" else "inner").unionByName(others)
 
 
+def sieved_join(left: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """The rows of left, which may be wide, whose key stands in the one column of keys (left_semi) or does not (left_anti).
+
+    Each key marks one bit of SIEVE_WORDS words, which are broadcast: rows whose bit is not set hold none of the keys and
+    need no shuffle. Only the others meet the keys in a sort-merge join, so the result is exact however many bits are set.
+    keys should be a table, for it is read twice; keys are never null.
+    """
+    hashed = F.xxhash64(key, F.lit(7))
+    word = F.pmod(hashed, F.lit(SIEVE_WORDS)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(hashed, 40), F.lit(64)).cast("int"))
+    marks = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    sieved = left.withColumn("_word", word).join(F.broadcast(marks), "_word", "left")
+    held = F.coalesce(F.col("_bits"), F.lit(0).cast("long")).bitwiseAND(bit) != 0
+    met = sieved.filter(held).select(*left.columns).join(keys.select(key).hint("merge"), key, how)
+    return met if how == "left_semi" else met.unionByName(sieved.filter(~held).select(*left.columns))
+
+
 def ordered_rows(docs: DataFrame, id_col: str, text_col: str, carry: list[str] = ()) -> DataFrame:
     """doc_id, text (never null) and doc, a long that orders the rows by id and tells them apart; columns to carry along
     are named _carry_ and their name.

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .arrow import map_rows, slices
 from .components import connected_components
-from .shared import dropped, keyed_join, released, written
+from .shared import dropped, keyed_join, released, sieved_join, written
 
 #: Distinct fingerprints of a bucket that are compared in one row; larger buckets are dealt by flips.
 BUCKET_SIZE = 64
@@ -258,30 +258,36 @@ def allowed_bits(similarity: float) -> int:
 def verified(links: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The links (a, b), a > b, between sets whose Jaccard similarity is similarity or more. sets: fp, shingles; each fp once."""
     pairs = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "proposed-links")
-    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    asked = written(sets.select("fp", "shingles").join(ends, "fp", "left_semi"), "asked-sets")
+    ends = written(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct(), "linked-sets")
+    asked = written(sieved_join(sets.select("fp", "shingles"), ends, "fp", "left_semi"), "asked-sets")
     both = pairs.join(asked.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(asked.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
     common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
     found = written(common.filter(F.col("common") + 1e-9 >= similarity * (F.col("sizes") - F.col("common"))).select("a", "b"), "verified-links")
-    dropped(asked)
+    for spent in (pairs, ends, asked):
+        dropped(spent)
     return found
 
 
-def similar_links(distinct: DataFrame, similarity: float = 0.8, bucket_size: int = BUCKET_SIZE) -> DataFrame:
+def similar_links(distinct: DataFrame, similarity: float = 0.8, bucket_size: int = BUCKET_SIZE, spent: list | None = None) -> DataFrame:
     """(a, b): links between sets that share a sample and whose wide fingerprints are as close as the similarity asks.
 
     These are proposals, to be verified, and not all there are.
 
-    distinct: fp, wide, cells. All members of a cell of at most bucket_size are compared. Those of a crowded cell are dealt
+    distinct: fp, wide, cells. spent: takes the tables that can be dropped once the links are written. All members of a cell of at most bucket_size are compared. Those of a crowded cell are dealt
     into hands of about that size, by chance and anew in each cell; of each set that a hand links, SPOKESMEN members stand
     for it in the next turn, until the cell is small. A cell whose members do not halve in a turn holds unlike texts: those
     that agree in a byte of the first 64 bits, for each of its eight bytes, are compared, in hands where they are many.
     """
-    most = allowed_bits(similarity)
+    most, spent = allowed_bits(similarity), [] if spent is None else spent
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        spent.append(written(df, name))
+        return spent[-1]
+
     entries = distinct.select(F.explode("cells").alias("cell"), "fp")
-    sizes = written(entries.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "sample-cells")
+    sizes = kept(entries.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "sample-cells")
     shared = keyed_join(entries, sizes, ["cell"], "inner")  # few cells have two members: the wide fingerprints join those alone
-    members = written(shared.join(distinct.select("fp", "wide").hint("merge"), "fp").select("cell", "n", "fp", "wide"), "sample-members")
+    members = kept(shared.join(distinct.select("fp", "wide").hint("merge"), "fp").select("cell", "n", "fp", "wide"), "sample-members")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -313,10 +319,10 @@ def similar_links(distinct: DataFrame, similarity: float = 0.8, bucket_size: int
     every = [links(compared(members.filter(F.col("n") <= bucket_size)))]
     crowded, unlike, turn = members.filter(F.col("n") > bucket_size), [], 0
     while not crowded.isEmpty():
-        found = written(compared(crowded, hand(F.lit(turn))), "hands")
+        found = kept(compared(crowded, hand(F.lit(turn))), "hands")
         left = found.filter("a = b").select("cell", F.col("n").alias("before"), F.col("a").alias("fp"), "wide")
-        sizes = written(left.groupBy("cell").agg(F.count("*").alias("n")), "hand-cells")
-        left = written(keyed_join(left, sizes, ["cell"], "inner"), "hand-members")
+        sizes = kept(left.groupBy("cell").agg(F.count("*").alias("n")), "hand-cells")
+        left = kept(keyed_join(left, sizes, ["cell"], "inner"), "hand-members")
         many = left.filter(F.col("n") > bucket_size)
         every += [links(found), links(compared(left.filter(F.col("n") <= bucket_size)))]
         unlike.append(many.filter("2 * n > before").drop("before"))
@@ -325,7 +331,7 @@ def similar_links(distinct: DataFrame, similarity: float = 0.8, bucket_size: int
     parts = F.array(*[F.shiftrightunsigned(F.element_at("wide", 1), 8 * i).bitwiseAND(F.lit(255)) + F.lit(256 * i) for i in range(8)])
     for rows in unlike:
         parted = rows.select("cell", "fp", "wide", F.explode(parts).alias("part"))
-        sizes = written(parted.groupBy("cell", "part").agg(F.count("*").alias("n")).filter("n > 1"), "parts")
+        sizes = kept(parted.groupBy("cell", "part").agg(F.count("*").alias("n")).filter("n > 1"), "parts")
         shared = keyed_join(parted, sizes, ["cell", "part"], "inner")
         every.append(links(compared(shared, F.col("part"), F.when(F.col("n") > bucket_size, hand("part")).otherwise(0))))
     return reduce(DataFrame.unionByName, every)
@@ -375,10 +381,11 @@ def prefixes(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], similarit
     return sets.select("fp", "shingles").mapInArrow(apply, "cell long, fp long, at int, size int")
 
 
-def exact_pairs(sets: DataFrame, nodes: DataFrame, n: int, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
+def exact_pairs(sets: DataFrame, nodes: DataFrame, n: int, similarity: float = 0.8, block: int = BLOCK, spent: list | None = None) -> DataFrame:
     """(a, b): all pairs of different roots whose sets may be as similar as asked, to be verified.
 
-    sets: fp, shingles, n rows; nodes: node, root of those already joined, whose pairs within a root are left out.
+    sets: fp, shingles, n rows; nodes: node, root of those already joined, whose pairs within a root are left out; spent: takes
+    the tables that can be dropped once the pairs are written.
     """
     firsts = written(prefixes(sets, frequent_shingles(sets, n), similarity), "prefixes")
     # most shingles stand in one prefix alone: those go before anything is joined
@@ -393,6 +400,8 @@ def exact_pairs(sets: DataFrame, nodes: DataFrame, n: int, similarity: float = 0
     members = written(keyed_join(rooted, cells, ["cell"], "inner"), "cell-members")
     dropped(rooted)
     released(sets.sparkSession)
+    if spent is not None:
+        spent += [shared, cells, members]
     blocks = F.ceil(F.col("n") / block)
     x = members.select("cell", F.pmod(F.xxhash64("fp"), blocks).alias("block"), F.col("fp").alias("a"), F.col("root").alias("ra"), F.col("at").alias("i"), F.col("size").alias("m"))
     y = members.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.col("fp").alias("b"), F.col("root").alias("rb"), F.col("at").alias("j"), F.col("size").alias("k"))
@@ -412,11 +421,18 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "d1", "d2")
     distinct = written(rows.groupBy("fp").agg(F.min(own).alias("first"), F.min("row").alias("first_row"), F.count("*").alias("n")), "distinct-sketches")
     again = keyed_join(rows.select("fp", "row"), distinct.select("fp", "first_row", "n"), ["fp"], "inner").filter("row <> first_row")
-    sets = rows.join(written(again.select("row"), "repeated-sets"), "row", "left_anti")
+    sets = sieved_join(rows, written(again.select("row"), "repeated-sets"), "row", "left_anti")
     n = distinct.count()
-    sure = connected_components(verified(similar_links(sets.select("fp", "wide", "cells"), similarity), sets, similarity))
+    spent: list[DataFrame] = []
+    links = verified(similar_links(sets.select("fp", "wide", "cells"), similarity, spent=spent), sets, similarity)
+    for table in spent:
+        dropped(table)
+    sure = connected_components(links)
     released(docs.sparkSession)
-    more = verified(exact_pairs(sets, sure, n, similarity), sets, similarity)
+    spent = []
+    more = verified(exact_pairs(sets, sure, n, similarity, spent=spent), sets, similarity)
+    for table in spent:
+        dropped(table)
     released(docs.sparkSession)
     nodes = connected_components(sure.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = _named(distinct.select("fp", "first", "n"), nodes)
