@@ -42,6 +42,8 @@ LANES, SAMPLES, SAMPLE = 4, 24, 4
 COUNTED, FREQUENT, FREQUENTS = 10_000, 3, 200_000
 #: Members of a cell that a block of the exact join holds.
 BLOCK = 1000
+#: Parts, by hash of the shingle, in which prefixes are joined one after another.
+PARTS = 4
 #: Members of a linked set that stand for it when the rest of a crowded cell is searched.
 SPOKESMEN = 4
 
@@ -388,20 +390,26 @@ def exact_pairs(sets: DataFrame, nodes: DataFrame, n: int, similarity: float = 0
     the tables that can be dropped once the pairs are written.
     """
     firsts = written(prefixes(sets, frequent_shingles(sets, n), similarity), "prefixes")
-    # most shingles stand in one prefix alone: those go before anything is joined
-    shared = written(firsts.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "shared-cells")
-    twice = keyed_join(firsts, shared, ["cell"], "inner").drop("n")
-    rooted = twice.join(nodes.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = written(rooted, "rooted-prefixes")
+    # most shingles stand in one prefix alone: those go before anything is joined, a part of the shingles at a time, so that the
+    # disk holds the shuffles of one part only
+    parts, roots = [], nodes.withColumnRenamed("node", "fp").hint("merge")
+    for part in range(PARTS):
+        some = firsts.filter(F.pmod(F.xxhash64("cell"), F.lit(PARTS)) == part)
+        shared = written(some.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "shared-cells")
+        twice = keyed_join(some, shared, ["cell"], "inner").drop("n")
+        parts.append(written(twice.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted-prefixes"))
+        dropped(shared)
+        released(sets.sparkSession)
     dropped(firsts)
-    released(sets.sparkSession)  # the shuffles of all prefixes
+    rooted = reduce(DataFrame.unionByName, parts)
     cells = rooted.groupBy("cell").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     cells = written(cells.select("cell", "n"), "mixed-cells")
     members = written(keyed_join(rooted, cells, ["cell"], "inner"), "cell-members")
-    dropped(rooted)
+    for done in parts:
+        dropped(done)
     released(sets.sparkSession)
     if spent is not None:
-        spent += [shared, cells, members]
+        spent += [cells, members]
     blocks = F.ceil(F.col("n") / block)
     x = members.select("cell", F.pmod(F.xxhash64("fp"), blocks).alias("block"), F.col("fp").alias("a"), F.col("root").alias("ra"), F.col("at").alias("i"), F.col("size").alias("m"))
     y = members.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.col("fp").alias("b"), F.col("root").alias("rb"), F.col("at").alias("j"), F.col("size").alias("k"))
