@@ -42,7 +42,7 @@ LANES, SAMPLES, SAMPLE = 4, 24, 4
 COUNTED, FREQUENT, FREQUENTS = 10_000, 3, 200_000
 #: Members of a cell that a block of the exact join holds.
 BLOCK = 1000
-#: Parts, by hash of the shingle, in which prefixes are joined one after another.
+#: Parts in which prefixes (by hash of the shingle) and proposed links (of one end) are joined one after another.
 PARTS = 4
 #: Members of a linked set that stand for it when the rest of a crowded cell is searched.
 SPOKESMEN = 4
@@ -260,14 +260,20 @@ def allowed_bits(similarity: float) -> int:
 def verified(links: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The links (a, b), a > b, between sets whose Jaccard similarity is similarity or more. sets: fp, shingles; each fp once."""
     pairs = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "proposed-links")
-    ends = written(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct(), "linked-sets")
-    asked = written(sieved_join(sets.select("fp", "shingles"), ends, "fp", "left_semi"), "asked-sets")
-    both = pairs.join(asked.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(asked.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
-    common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
-    found = written(common.filter(F.col("common") + 1e-9 >= similarity * (F.col("sizes") - F.col("common"))).select("a", "b"), "verified-links")
-    for spent in (pairs, ends, asked):
-        dropped(spent)
-    return found
+    found = []
+    for part in range(PARTS):  # the disk holds the sets of one part of the pairs
+        some = pairs.filter(F.pmod(F.xxhash64("b"), F.lit(PARTS)) == part)
+        ends = written(some.select(F.col("a").alias("fp")).unionByName(some.select(F.col("b").alias("fp"))).distinct(), "linked-sets")
+        asked = written(sieved_join(sets.select("fp", "shingles"), ends, "fp", "left_semi"), "asked-sets")
+        released(sets.sparkSession)
+        both = some.join(asked.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(asked.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+        common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
+        found.append(written(common.filter(F.col("common") + 1e-9 >= similarity * (F.col("sizes") - F.col("common"))).select("a", "b"), "verified-links"))
+        for spent in (ends, asked):
+            dropped(spent)
+        released(sets.sparkSession)
+    dropped(pairs)
+    return reduce(DataFrame.unionByName, found)
 
 
 def similar_links(distinct: DataFrame, similarity: float = 0.8, bucket_size: int = BUCKET_SIZE, spent: list | None = None) -> DataFrame:

@@ -439,3 +439,17 @@ def test_quality_scores_all_unlabelled(spark):
     low, high = pool.surest([weight, np.zeros(quality.PAGE_BUCKETS)], [{*low, *high}, set()], 20, 20)[0]
     assert z[order[1]] == min(z[i] for i in z if keys[i] in low) and not {keys[None], keys[3300]} & {*low, *high} and len(low) == len(high) == 20
     assert set(pool.features({keys[3300]})) == {keys[3300]}
+
+
+def test_sieved_join(spark, monkeypatch):
+    """Exact whether few bits are marked or all, with repeated rows and no keys at all."""
+    from strandline.llm import shared
+
+    left = spark.createDataFrame([(7 * i - 900, [i]) for i in range(400)] + [(i, [i]) for i in range(9)], "k long, wide array<long>")
+    keys = spark.createDataFrame([(i,) for i in range(1500)], "k long")
+    for words in (1 << 17, 1):
+        monkeypatch.setattr(shared, "SIEVE_WORDS", words)
+        for how in ("left_semi", "left_anti"):
+            for some in (keys, keys.limit(0)):
+                found = shared.sieved_join(left, some, "k", how).select("k", "wide")
+                assert sorted(map(tuple, found.collect())) == sorted(map(tuple, left.join(some, "k", how).select("k", "wide").collect()))
