@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -13,6 +15,23 @@ from pyspark.sql.types import StructType
 SLICE_ROWS, ROWS, BATCH_BYTES = 500, 20_000, 4 << 20
 
 
+def at_rest(apply: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """apply, for mapInArrow or mapInPandas, that gives free memory back to the system when a task ends.
+
+    Spark keeps workers for later tasks, more than run at once; what Arrow and the C library hold back in each adds up.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        yield from apply(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
@@ -38,4 +57,4 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[Iterator[tuple]], Itera
                 out, size = [], 0
         yield table(out)
 
-    return df.mapInArrow(apply, schema)
+    return df.mapInArrow(at_rest(apply), schema)

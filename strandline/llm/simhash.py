@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_rows, slices
+from .arrow import at_rest, map_rows, slices
 from .components import connected_components
 from .shared import dropped, keyed_join, released, sieved_join, written
 
@@ -134,14 +134,14 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, bucket_size: int = B
             yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     small = shared.filter(F.col("n") <= bucket_size).groupBy("t", "cell").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-    close = small.select("fps").mapInPandas(compare, "a long, b long")
+    close = small.select("fps").mapInPandas(at_rest(compare), "a long, b long")
 
     bits = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
     crowded = shared.filter(F.col("n") > bucket_size).select("t", "mask", "fp", F.explode(bits).alias("flip")).filter(F.col("flip").bitwiseAND(F.col("mask")) == 0)
     points = crowded.select("t", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     if radius < 2:  # a shared point only tells that two are within two flips
         pairs = points.groupBy("t", "point").agg(F.sort_array(F.collect_list("fp")).alias("fps")).filter(F.size("fps") > 1)  # at most 65
-        return close.unionByName(pairs.select("fps").mapInPandas(compare, "a long, b long"))
+        return close.unionByName(pairs.select("fps").mapInPandas(at_rest(compare), "a long, b long"))
     least = points.groupBy("t", "point").agg(F.sort_array(F.collect_set("fp")).alias("fps")).filter(F.size("fps") > 1)  # at most 65
     far = least.select(F.explode(F.slice("fps", 2, 65)).alias("a"), F.element_at("fps", 1).alias("b"))
     return close.unionByName(far)
@@ -315,7 +315,7 @@ def similar_links(distinct: DataFrame, similarity: float = 0.8, bucket_size: int
         named = [k.alias(f"_key{i}") for i, k in enumerate(keys)]
         groups = rows.select("cell", "n", "fp", "wide", *named).groupBy("cell", "n", *[f"_key{i}" for i in range(len(keys))])
         found = groups.agg(F.sort_array(F.collect_list(F.struct("fp", "wide"))).alias("found")).select("cell", "n", "found")
-        return found.mapInPandas(compare, "cell long, n long, a long, b long, wide array<long>")
+        return found.mapInPandas(at_rest(compare), "cell long, n long, a long, b long, wide array<long>")
 
     def links(found: DataFrame) -> DataFrame:
         return found.filter("a <> b").select("a", "b")
@@ -386,7 +386,7 @@ def prefixes(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], similarit
             if cells:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (cells, fps, ats, sizes)], schema=target)
 
-    return sets.select("fp", "shingles").mapInArrow(apply, "cell long, fp long, at int, size int")
+    return sets.select("fp", "shingles").mapInArrow(at_rest(apply), "cell long, fp long, at int, size int")
 
 
 def exact_pairs(sets: DataFrame, nodes: DataFrame, n: int, similarity: float = 0.8, block: int = BLOCK, spent: list | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .arrow import map_rows, slices
+from .arrow import at_rest, map_rows, slices
 from .shared import keyed_join, ordered_rows, written
 
 WIDTH, GRAM = 100, 40
@@ -178,7 +178,7 @@ def anchors(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
             if parts:
                 yield settle(parts)
 
-    return docs.mapInArrow(apply, ANCHORS)
+    return docs.mapInArrow(at_rest(apply), ANCHORS)
 
 
 def multikey_groups(words: list[np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,7 +250,7 @@ def _compare(buckets: DataFrame, width: int) -> DataFrame:
         if chunk:
             yield solve(chunk)
 
-    return buckets.mapInArrow(apply, schema)
+    return buckets.mapInArrow(at_rest(apply), schema)
 
 
 def _equal_windows(windows: DataFrame) -> DataFrame:

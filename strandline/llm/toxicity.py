@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_rows, slices
+from .arrow import at_rest, map_rows, slices
 from .shared import dropped, written
 
 #: Labelled ids that a fit uses at most, and toxic bags that it gathers at most (and three clean ones for each): runs of BAG
@@ -269,4 +269,4 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
             found = scorer.logits([t or "" for t in batch.column(place).to_pylist()])
             yield batch.filter(pa.array([scorer.model.calibrated(z) < THRESHOLD for z in found], pa.bool_()))
 
-    return docs.mapInArrow(apply, docs.schema)
+    return docs.mapInArrow(at_rest(apply), docs.schema)

@@ -13,8 +13,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Words that a worker remembers; it starts anew when they are this many, so memory stays bounded (some 250 bytes a word).
-CACHE_WORDS = 500_000
+#: Words that a worker remembers; it starts anew when they are this many, so memory stays bounded (some 250 bytes a word, two generations).
+CACHE_WORDS = 200_000
 #: Longer words (in characters) are not remembered.
 CACHE_CHARS = 40
 
