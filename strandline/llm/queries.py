@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, line_dedup, packing, piece_codec, quality, simhash, suffix_dedup, toxicity, warc
+from . import ann, exact_dedup, fill_in_middle, line_dedup, mixing, packing, piece_codec, quality, simhash, suffix_dedup, toxicity, warc, whitening
 from .shared import written
 
 
@@ -65,7 +65,22 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), texts=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_subword_toxicity, op3_exact_dedup, op4_piece_encode_decode, op5_simhash_near_dedup, op6_line_run_dedup, op7_co_trained_quality, op8_warc_round_trip, op9_projected_neighbours, op10_suffix_array_dedup)}
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mixed_sources(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_subword_toxicity, op3_exact_dedup, op4_piece_encode_decode, op5_simhash_near_dedup, op6_line_run_dedup, op7_co_trained_quality, op8_warc_round_trip, op9_projected_neighbours, op10_suffix_array_dedup, op11_source_mixing, op12_fill_in_middle, op13_whitening)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": """
@@ -101,4 +116,25 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
         FROM d""",
+    "op12_fill_in_middle": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines,
+                   sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h
+            FROM documents),
+        c AS (
+            SELECT doc_id, text, lines, len(lines) AS n, list_transform(range(4), lambda i: ('0x' || substr(h, 8 * i + 1, 8))::BIGINT) AS draws,
+                   text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') AS plain
+            FROM d),
+        p AS (
+            SELECT doc_id, text, n, CASE WHEN plain THEN 'plain' WHEN draws[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+                   array_to_string(lines[:least(draws[1] % (n + 1), draws[2] % (n + 1))], '') AS prefix,
+                   array_to_string(lines[least(draws[1] % (n + 1), draws[2] % (n + 1)) + 1:greatest(draws[1] % (n + 1), draws[2] % (n + 1))], '') AS middle,
+                   array_to_string(lines[greatest(draws[1] % (n + 1), draws[2] % (n + 1)) + 1:], '') AS suffix
+            FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p""",
 }
