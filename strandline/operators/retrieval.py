@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..sources.tables import stored
+
 
 def postings(docs: DataFrame, tokens=text.bm25_tokens) -> DataFrame:
     """doc_id, dl, term, tf: how often each term stands in each document, and the document's length.
@@ -25,39 +25,11 @@ def term_frequencies(docs: DataFrame, tokens=text.bm25_tokens) -> DataFrame:
     return marked.groupBy("x.term").agg(F.sum("x.new").alias("df"), F.count("*").alias("cf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, doc_id, score, rank of the k best documents for each query (query_id, text).
-
-    Texts are cut into terms once and kept as a table; the number of documents and their mean length, the counts of the terms that
-    some query has, and the documents of each such term come from it. A term that a query repeats counts again.
-    """
-    asked = queries.select("query_id", F.explode(text.bm25_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    asked = stored(asked, "asked-terms")
-    index = stored(docs.select("doc_id", text.bm25_tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t")), "terms")
-    size = index.agg(F.count("*").alias("n"), F.greatest(F.avg("dl"), F.lit(1e-9)).alias("average"))
-    terms = index.select("doc_id", "dl", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = stored(terms.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")), "postings")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = tf.join(df, "term").crossJoin(F.broadcast(size))  # one row
-    weighed = weighed.select("term", "doc_id", scores.bm25_weight(scores.idf(F.col("n"), F.col("df")), F.col("tf"), F.col("dl"), F.col("average")).alias("w"))
-    found = weighed.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("times")), 6).alias("score"))
-    return top(found.filter("score > 0"), ["query_id"], [F.desc("score"), F.col("doc_id")], k)
-
-
 def top(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each key with their rank; Spark cuts each partition to k before the shuffle."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float | None = None) -> DataFrame:
-    """query_id, vec_id, score, rank: exact cosine neighbours of a stated query set (query_id, q)."""
-    pairs = vectors.crossJoin(queries).filter("vec_id <> query_id")
-    found = pairs.select("query_id", "vec_id", F.round(scores.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    if least is not None:
-        found = found.filter(F.col("score") >= least)
-    return top(found, ["query_id"], [F.desc("score"), F.col("vec_id")], k)
-
-
 def fused(lists: list[tuple[DataFrame, float]], keys: list[str], k: int = scores.RRF_K) -> DataFrame:
     """Weighted reciprocal rank fusion of ranked lists (keys, rank): keys, score."""
     parts = [df.select(*keys, (F.lit(w) / (k + F.col("rank"))).alias("part")) for df, w in lists]

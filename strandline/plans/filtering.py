@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import retrieval
+from ..operators import retrieval, vector_index
 from .registry import ORACLES, query
 from .searching import e05_question_answer_pairs
 from .views import CHUNKS, METRICS, chunks, metrics, table
@@ -53,8 +53,7 @@ def f07_relevance_rules(spark, sf_dir):
 def f09_distance_threshold(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # a stated query set
-    square = F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    return e.crossJoin(q).select("query_id", "vec_id", F.round(F.greatest(F.lit(0.0), 1 - F.sqrt(square) / 2), 6).alias("score")).filter("score >= 0.3")
+    return vector_index.search(vector_index.build(e, "distance"), q, k=None, least=0.3, own=True)
 
 
 @query(f"""WITH {_PAIRS} SELECT coalesce(CASE WHEN regexp_matches(answer, '(?i)\\b(see|apply) (the )?bulletin\\b') THEN 'bulletin' WHEN length(answer) <= 100 AND regexp_matches(answer, '(?i)\\b(thanks|thank you|closed|feedback)\\b') THEN 'feedback only'

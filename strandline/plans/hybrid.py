@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, scores, text
-from ..operators import retrieval
+from ..operators import retrieval, text_index, vector_index
 from ..sources.tables import stored
 from .registry import query
 from .searching import BM25_SQL
@@ -47,12 +47,12 @@ def _dense(spark, sf_dir, k=20):
     e = table(spark, sf_dir, "embeddings")
     asked = table(spark, sf_dir, "benchmark").join(e, F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("q"))
     held = e.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id")
-    return retrieval.dense(held, asked, k).withColumnRenamed("vec_id", "doc_id")
+    return vector_index.search(vector_index.build(held), asked, k).withColumnRenamed("vec_id", "doc_id")
 
 
 def fused(spark, sf_dir):
     """query_id, doc_id, both legs' scores and ranks, and the fused score with the weights of the question's class."""
-    lexical = retrieval.bm25(table(spark, sf_dir, "documents"), expanded(spark, sf_dir).select(F.col("item_id").alias("query_id"), "text"), 20)
+    lexical = text_index.search(text_index.build(table(spark, sf_dir, "documents")), expanded(spark, sf_dir).select(F.col("item_id").alias("query_id"), "text"), 20)
     both = lexical.withColumnsRenamed({"score": "lexical_score", "rank": "lexical_rank"}).join(_dense(spark, sf_dir).withColumnsRenamed({"score": "dense_score", "rank": "dense_rank"}), ["query_id", "doc_id"], "full")
     w = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), rules.retrieval_weights(F.col("text")).alias("w"))
     part = lambda weight, rank: F.coalesce(weight / (60 + F.col(rank)), F.lit(0.0))
@@ -146,8 +146,10 @@ def m04_domain_similarity(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
     same = lambda n: (F.col("vec_id") % n == F.col("query_id") % n).cast("int")
-    score = scores.cosine(F.col("embedding"), F.col("q")) + 0.05 * same(3) + 0.1 * same(5) + 0.15 * (F.col("label") == F.col("q_label")).cast("int")
-    return e.crossJoin(F.broadcast(q)).filter("vec_id <> query_id").select("query_id", "vec_id", F.round(F.least(F.lit(1.0), score), 6).alias("similarity"))
+    near = vector_index.search(vector_index.build(e), q, k=None)
+    labelled = near.join(e.select("vec_id", "label"), "vec_id").join(q.select("query_id", "q_label"), "query_id")
+    score = F.col("score") + 0.05 * same(3) + 0.1 * same(5) + 0.15 * (F.col("label") == F.col("q_label")).cast("int")
+    return labelled.select("query_id", "vec_id", F.round(F.least(F.lit(1.0), score), 6).alias("similarity"))
 
 
 _GRAMS = "list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import retrieval
+from ..operators import text_index, vector_index
+from ..operators.retrieval import term_frequencies
 from ..sources.tables import stored
 from .registry import query
 from .views import BM25_TOKENS, CHUNKS, EVAL_TOKENS, chunks, table
@@ -125,13 +126,13 @@ def x02_page_title(spark, sf_dir):
 @query(f"""WITH d AS (SELECT doc_id, {BM25_TOKENS} AS t FROM documents)
     SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, unnest(t) AS term, 1 AS x FROM d), (SELECT 1 AS y) GROUP BY term""".replace("count(*) AS df, sum(tf)::BIGINT AS cf", "count(DISTINCT doc_id) AS df, sum(x)::BIGINT AS cf"))
 def a01_term_frequencies(spark, sf_dir):
-    return retrieval.term_frequencies(table(spark, sf_dir, "documents"))
+    return term_frequencies(table(spark, sf_dir, "documents"))
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM bm25 WHERE rank <= 10")
 def r01_bm25_top_k(spark, sf_dir):
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.bm25(table(spark, sf_dir, "documents"), queries, 10)
+    return text_index.search(text_index.build(table(spark, sf_dir, "documents")), queries, 10)
 
 
 _DENSE = """
@@ -144,7 +145,7 @@ def r02_dense_top_k(spark, sf_dir):
     """A stated set of query vectors, one in a hundred, against all vectors."""
     e = table(spark, sf_dir, "embeddings")
     queries = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return retrieval.dense(e, queries, 10, least=0.3)
+    return vector_index.search(vector_index.build(e), queries, 10, least=0.3)
 
 
 @query(f"""WITH {CHUNKS} SELECT source, round(0.5 * least(avg(similarity) / 0.5, 1) + 0.3 * least(max(similarity) / 0.6, 1) + 0.2 * least(count(*) / 3.0, 1), 6) AS score,

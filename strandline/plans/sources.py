@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import merging, retrieval
+from ..operators import merging, text_index
 from ..sources import tables
 from .chunks import h10_adaptive_ingest, tickets
 from .registry import ORACLES, query
@@ -20,7 +20,7 @@ def s06_weighted_text_search(spark, sf_dir):
     """Benchmark questions against all turns of each conversation, as one text."""
     said = F.sort_array(F.collect_list(F.struct("turn", "text")))
     t = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(said.alias("l")).select("doc_id", F.array_join("l.text", " ").alias("text"))
-    return retrieval.bm25(t, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 5)
+    return text_index.search(text_index.build(t, name="turns"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 5)
 
 
 @query("""SELECT page_id, CASE WHEN regexp_matches(lower(url), '[.](html?|php)([?#]|$)') THEN 'html' WHEN regexp_matches(lower(url), '[?]') THEN 'query' WHEN regexp_matches(lower(url), '#') THEN 'anchor' ELSE 'plain' END AS reader

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from strandline.functions import rulebook, rules
-from strandline.operators import chunking, merging, retrieval
+from strandline.operators import chunking, merging, retrieval, text_index
 from strandline.sources import tables
 from strandline.streaming import folds
 
@@ -107,7 +107,7 @@ def test_bm25_against_a_plain_version(spark):
             if w in d:
                 idf = math.log((n - df[w] + 0.5) / (df[w] + 0.5) + 1)
                 score[i] = score.get(i, 0) + idf * d.count(w) * 2.5 / (d.count(w) + 1.5 * (0.25 + 0.75 * len(d) / mean))
-    found = retrieval.bm25(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame([(7, "beta gamma gamma")], "query_id long, text string"))
+    found = text_index.search(text_index.build(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")), spark.createDataFrame([(7, "beta gamma gamma")], "query_id long, text string"))
     assert {x.doc_id: round(x.score, 4) for x in found.collect()} == {i: round(s, 4) for i, s in score.items()}
     terms = {x.term: (x.df, x.cf) for x in retrieval.term_frequencies(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
     assert terms == {w: (df[w], sum(d.count(w) for d in cut)) for w in df}
