@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunking
+from ..operators import chunking, semantic
 from .registry import query
-from .views import LINES, TYPE_LIST, TYPES, structured_lines, table
+from .views import LINES, TYPE_LIST, TYPES, planted_regions, structured_lines, table
 
 _KIND = "CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN '{k}'" for k, p in chunking.LINE_KINDS.items()) + " ELSE 'text' END"
 TYPED = f"{LINES}, t AS (SELECT *, {_KIND} AS kind, greatest(1, length(line) // 4) AS tokens FROM lines)"
@@ -156,3 +156,15 @@ def c04_chunk_types(spark, sf_dir):
     """The type of each section, by a table of kinds of lines, numbers and shares."""
     placed = lines(spark, sf_dir).withColumn("section", F.sum((F.col("kind") == "header").cast("long")).over(chunking.in_order()))
     return chunking.chunk_types(placed, ["doc_id", "section"])
+
+
+@query()
+def h01_semantic_chunks(spark, sf_dir):
+    """Documents as they are: sections by their headers, paragraphs, sentences, word windows, merged where small."""
+    return semantic.semantic_chunks(table(spark, sf_dir, "documents"), budget=300, least=50)
+
+
+@query()
+def h07_hybrid_chunks(spark, sf_dir):
+    """Documents with tables, steps and codes in their prose, each region cut by its own chunker."""
+    return semantic.hybrid_chunks(planted_regions(spark, sf_dir), budget=300, least=50)
