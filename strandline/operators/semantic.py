@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..sources.tables import stored
 from .chunking import word_windows
 
 #: What makes a line of up to 100 characters a header, by the first pattern that fits.
@@ -213,7 +214,7 @@ def hybrid_chunks(docs: DataFrame, budget: int = 1000, least: int = 100, overlap
 
     Only the chunks of a document meet in one row for the last step. Null and empty texts have no chunks.
     """
-    parts = region_segments(docs, kinds, key, text_col)
+    parts = stored(region_segments(docs, kinds, key, text_col), "regions")  # read twice
     named = parts.select(F.struct(key, "segment").alias("at"), "kind", F.array_join("lines", "\n").alias("text"), "lines")
     prose = semantic_chunks(named.filter("kind = 'prose'"), budget, least, overlap, key="at").select("at", F.col("seq").alias("part"), F.lit("prose").alias("kind"), "chunk")
     rows = named.filter("kind <> 'prose'").select("at", "kind", F.posexplode(row_groups(F.col("lines"), F.col("kind"), kinds)).alias("part", "chunk")).select("at", "part", "kind", "chunk")

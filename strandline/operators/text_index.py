@@ -1,22 +1,19 @@
-"""BM25 over an impact-ordered index: postings that cannot change the best k are never expanded.
+"""BM25 over an index in segments: lists that cannot change the best k are looked up, not read.
 
-The postings of a term are sorted into levels by their impact (the part of the weight that depends on the document) and lie in
-blocks of one level. The dictionary tells for each level of a term how many postings it has and how high they reach. A search
+Documents are dealt to segments; a segment has a list of postings for each of its terms, in order of document, with the highest
+impact (the part of the weight that depends on the document) as its bound. A search takes a segment's lists from the highest
+bound down. Once the bounds of the lists that are left sum to less than the k-th score so far, no document outside of those
+read can come among the best; of the others only those that could still pass the k-th are looked up in the lists left, which
+are the long ones of common words. Each segment gives its best k, so a question costs k rows a segment in the last shuffle.
 
-1. scores the best documents of each term's first block exactly; the k-th of them gives a threshold;
-2. chooses for each question how deep to read each term, so that what is not read sums to a share of the threshold at most, and
-   as few postings as possible are read: level by level, where the bound falls most for each posting;
-3. reads those levels and scores the best documents by what was read, which raises the threshold;
-4. drops documents whose read parts and the bounds of the rest stay below it, and scores the others exactly.
-
-A document of which nothing was read holds less than the threshold, so the result is that of scoring everything.
+Only lists of terms that some question asks for leave the scan, each once for all questions of a group.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,188 +27,143 @@ from ..sources.kept import content_key, kept
 from ..sources.tables import stored
 from .retrieval import top
 
-#: Levels of impact, postings of a block, documents scored for the threshold per wanted one, and what rounding may add to a score.
-LEVELS, BLOCK, PROBES, SLACK = 64, 128, 2, 2e-6
-#: Share of the threshold that may stay unread: less reads more postings, more leaves more documents to score one by one.
-UNREAD = 0.5
+#: Postings of a segment, about; questions searched together; what rounding may add to a score.
+POSTINGS, QUESTIONS, SLACK = 2_000_000, 2000, 2e-6
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """forward: doc_id, dl, entries (term, tf); blocks: term, level, seq, docs, impacts; terms: term, df, levels (level, bound, n), best first."""
+    """lists: segment, term, docs, impacts (doc_id and impact of each posting); terms: term, df; n documents."""
 
-    forward: DataFrame
-    blocks: DataFrame
+    lists: DataFrame
     terms: DataFrame
     n: int
-    average: float
 
-    def impact(self, tf: Column, length: Column) -> Column:
-        return scores.bm25_weight(F.lit(1.0), tf, length, F.lit(self.average))
 
+def _lengths(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("average"))
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """doc_id, dl, entries (term, tf), sorted, of rows with doc_id and an array t of strings."""
-    schema = StructType([rows.schema["doc_id"], *StructType.fromDDL("dl int, entries array<struct<term: string, tf: int>>")])
-    target = to_arrow_schema(schema)
-    entry = target.field("entries").type
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("t")
-            sizes = lists.value_lengths().to_numpy()
-            coded = lists.flatten().dictionary_encode()
-            order = coded.dictionary.to_numpy(zero_copy_only=False).argsort()
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            cells = np.repeat(np.arange(len(sizes)), sizes) * max(1, len(order)) + place[coded.indices.to_numpy()]
-            cell, tf = np.unique(cells, return_counts=True)
-            doc, term = np.divmod(cell, max(1, len(order)))
-            words = coded.dictionary.take(pa.array(order[term])).cast(entry.value_type.field("term").type)
-            structs = pa.StructArray.from_arrays([words, pa.array(tf, pa.int32())], fields=list(entry.value_type))
-            offsets = np.searchsorted(doc, np.arange(len(sizes) + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs).cast(entry)], schema=target)
-
-    return rows.select("doc_id", "t").mapInArrow(apply, schema)
-
-
-def _blocks(postings: DataFrame) -> DataFrame:
-    """Rows of up to BLOCK postings of one term and level; seq counts them anew in each partition."""
-    schema = "term string, level int, seq int, docs array<bigint>, impacts array<double>"
+def _lists(rows: DataFrame, average: float) -> DataFrame:
+    """The lists of rows (doc_id, t). A segment is what a task reads together, up to POSTINGS words; no posting is shuffled."""
+    schema = "segment bigint, term string, docs array<bigint>, impacts array<double>"
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, done = None, 0  # the term and level that the batch before ended with, and its blocks so far
+        nth = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            terms, levels, docs, impacts = batch.columns
-            codes = terms.dictionary_encode().indices.to_numpy()
-            runs = np.flatnonzero(np.concatenate(([True], (np.diff(codes) != 0) | (np.diff(levels.to_numpy()) != 0))))
-            counts = -(-np.diff(np.append(runs, batch.num_rows)) // BLOCK)
-            seqs = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            starts = np.repeat(runs, counts) + seqs * BLOCK
-            if (terms[0].as_py(), levels[0].as_py()) == last:
-                seqs[: counts[0]] += done
-            last, done = (terms[-1].as_py(), levels[-1].as_py()), int(seqs[-1]) + 1
-            offsets = pa.array(np.append(starts, batch.num_rows), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, x).cast(f.type) for x, f in zip((docs, impacts), list(target)[3:], strict=True)]
-            at = pa.array(starts)
-            yield pa.RecordBatch.from_arrays([terms.take(at).cast(target.field("term").type), levels.take(at), pa.array(seqs, pa.int32()), *lists], schema=target)
-
-    return postings.mapInArrow(apply, schema)
+            ends = np.cumsum(batch.column("t").value_lengths().to_numpy())
+            cuts = np.unique(np.searchsorted(ends, np.arange(0, (ends[-1] if len(ends) else 0) + POSTINGS, POSTINGS), side="right"))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                some, nth = batch.slice(a, b - a), nth + 1
+                lists = some.column("t")
+                sizes, coded = lists.value_lengths().to_numpy(), lists.flatten().dictionary_encode()
+                ids = some.column("doc_id").to_numpy()
+                order = np.argsort(ids, kind="stable")
+                place = np.empty(len(ids), np.int64)
+                place[order] = np.arange(len(ids))
+                cell, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(ids) + np.repeat(place, sizes), return_counts=True)
+                term, doc = np.divmod(cell, len(ids))
+                impacts = tf * (scores.K1 + 1) / (tf + scores.K1 * (1 - scores.B + scores.B * sizes[order][doc] / average))
+                starts = np.flatnonzero(np.append(True, np.diff(term) != 0))
+                offsets = pa.array(np.append(starts, len(term)), pa.int32())
+                both = [pa.ListArray.from_arrays(offsets, pa.array(x)).cast(f.type) for x, f in zip((ids[order][doc], impacts), list(target)[2:], strict=True)]
+                segment = pa.array(np.full(len(starts), (some.column("part")[0].as_py() << 32) + nth))
+                yield pa.RecordBatch.from_arrays([segment, coded.dictionary.take(pa.array(term[starts])).cast(target.field("term").type), *both], schema=target)
+
+    given = rows.filter(F.size("t") > 0).select("doc_id", "t", F.spark_partition_id().cast("long").alias("part"))
+    return given.mapInArrow(apply, schema).sortWithinPartitions("segment", "term")
 
 
 def build(docs: DataFrame, tokens: Callable[[Column], Column] = text.bm25_tokens, name: str = "bm25") -> TextIndex:
     """The index of docs (doc_id, text), kept by content: the same rows are indexed once.
 
-    A null text has no terms. doc_id tells documents apart. Terms are cut once; postings are shuffled once, by term and level, so that
-    a term that all documents hold lies in many partitions.
+    A null text has no terms. doc_id, a whole number, tells documents apart. Terms are cut once and no posting is shuffled.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
     key = f"{name}-{content_key(rows)}"
+    cut = kept(spark, f"{key}-cut", lambda: rows.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("t")))
+    lengths = kept(spark, f"{key}-lengths", lambda: _lengths(cut)).first()
+    lists = kept(spark, f"{key}-lists", lambda: _lists(cut, max(lengths.average or 0.0, 1e-9)))
+    terms = kept(spark, f"{key}-terms", lambda: lists.groupBy("term").agg(F.sum(F.size("docs")).alias("df")))
+    return TextIndex(lists, terms, lengths.n)
 
-    def forward() -> DataFrame:
-        cut = rows.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("t"))
-        return _counted(cut)
-
-    ahead = kept(spark, f"{key}-forward", forward)
-    n, average = ahead.agg(F.count("*"), F.avg("dl")).first()
-    index = TextIndex(ahead, ahead, ahead, n, max(average or 0.0, 1e-9))
-
-    def blocks() -> DataFrame:
-        flat = ahead.select("doc_id", "dl", F.inline("entries"))
-        impact = index.impact(F.col("tf"), F.col("dl"))
-        level = F.least(F.floor(impact * (LEVELS / (scores.K1 + 1))), F.lit(LEVELS - 1)).cast("int")
-        order = [F.col("term"), F.desc("level"), F.col("doc_id")]
-        return _blocks(flat.select("term", level.alias("level"), "doc_id", impact.alias("impact")).repartitionByRange(*order).sortWithinPartitions(*order))
 
-    lists = kept(spark, f"{key}-blocks", blocks)
+def best_of_segment(lists: list[tuple[float, np.ndarray, np.ndarray]], size: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places and scores of the best k of a segment's ``size`` documents, and how many postings were read.
 
-    def terms() -> DataFrame:
-        by_level = lists.groupBy("term", "level").agg(F.sum(F.size("docs")).alias("n"), F.max(F.array_max("impacts")).alias("bound"))
-        return by_level.groupBy("term").agg(F.sum("n").alias("df"), F.sort_array(F.collect_list(F.struct("level", "bound", "n")), asc=False).alias("levels"))
-
-    return TextIndex(ahead, lists, kept(spark, f"{key}-terms", terms), n, index.average)
-
-
-def depths(lists: list[tuple[float, list[float], list[int]]], threshold: float) -> list[int]:
-    """How many levels of each list to read, so that the bounds of what is not read sum to less than the threshold.
-
-    A list is a factor, its levels' bounds (falling) and their numbers of postings. The next level read is the one whose bound
-    falls most for each of its postings; at least every list is read to its end.
+    A list is a factor, places of documents (rising) and their impacts. Ties go to the smaller place.
     """
-    left = [[factor * b for b in bounds] + [0.0] for factor, bounds, _ in lists]
-    depth, total = [0] * len(lists), sum(x[0] for x in left)
-
-    def offer(t: int) -> tuple[float, int]:
-        d = depth[t]
-        return (-(left[t][d] - left[t][d + 1]) / max(1, lists[t][2][d]), t)
-
-    heap = [offer(t) for t in range(len(lists)) if lists[t][2]]
-    heapq.heapify(heap)
-    while heap and total >= threshold:
-        _, t = heapq.heappop(heap)
-        total -= left[t][depth[t]] - left[t][depth[t] + 1]
-        depth[t] += 1
-        if depth[t] < len(lists[t][2]):
-            heapq.heappush(heap, offer(t))
-    return depth
+    bounds = np.array([f * x.max() for f, _, x in lists])
+    order = np.argsort(-bounds, kind="stable")
+    left = np.append(np.cumsum(bounds[order][::-1])[::-1], 0.0)  # what the lists from the i-th on may add
+    total, seen, read, some = np.zeros(size), np.zeros(size, bool), 0, None
+    for i, t in enumerate(order.tolist()):
+        factor, places, impacts = lists[t]
+        if some is None and read >= k:
+            kth = np.partition(total, size - k)[size - k] if size > k else 0.0
+            if left[i] < kth - SLACK:
+                some = np.flatnonzero(total + left[i] >= kth - SLACK)
+        if some is None:
+            total[places] += factor * impacts
+            seen[places] = True
+            read += len(places)
+        else:
+            at = np.minimum(np.searchsorted(places, some), len(places) - 1)
+            held = places[at] == some
+            total[some[held]] += factor * impacts[at[held]]
+            read += min(len(some), len(places))
+    some = np.flatnonzero(seen) if some is None else some
+    rounded = np.round(total[some], 6)
+    best = np.lexsort((some, -rounded))[:k]
+    best = best[rounded[best] > 0]
+    return some[best], rounded[best], read
+
+
+def _asked(index: TextIndex, queries: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
+    """query_id, term, factor: times asked and rarity of each term of a question that some document holds."""
+    words = queries.select("query_id", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    found = words.join(index.terms, "term")
+    return found.select("query_id", "term", (F.col("times") * scores.idf(F.lit(index.n), F.col("df"))).alias("factor"))
 
 
-def _plan(asked: DataFrame) -> DataFrame:
-    """The levels to read for each question (query_id, lists, threshold): query_id, term, level, factor, rest, all_rest, threshold.
+def _of_segments(index: TextIndex, queries: DataFrame, k: int, tokens: Callable[[Column], Column]) -> DataFrame:
+    """query_id, doc_id, score of each segment's best k; and a row without doc_id with postings and read of the question there.
 
-    rest bounds what the term may add to a document that no level read of it holds; all_rest is the sum over the question's terms.
+    Questions go in groups of about QUESTIONS, whose terms and factors, and nothing else, pass through the driver.
     """
-    schema = StructType([asked.schema["query_id"], *StructType.fromDDL("term string, level int, factor double, rest double, all_rest double, threshold double, n long")])
+    asked = stored(_asked(index, queries, tokens), "asked")
+    groups = max(1, -(-asked.select("query_id").distinct().count() // QUESTIONS))
+    schema = StructType([asked.schema["query_id"], *StructType.fromDDL("doc_id bigint, score double, postings bigint, read bigint")])
     target = to_arrow_schema(schema)
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def of_group(g: int) -> DataFrame:
+        mine = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g)
+        wanted: dict = {}
+        for r in mine.orderBy("query_id", "term").collect():
+            wanted.setdefault(r.query_id, []).append((r.term, r.factor))
+
+        def search(segment: pa.Table) -> pa.Table:
+            flat = segment.column("docs").combine_chunks()
+            docs, at = np.unique(flat.flatten().to_numpy(), return_inverse=True)
+            impacts = segment.column("impacts").combine_chunks().flatten().to_numpy()
+            ends = np.cumsum(flat.value_lengths().to_numpy())
+            held = {t: (at[a:b], impacts[a:b]) for t, a, b in zip(segment.column("term").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True)}
             out = []
-            for q, lists, threshold in zip(*[batch.column(c).to_pylist() for c in ("query_id", "lists", "threshold")], strict=True):
-                given = [(x["factor"], [v["bound"] for v in x["levels"]], [v["n"] for v in x["levels"]]) for x in lists]
-                deep = depths(given, UNREAD * (threshold - SLACK))
-                rests = [f * b[d] if d < len(b) else 0.0 for (f, b, _), d in zip(given, deep, strict=True)]
-                for x, d, rest in zip(lists, deep, rests, strict=True):
-                    out += [(q, x["term"], v["level"], x["factor"], rest, sum(rests), threshold, v["n"]) for v in x["levels"][:d]]
+            for query, terms in wanted.items():
+                lists = [(f, *held[t]) for t, f in terms if t in held]
+                if lists:
+                    places, found, read = best_of_segment(lists, len(docs), k)
+                    out += zip([query] * len(places), docs[places].tolist(), found.tolist(), [None] * len(places), [None] * len(places), strict=True)
+                    out.append((query, None, None, sum(len(p) for _, p, _ in lists), read))
             columns = list(zip(*out, strict=True)) if out else [[]] * len(target)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
-
-    return asked.mapInArrow(apply, schema)
-
-
-def _exact(index: TextIndex, pairs: DataFrame, asked: DataFrame) -> DataFrame:
-    """query_id, doc_id, score of these pairs, from the documents' own terms."""
-    wanted = pairs.join(asked.select("query_id", F.explode("lists").alias("x")), "query_id").select("query_id", "doc_id", "x.term", "x.factor")
-    held = index.forward.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "dl", F.inline("entries"))
-    part = F.col("factor") * index.impact(F.col("tf"), F.col("dl"))
-    return wanted.join(held, ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-
-
-def asked_lists(index: TextIndex, queries: DataFrame, tokens: Callable[[Column], Column] = text.bm25_tokens) -> DataFrame:
-    """query_id, lists (term, factor, levels): what a question asks for of the terms that some document holds; repeats count again."""
-    words = queries.select("query_id", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    found = words.join(index.terms, "term").withColumn("factor", F.col("times") * scores.idf(F.lit(index.n), F.col("df")))
-    return found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "factor", "levels"))).alias("lists"))
-
-
-def _kth_score(index: TextIndex, partly: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """query_id, score: the k-th exact score of the documents with the best parts (query_id, doc_id, part); no row where there are fewer."""
-    best = top(partly, ["query_id"], [F.desc("part"), F.col("doc_id")], PROBES * k).select("query_id", "doc_id")
-    return top(_exact(index, best, asked), ["query_id"], [F.desc("score"), F.col("doc_id")], k).filter(F.col("rank") == k).select("query_id", "score")
+            return pa.table([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
+        lists = index.lists.join(mine.select("term").distinct(), "term", "left_semi").select("segment", "term", "docs", "impacts")
+        return lists.groupBy("segment").applyInArrow(search, schema)
 
-def _read_plan(index: TextIndex, asked: DataFrame, k: int) -> DataFrame:
-    """The levels that each question needs, with the threshold that its probes reach."""
-    best = asked.select("query_id", F.explode("lists").alias("x")).select("query_id", "x.term", "x.factor", F.get("x.levels", F.lit(0))["level"].alias("level"))
-    first = index.blocks.filter("seq = 0").join(best, ["term", "level"])
-    probes = first.select("query_id", "factor", F.explode(F.arrays_zip("docs", "impacts")).alias("p")).groupBy("query_id", F.col("p.docs").alias("doc_id")).agg(F.sum(F.col("factor") * F.col("p.impacts")).alias("part"))
-    kth = _kth_score(index, probes, asked, k)
-    threshold = F.coalesce("score", F.lit(0.0))  # fewer than k probes: everything is read
-    return stored(_plan(asked.join(kth.select("query_id", "score"), "query_id", "left").select("query_id", "lists", threshold.alias("threshold"))), "levels")
+    return reduce(DataFrame.unionByName, [of_group(g) for g in range(groups)])
 
 
 def search(index: TextIndex, queries: DataFrame, k: int = 10, tokens: Callable[[Column], Column] = text.bm25_tokens) -> DataFrame:
@@ -219,22 +171,11 @@ def search(index: TextIndex, queries: DataFrame, k: int = 10, tokens: Callable[[
 
     Only documents that share a term with the question are found; a question without such terms has no rows.
     """
-    asked = stored(asked_lists(index, queries, tokens), "asked")
-    plan = _read_plan(index, asked, k)
-    read = index.blocks.join(plan, ["term", "level"]).select("query_id", "factor", "rest", "all_rest", "threshold", F.explode(F.arrays_zip("docs", "impacts")).alias("p"))
-    part = F.col("factor") * F.col("p.impacts")
-    partly = read.groupBy("query_id", F.col("p.docs").alias("doc_id")).agg(F.sum(part).alias("part"), (F.sum(part - F.col("rest")) + F.first("all_rest")).alias("bound"), F.first("threshold").alias("threshold"))
-    partly = stored(partly.filter(F.col("bound") >= F.col("threshold") - SLACK), "partly")
-    raised = partly.join(_kth_score(index, partly, asked, k), "query_id", "left")
-    likely = raised.filter(F.col("bound") >= F.coalesce("score", F.lit(0.0)) - SLACK).select("query_id", "doc_id")
-    found = _exact(index, likely, asked).filter("score > 0")
+    found = _of_segments(index, queries, k, tokens).filter("doc_id IS NOT NULL").select("query_id", "doc_id", "score")
     return top(found, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
 
 
 def postings_read(index: TextIndex, queries: DataFrame, k: int = 10, tokens: Callable[[Column], Column] = text.bm25_tokens) -> DataFrame:
-    """query_id, postings, read: postings of a question's terms, and those that a search for the best k reads."""
-    asked = stored(asked_lists(index, queries, tokens), "asked")
-    read = _read_plan(index, asked, k).groupBy("query_id").agg(F.sum("n").alias("read"))
-    each = F.transform("lists", lambda x: F.aggregate(x["levels"], F.lit(0).cast("long"), lambda a, v: a + v["n"]))
-    every = asked.select("query_id", F.aggregate(each, F.lit(0).cast("long"), lambda a, v: a + v).alias("postings"))
-    return every.join(read, "query_id", "left").select("query_id", "postings", F.coalesce("read", F.lit(0)).alias("read"))
+    """query_id, postings, read: postings of a question's terms, and those that a search for the best k reads or looks up."""
+    found = _of_segments(index, queries, k, tokens).filter("doc_id IS NULL")
+    return found.groupBy("query_id").agg(F.sum("postings").alias("postings"), F.sum("read").alias("read"))

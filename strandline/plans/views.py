@@ -78,16 +78,14 @@ LINES = """sentences AS (SELECT doc_id, unnest(string_split(replace(text, chr(10
 def planted_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents (doc_id, text) whose sentences, four by four, became table rows, numbered steps or code entries, or stayed prose, by a
     digest of the first of them. No word is lost."""
-    sentences = F.split(F.replace("text", F.lit("|"), F.lit("/")), r"(?<=[.]) ", -1)
-    fours = F.transform(F.sequence(F.lit(0), F.floor((F.size("s") - 1) / 4).cast("int")), lambda g: F.slice("s", g * 4 + 1, 4))
-    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", sentences.alias("s"))
-    flat = d.withColumn("fours", fours).select("doc_id", F.posexplode("fours").alias("g", "four"))
-    kind = F.pmod(F.crc32(F.get("four", F.lit(0))), F.lit(5))
-    one = lambda s: F.replace(s, F.lit("\n"), F.lit(" "))
-    text = (
-        F.when(kind == 0, F.array_join(F.transform("four", lambda s, i: F.concat(F.lit("| "), F.replace(one(s), F.lit(" "), F.lit(" | ")), F.lit(" |"))), "\n"))
-        .when(kind == 1, F.array_join(F.transform("four", lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), one(s))), "\n"))
-        .when(kind == 2, F.array_join(F.transform("four", lambda s, i: F.concat(F.lit("E0"), i + 10, F.lit(": "), one(s))), "\n")).otherwise(F.array_join("four", " "))
-    )
-    g = flat.select("doc_id", "g", text.alias("part")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("g", "part"))).alias("l"))
-    return g.select("doc_id", F.array_join("l.part", "\n").alias("text"))
+    fours = F.split(F.regexp_replace(F.replace("text", F.lit("|"), F.lit("/")), r"((?:[^.]*[.] ){3}[^.]*[.]) ", "$1\x1e"), "\x1e", -1)
+    sentences = lambda four: F.split(F.replace(four, F.lit("\n"), F.lit(" ")), "(?<=[.]) ", -1)
+
+    def planted(four):
+        kind = F.pmod(F.crc32(four), F.lit(5))
+        row = F.transform(sentences(four), lambda s: F.concat(F.lit("| "), F.replace(s, F.lit(" "), F.lit(" | ")), F.lit(" |")))
+        step = F.transform(sentences(four), lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s))
+        code = F.transform(sentences(four), lambda s, i: F.concat(F.lit("E0"), i + 10, F.lit(": "), s))
+        return F.when(kind == 0, F.array_join(row, "\n")).when(kind == 1, F.array_join(step, "\n")).when(kind == 2, F.array_join(code, "\n")).otherwise(four)
+
+    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.array_join(F.transform(fours, planted), "\n").alias("text"))

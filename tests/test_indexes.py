@@ -52,9 +52,9 @@ def test_postings_read_fall_with_k_and_the_index_is_made_once(spark, corpus):
     docs, asked = corpus
     table = spark.createDataFrame(docs, "doc_id long, text string")
     index, again = text_index.build(table, name="reads"), text_index.build(table.repartition(3), name="reads")
-    assert again.blocks.inputFiles() == index.blocks.inputFiles()
+    assert again.lists.inputFiles() == index.lists.inputFiles()
     more = text_index.build(table.filter("doc_id < 1000"), name="reads")
-    assert more.n == 1000 and more.blocks.inputFiles() != index.blocks.inputFiles()
+    assert more.n == 1000 and more.lists.inputFiles() != index.lists.inputFiles()
     questions = spark.createDataFrame(asked[:2], "query_id long, text string")
     reads = {k: {r.query_id: (r.postings, r.read) for r in text_index.postings_read(index, questions, k).collect()} for k in (1, 20, 3000)}
     for q in (1, 2):
@@ -63,27 +63,36 @@ def test_postings_read_fall_with_k_and_the_index_is_made_once(spark, corpus):
     assert sum(reads[1][q][1] for q in (1, 2)) < 0.5 * sum(reads[1][q][0] for q in (1, 2))
 
 
-def test_blocks_hold_each_posting_once(spark, corpus):
-    index = text_index.build(spark.createDataFrame(corpus[0], "doc_id long, text string"), name="blocks")
-    seen, want = Counter(), Counter()
-    for b in index.blocks.collect():
-        assert 0 < len(b.docs) == len(b.impacts) <= text_index.BLOCK
-        assert all(min(63, int(x * text_index.LEVELS / 2.5)) == b.level for x in b.impacts)
+def test_lists_hold_each_posting_once_and_segments_are_bounded(spark, corpus, monkeypatch):
+    monkeypatch.setattr(text_index, "POSTINGS", 700)
+    index = text_index.build(spark.createDataFrame(corpus[0], "doc_id long, text string"), name="lists")
+    seen, want, sizes = Counter(), Counter(), Counter()
+    for b in index.lists.collect():
+        assert b.docs == sorted(b.docs) and len(b.docs) == len(b.impacts)
         seen.update((b.term, d) for d in b.docs)
+        sizes[b.segment] += len(b.docs)
     for i, t in corpus[0]:
         want.update({(w, i): 1 for w in set((t or "").split()) if len(w) >= 3})
-    assert seen == want
-    assert {(b.term, b.level) for b in index.blocks.filter("seq = 0").collect()} == {(b.term, b.level) for b in index.blocks.collect()}
-    terms = {t.term: t for t in index.terms.collect()}
-    assert terms["alone"].df == 2 and all([v.level for v in t.levels] == sorted((v.level for v in t.levels), reverse=True) for t in terms.values())
-
-
-@given(st.lists(st.tuples(st.floats(0.1, 5), st.lists(st.tuples(st.floats(0, 2.5), st.integers(1, 50)), min_size=1, max_size=8)), max_size=6), st.floats(0, 20))
-def test_depths_leave_less_than_the_threshold(lists, threshold):
-    given_ = [(f, sorted((b for b, _ in levels), reverse=True), [n for _, n in levels]) for f, levels in lists]
-    deep = text_index.depths(given_, threshold)
-    left = sum(f * b[d] for (f, b, _), d in zip(given_, deep, strict=True) if d < len(b))
-    assert left < threshold + 1e-9 or all(d == len(b) for (_, b, _), d in zip(given_, deep, strict=True))
+    assert seen == want and len(sizes) > 20
+    assert {t.term: t.df for t in index.terms.collect()} == Counter(w for w, _ in want)
+    asked = spark.createDataFrame(corpus[1], "query_id long, text string")
+    got = [(r.query_id, r.doc_id) for r in text_index.search(index, asked, 10).collect()]
+    assert sorted(got) == sorted((q, i) for q, t in corpus[1] for i, _ in plain_bm25(corpus[0], t or "", 10))
+
+
+@given(st.lists(st.tuples(st.floats(0.1, 5), st.dictionaries(st.integers(0, 30), st.floats(0.01, 2.5), min_size=1, max_size=31)), min_size=1, max_size=6), st.integers(1, 12))
+def test_best_of_segment_equals_adding_everything(lists, k):
+    given_ = [(f, np.array(sorted(d)), np.array([d[i] for i in sorted(d)])) for f, d in lists]
+    places, found, read = text_index.best_of_segment(given_, 31, k)
+    total = defaultdict(float)
+    for f, d in lists:
+        for i, x in d.items():
+            total[i] += f * x
+    # scores that differ by less than a rounding step may stand in either order
+    want = sorted((round(s, 6) for s in total.values() if round(s, 6) > 0), reverse=True)[:k]
+    assert found.tolist() == pytest.approx(want, abs=2e-6)
+    assert [total[i] for i in places.tolist()] == pytest.approx(found.tolist(), abs=2e-6)
+    assert 0 < read <= sum(len(p) for _, p, _ in given_)
 
 
 # --- vectors
