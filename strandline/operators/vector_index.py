@@ -1,19 +1,20 @@
-"""Exact vector search over clustered blocks: a block that the triangle inequality rules out is never multiplied.
+"""Exact vector search over clustered rows: a shell of vectors that the triangle inequality rules out is never multiplied.
 
-Vectors are assigned to centroids (fitted on a bounded sample; every vector is assigned), sorted by their distance to it and cut
-into blocks, each a shell around its centroid with a nearest and a farthest distance. A query at distance d from the centroid is at
-least max(d - farthest, nearest - d) from every vector of the shell. A search takes each query's likeliest block first, whose k-th
-score is a threshold, and then all blocks whose bound reaches it; blocks and queries meet as matrices.
+Vectors are assigned to centroids (fitted on a bounded sample; every vector is assigned) and sorted by their distance to it, so that
+what a task reads together are shells around centroids, each with a nearest and a farthest distance. A query at distance d
+from the centroid is at least max(d - farthest, nearest - d) from every vector of the shell. A task gives each query its likeliest
+shell first, whose k-th score is a threshold, and then those shells whose bound reaches it; shells and queries meet as matrices.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -22,25 +23,23 @@ from ..sources.kept import content_key, kept
 from ..sources.tables import stored
 from .retrieval import top
 
-#: Centroids at most, sampled vectors for each, rounds of fitting, vectors of a block (a power of two), queries of a group.
-CENTROIDS, SAMPLED, ROUNDS, BLOCK, QUERIES = 1024, 16, 5, 1024, 4096
+#: Centroids at most, sampled vectors for each, rounds of fitting, vectors of a shell, queries searched together.
+CENTROIDS, SAMPLED, ROUNDS, SHELL, QUERIES = 1024, 16, 5, 1024, 4096
 #: What rounding may add to a score.
 SLACK = 2e-6
 #: score: from inner product s and squared distance d2, and the best that a distance of at least d allows.
 MEASURES = {
-    "cosine": (lambda s, d2: s, lambda d: (2 - d * d) / 2, lambda d: (2 - d * d) / 2),
-    "distance": (lambda s, d2: np.maximum(0, 1 - np.sqrt(np.maximum(d2, 0)) / 2), lambda d: np.maximum(0, 1 - d / 2), lambda d: F.greatest(F.lit(0.0), 1 - d / 2)),
+    "cosine": (lambda s, d2: s, lambda d: (2 - d * d) / 2),
+    "distance": (lambda s, d2: np.maximum(0, 1 - np.sqrt(np.maximum(d2, 0)) / 2), lambda d: np.maximum(0, 1 - d / 2)),
 }
 
 
 @dataclass(frozen=True)
 class VectorIndex:
-    """rows: vec_id, v, cluster, piece; blocks: cluster, piece, near, far, n; shells: a cluster's nearest and farthest distance."""
+    """rows: vec_id, v, cluster, distance, in order."""
 
     rows: DataFrame
-    blocks: DataFrame
     centroids: np.ndarray
-    shells: np.ndarray
     measure: str
 
 
@@ -99,100 +98,111 @@ def build(vectors: DataFrame, measure: str = "cosine", id_col: str = "vec_id", v
     def rows() -> DataFrame:
         near = stored(points.mapInArrow(assign, schema), "assigned")
         order = ["cluster", "distance", "vec_id"]
-        ordered = near.repartitionByRange(*order).sortWithinPartitions(*order)
-        return ordered.withColumn("piece", F.floor(F.monotonically_increasing_id() / BLOCK)).select("vec_id", "v", "cluster", "piece", "distance")
+        return near.repartitionByRange(*order).sortWithinPartitions(*order)
 
-    found = kept(spark, f"{key}-rows", rows)
-    blocks = kept(spark, f"{key}-blocks", lambda: found.groupBy("cluster", "piece").agg(F.min("distance").alias("near"), F.max("distance").alias("far"), F.count("*").alias("n")))
-    shells = np.tile([[np.inf], [-np.inf]], count)
-    for r in blocks.groupBy("cluster").agg(F.min("near").alias("near"), F.max("far").alias("far")).collect():  # a row a centroid
-        shells[:, r.cluster] = r.near, r.far
-    return VectorIndex(found, blocks, centroids, shells, measure)
+    return VectorIndex(kept(spark, f"{key}-rows", rows), centroids, measure)
 
 
-def _gap(distance: Column) -> Column:
-    """How far a query at this distance from the centroid is from the shell, at least."""
-    return F.greatest(distance - F.col("far"), F.col("near") - distance, F.lit(0.0))
+class Nearest:
+    """The k best (or all) that each of some queries has met, by score and id, and how many pairs were multiplied."""
 
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int | None, least: float | None, own: bool, measure: str):
+        self.ids, self.queries, self.k, self.own = ids, queries, k, own
+        self.score, self.bound = MEASURES[measure]
+        self.threshold = np.full(len(ids), -np.inf if least is None else least)
+        self.squares = (queries * queries).sum(axis=1)
+        self.pairs = np.zeros(len(ids), np.int64)
+        self.found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]  # places of queries, ids, scores
 
-def _visited(index: VectorIndex, queries: DataFrame, nearest: bool) -> DataFrame:
-    """query_id, v, threshold, cluster, distance: the nearest cluster of each query, or all those whose bound reaches its threshold."""
-    centroids, (near, far), best = index.centroids, index.shells, MEASURES[index.measure][1]
-    schema = StructType([*queries.schema, *StructType.fromDDL("cluster int, distance double")])
+    def multiply(self, some: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        product = self.queries[some] @ vectors.T
+        found = np.round(self.score(product, self.squares[some][:, None] + (vectors * vectors).sum(axis=1) - 2 * product), 6) + 0.0
+        fit = (found >= self.threshold[some][:, None] - SLACK) & (self.own | (self.ids[some][:, None] != ids))
+        at, place = np.nonzero(fit)
+        self.pairs[some] += len(ids)
+        self.found.append((some[at], ids[place], found[at, place]))
+
+    def settle(self) -> None:
+        """Keep the k best of each query and raise the thresholds."""
+        at, ids, found = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        if self.k is not None:
+            order = np.lexsort((ids, -found, at))
+            at, ids, found = at[order], ids[order], found[order]
+            nth = np.arange(len(at)) - np.searchsorted(at, at)
+            last = nth == self.k - 1
+            self.threshold[at[last]] = np.maximum(self.threshold[at[last]], found[last])
+            at, ids, found = at[nth < self.k], ids[nth < self.k], found[nth < self.k]
+        self.found = [(at, ids, found)]
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray, clusters: np.ndarray, distances: np.ndarray, centroids: np.ndarray) -> None:
+        """Rows in order of cluster and distance: each query's likeliest shell first, then all that reach its threshold."""
+        cuts = np.flatnonzero(np.append(True, np.diff(clusters) != 0))
+        ends = [*cuts[1:].tolist(), len(ids)]
+        shells = [(x, min(x + SHELL, b)) for a, b in zip(cuts.tolist(), ends, strict=True) for x in range(a, b, SHELL)]
+        near, far = (np.array([distances[s[0]] for s in shells]), np.array([distances[s[1] - 1] for s in shells]))
+        present, place = np.unique([clusters[a] for a, _ in shells], return_inverse=True)
+        d = _distances(self.queries, centroids[present])[:, place]
+        gap = np.maximum(np.maximum(d - far, near - d), 0)
+        first, best = np.argmin(gap, axis=1), self.bound(gap)
+        for again in (False, True):
+            for n, (a, b) in enumerate(shells):
+                some = np.flatnonzero((best[:, n] >= self.threshold - SLACK) & ((first == n) != again))
+                if len(some):
+                    self.multiply(some, ids[a:b], vectors[a:b])
+                    if again and self.k is not None and sum(len(x[0]) for x in self.found) > 4 * (self.k + SHELL) * len(self.ids):
+                        self.settle()
+            self.settle()
+
+
+def _met(index: VectorIndex, queries: DataFrame, k: int | None, least: float | None, own: bool) -> DataFrame:
+    """query_id, vec_id, score of what each task finds; and a row without vec_id with the pairs it multiplied for the query.
+
+    Queries go in groups of about QUERIES, which pass through the driver; a group is one pass over the rows, without a shuffle.
+    """
+    centroids, measure = index.centroids, index.measure  # the tasks take these, not the index
+    dims = centroids.shape[1]
+    asked = stored(_points(queries, "query_id", "q", index.measure).filter(F.size("v") == dims), "asked")
+    groups = max(1, -(-asked.count() // QUERIES))
+    schema = StructType([asked.schema["query_id"], index.rows.schema["vec_id"], *StructType.fromDDL("score double, pairs bigint")])
     target = to_arrow_schema(schema)
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                d = _distances(_matrix(some.column("v"), centroids.shape[1]), centroids)
-                gap = np.maximum(np.maximum(d - far, near - d), 0)
-                held = np.arange(d.shape[1]) == np.where(np.isfinite(near), d, np.inf).argmin(axis=1)[:, None] if nearest else best(gap) >= some.column("threshold").to_numpy()[:, None] - SLACK
-                q, c = np.nonzero(held & np.isfinite(near))
-                yield pa.RecordBatch.from_arrays([*[x.take(pa.array(q)) for x in some.columns], pa.array(c, pa.int32()), pa.array(d[q, c])], schema=target)
-
-    return queries.mapInArrow(apply, schema)
+    def of_group(g: int) -> DataFrame:
+        mine = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g).orderBy("query_id").collect()
+        ids, points = np.array([r.query_id for r in mine], np.int64), np.array([r.v for r in mine]).reshape(-1, dims)
 
+        def given(state: Nearest) -> pa.RecordBatch:
+            at, found, scored = state.found.pop()
+            state.found = [(at[:0], found[:0], scored[:0])]
+            return pa.RecordBatch.from_arrays([pa.array(ids[at], target[0].type), pa.array(found, target[1].type), pa.array(scored), pa.nulls(len(at), pa.int64())], schema=target)
 
-def _scored(index: VectorIndex, visits: DataFrame, groups: int, k: int | None, own: bool) -> DataFrame:
-    """query_id, vec_id, score of visits (query_id, v, threshold, cluster, piece): in each block the k best that reach the threshold."""
-    score, dims = MEASURES[index.measure][0], index.centroids.shape[1]
-    schema = StructType([visits.schema["query_id"], index.rows.schema["vec_id"], *StructType.fromDDL("score double")])
-    target = to_arrow_schema(schema)
-    keys = ["cluster", "piece", "g"]
-    asked = visits.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups))).select(*keys, "query_id", F.col("v").alias("q"), "threshold")
-    wanted = asked.select("cluster", "piece", F.col("g").alias("group")).distinct()
-    rows = index.rows.select("cluster", "piece", "vec_id", "v").join(wanted, ["cluster", "piece"]).withColumn("g", F.col("group") + 0)
-
-    def multiply(block: pa.Table, queries: pa.Table) -> pa.Table:
-        if not len(block) or not len(queries):
-            return target.empty_table()
-        v, q = _matrix(block.column("v"), dims), _matrix(queries.column("q"), dims)
-        ids, asking, least = block.column("vec_id").to_numpy(), queries.column("query_id").to_numpy(), queries.column("threshold").to_numpy()
-        product = q @ v.T
-        found = np.round(score(product, (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1) - 2 * product), 6) + 0.0
-        fit = found >= least[:, None] - SLACK
-        fit &= (asking[:, None] != ids) | own
-        at, place = np.nonzero(fit)
-        if k is not None:
-            order = np.lexsort((ids[place], -found[at, place], at))
-            at, place = at[order], place[order]
-            nth = np.arange(len(at)) - np.searchsorted(at, at)
-            at, place = at[nth < k], place[nth < k]
-        return pa.table([pa.array(c, f.type) for c, f in zip((asking[at], ids[place], found[at, place]), target, strict=True)], schema=target)
-
-    return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(multiply, schema)
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state = Nearest(ids, points, k, least, own, measure)
+            for batch in batches:
+                if batch.num_rows and len(ids):
+                    state.meet(batch.column(0).to_numpy(), _matrix(batch.column(1), dims), batch.column(2).to_numpy(), batch.column(3).to_numpy(), centroids)
+                    if k is None:
+                        yield given(state)
+            yield given(state)
+            some = np.flatnonzero(state.pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some], target[0].type), pa.nulls(len(some), target[1].type), pa.nulls(len(some), pa.float64()), pa.array(state.pairs[some])], schema=target)
 
+        return index.rows.select("vec_id", "v", "cluster", "distance").mapInArrow(search, schema)
 
-def _plan(index: VectorIndex, queries: DataFrame, k: int | None, least: float | None, own: bool) -> tuple[DataFrame, int]:
-    """The blocks each query has to visit, and in how many groups the queries go."""
-    points = _points(queries, "query_id", "q", index.measure).filter(F.size("v") == index.centroids.shape[1])
-    asked = stored(points.withColumn("threshold", F.lit(-np.inf if least is None else least)), "asked")
-    groups = -(-asked.count() // QUERIES) or 1
-    if k is not None:
-        first = _visited(index, asked, nearest=True).join(index.blocks, "cluster")
-        best = F.min_by("piece", F.struct(_gap(F.col("distance")), -F.col("n"), "piece")).alias("piece")
-        first = first.groupBy("query_id", "cluster").agg(best).join(asked, "query_id")
-        reached = top(_scored(index, first, groups, k, own), ["query_id"], [F.desc("score"), F.col("vec_id")], k).filter(F.col("rank") == k)
-        raised = F.greatest("threshold", F.coalesce("score", F.col("threshold"))).alias("threshold")
-        asked = stored(asked.join(reached.select("query_id", "score"), "query_id", "left").select("query_id", "v", raised), "asked")
-    bound = MEASURES[index.measure][2](_gap(F.col("distance")))
-    return stored(_visited(index, asked, nearest=False).join(index.blocks, "cluster").filter(bound >= F.col("threshold") - SLACK), "visits"), groups
+    return reduce(DataFrame.unionByName, [of_group(g) for g in range(groups)])
 
 
 def search(index: VectorIndex, queries: DataFrame, k: int | None = 10, least: float | None = None, own: bool = False) -> DataFrame:
     """query_id, vec_id, score (and rank, with k): the k vectors nearest to each of a stated set of queries (query_id, q), or all, that
     score ``least`` at least; scores have six digits, ties go to the smaller vec_id. A query's own id is left out unless own.
 
-    Null queries and queries of another length give no rows.
+    Ids are whole numbers. Null queries and queries of another length give no rows.
     """
-    visits, groups = _plan(index, queries, k, least, own)
-    found = _scored(index, visits, groups, k, own)
+    found = _met(index, queries, k, least, own).filter("vec_id IS NOT NULL").drop("pairs")
     if least is not None:
         found = found.filter(F.col("score") >= least)
     return found if k is None else top(found, ["query_id"], [F.desc("score"), F.col("vec_id")], k)
 
 
 def pairs_multiplied(index: VectorIndex, queries: DataFrame, k: int | None = 10, least: float | None = None) -> int:
-    """How many pairs of query and vector a search multiplies after its first blocks."""
-    return _plan(index, queries, k, least, False)[0].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    """How many pairs of query and vector a search multiplies."""
+    return _met(index, queries, k, least, False).agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
