@@ -76,16 +76,16 @@ LINES = """sentences AS (SELECT doc_id, unnest(string_split(replace(text, chr(10
 
 
 def planted_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents (doc_id, text) whose sentences, four by four, became table rows, numbered steps or code entries, or stayed prose, by a
-    digest of the first of them. No word is lost."""
-    fours = F.split(F.regexp_replace(F.replace("text", F.lit("|"), F.lit("/")), r"((?:[^.]*[.] ){3}[^.]*[.]) ", "$1\x1e"), "\x1e", -1)
-    sentences = lambda four: F.split(F.replace(four, F.lit("\n"), F.lit(" ")), "(?<=[.]) ", -1)
-
-    def planted(four):
-        kind = F.pmod(F.crc32(four), F.lit(5))
-        row = F.transform(sentences(four), lambda s: F.concat(F.lit("| "), F.replace(s, F.lit(" "), F.lit(" | ")), F.lit(" |")))
-        step = F.transform(sentences(four), lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s))
-        code = F.transform(sentences(four), lambda s, i: F.concat(F.lit("E0"), i + 10, F.lit(": "), s))
-        return F.when(kind == 0, F.array_join(row, "\n")).when(kind == 1, F.array_join(step, "\n")).when(kind == 2, F.array_join(code, "\n")).otherwise(four)
-
-    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.array_join(F.transform(fours, planted), "\n").alias("text"))
+    """Documents (doc_id, text) of which each line's sentences became table rows, numbered steps or code entries, or stayed prose, by a
+    checksum of the line. No word is lost."""
+    sentences = lambda line: F.split(line, "(?<=[.]) ", -1)
+
+    def planted(line):
+        kind = F.pmod(F.crc32(line), F.lit(5))
+        row = F.transform(sentences(line), lambda s: F.concat(F.lit("| "), F.replace(s, F.lit(" "), F.lit(" | ")), F.lit(" |")))
+        step = F.transform(sentences(line), lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s))
+        code = F.transform(sentences(line), lambda s, i: F.concat(F.lit("E0"), i + 10, F.lit(": "), s))
+        return F.when(kind == 0, F.array_join(row, "\n")).when(kind == 1, F.array_join(step, "\n")).when(kind == 2, F.array_join(code, "\n")).otherwise(line)
+
+    lines = F.split(F.replace("text", F.lit("|"), F.lit("/")), "\n", -1)
+    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.array_join(F.transform(lines, planted), "\n").alias("text"))
