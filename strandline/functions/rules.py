@@ -49,11 +49,10 @@ def keyword_intent(text: Column, rules: dict[str, list[str]] = INTENTS) -> Colum
     )
 
 
-def retrieval_weights(text: Column, default: tuple[float, float] = (0.5, 0.5)) -> Column:
-    """Struct of lexical and dense: codes ask for words, trouble for both, the rest for the default."""
-    trouble = "error|issue|problem|fault|failure|not working|failed|broken|stuck|wont|won't|unable"
-    pair = lambda a, b: F.struct(F.lit(a).alias("lexical"), F.lit(b).alias("dense"))
-    return F.when(F.upper(text).rlike(r"(^|[^A-Z0-9_])[EI][0-9]{2,4}([^A-Z0-9_]|$)"), pair(0.6, 0.4)).when(F.lower(text).rlike(trouble), pair(0.45, 0.55)).otherwise(pair(*default))
+def retrieval_weights(text: Column, classes: list[tuple[str, float]], default: float = 0.5) -> Column:
+    """Struct of lexical and dense, which add to one: the lexical weight is that of the first class whose pattern the text has."""
+    first = F.coalesce(*[F.when(text.rlike(pattern), F.lit(weight)) for pattern, weight in classes], F.lit(default))
+    return F.struct(first.alias("lexical"), F.round(1 - first, 6).alias("dense"))
 
 
 def is_english(text: Column) -> Column:

@@ -53,7 +53,12 @@ def quota_pick(rows: DataFrame, keys: list[str], kind: str, kinds: list[str], or
 
 def token_budget(rows: DataFrame, keys: list[str], order: list[Column], budget: int, overhead: int = 20, least: int = 100) -> DataFrame:
     """Rows in order while their tokens and overhead fit the budget; the first that overflows is cut to what is left if that is
-    more than least, and nothing follows it. Columns added: taken_tokens, truncated."""
+    more than least, and nothing follows it. Columns added: taken_tokens, truncated.
+
+    Each row costs the overhead at least, so no key needs more rows than the budget has overheads, and one that overflows.
+    """
+    if overhead > 0:
+        rows = top(rows, keys, order, budget // overhead + 1).drop("rank")
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = rows.withColumn("total", F.sum(F.col("tokens") + overhead).over(w)).withColumn("before", F.col("total") - F.col("tokens") - overhead)
     left = F.lit(budget) - F.col("before") - overhead

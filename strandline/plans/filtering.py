@@ -8,7 +8,7 @@ from ..functions import rules, text
 from ..operators import retrieval, vector_index
 from .registry import ORACLES, query
 from .searching import e05_question_answer_pairs
-from .views import CHUNKS, METRICS, chunks, metrics, table
+from .views import CHUNKS, LEXICAL_WEIGHT, METRICS, QUESTION_CLASSES, chunks, metrics, table
 
 _PAIRS = f"p AS ({ORACLES['e05_question_answer_pairs']})"
 WANTED = ["MIT", "GPL", "BSD"]
@@ -99,10 +99,10 @@ def c05_w07_intent(spark, sf_dir):
     return i.select("conv_id", "turn", "i.intent", F.round("i.confidence", 6).alias("confidence"), "i.secondary")
 
 
-@query("""SELECT conv_id, turn, w[1] AS lexical, w[2] AS dense FROM (SELECT conv_id, turn, CASE WHEN regexp_matches(upper(text), '(^|[^A-Z0-9_])[EI][0-9]{2,4}([^A-Z0-9_]|$)') THEN [0.6, 0.4]
-    WHEN regexp_matches(lower(text), 'error|issue|problem|fault|failure|not working|failed|broken|stuck|wont|won''t|unable') THEN [0.45, 0.55] ELSE [0.5, 0.5] END::DOUBLE[] AS w FROM conversations)""")
+@query(f"SELECT conv_id, turn, {LEXICAL_WEIGHT} AS lexical, round(1 - {LEXICAL_WEIGHT}, 6) AS dense FROM conversations")
 def c13_retrieval_weights(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", rules.retrieval_weights(F.col("text")).alias("w")).select("conv_id", "turn", "w.lexical", "w.dense")
+    w = rules.retrieval_weights(F.col("text"), QUESTION_CLASSES).alias("w")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", w).select("conv_id", "turn", "w.lexical", "w.dense")
 
 
 _WORD = "CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN c_name || '!x' WHEN 2 THEN lower(c_mktsegment) ELSE c_mktsegment || c_custkey END"

@@ -11,7 +11,7 @@ from ..operators import retrieval, text_index, vector_index
 from ..sources.tables import stored
 from .registry import query
 from .searching import BM25_SQL
-from .views import CHUNKS, FEEDBACK, chunks, feedback, table
+from .views import CHUNKS, FEEDBACK, LEXICAL_WEIGHT, QUESTION_CLASSES, chunks, feedback, table
 
 #: Words and what may stand for them.
 SYNONYMS = {"the": "that", "of": "from", "and": "with", "de": "la"}
@@ -22,7 +22,7 @@ EXPANDED = f"""normed AS (SELECT item_id, {_NORM} AS norm FROM benchmark),
     numbered AS (SELECT item_id, unnest([norm, {_VARIANTS}]) AS v, generate_subscripts([norm, {_VARIANTS}], 1) AS place FROM normed),
     expanded AS (SELECT item_id, string_agg(v, ' ' ORDER BY place) AS text, list(v ORDER BY place) AS variants
         FROM (SELECT item_id, v, min(place) AS place FROM numbered GROUP BY item_id, v QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY min(place)) <= 3) GROUP BY item_id)"""
-WEIGHTS = r"""weights AS (SELECT item_id, CASE WHEN regexp_matches(upper(text), '(^|[^A-Z0-9_])[EI][0-9]{2,4}([^A-Z0-9_]|$)') THEN 0.6 WHEN regexp_matches(lower(text), 'error|issue|problem|fault|failure|not working|failed|broken|stuck|wont|won''t|unable') THEN 0.45 ELSE 0.5 END::DOUBLE AS lexical FROM benchmark)"""
+WEIGHTS = f"weights AS (SELECT item_id, {LEXICAL_WEIGHT} AS lexical FROM benchmark)"
 DENSE = """vq AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
     dense AS (SELECT query_id, doc_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM vq, embeddings JOIN documents ON vec_id = doc_id WHERE vec_id <> query_id),
     dense_top AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dense QUALIFY rank <= 20)"""
@@ -54,7 +54,7 @@ def fused(spark, sf_dir):
     """query_id, doc_id, both legs' scores and ranks, and the fused score with the weights of the question's class."""
     lexical = text_index.search(text_index.build(table(spark, sf_dir, "documents")), expanded(spark, sf_dir).select(F.col("item_id").alias("query_id"), "text"), 20)
     both = lexical.withColumnsRenamed({"score": "lexical_score", "rank": "lexical_rank"}).join(_dense(spark, sf_dir).withColumnsRenamed({"score": "dense_score", "rank": "dense_rank"}), ["query_id", "doc_id"], "full")
-    w = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), rules.retrieval_weights(F.col("text")).alias("w"))
+    w = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), rules.retrieval_weights(F.col("text"), QUESTION_CLASSES).alias("w"))
     part = lambda weight, rank: F.coalesce(weight / (60 + F.col(rank)), F.lit(0.0))
     return both.join(w, "query_id").withColumn("rrf", F.round(part(F.col("w.lexical"), "lexical_rank") + part(1 - F.col("w.lexical"), "dense_rank"), 8)).drop("w")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..operators import learning, retrieval
+from ..streaming.keyed_state import late_feedback
 from .registry import query
 from .views import AS_OF, FEEDBACK, METRICS, feedback, metrics, table
 
@@ -58,7 +59,7 @@ def l03_recommendations(spark, sf_dir):
     array_to_string(list_sort(list_distinct(flatten(list(keywords)))), ',') AS keywords FROM rated GROUP BY source""")
 def l05_source_relevance(spark, sf_dir):
     """Counters and keywords of each source; keywords are made distinct before they are gathered."""
-    r = rated(spark, sf_dir).select("source", "positive", F.explode("keywords").alias("word"), F.monotonically_increasing_id().alias("row"))
+    r = rated(spark, sf_dir).select("source", "positive", F.explode("keywords").alias("word"))
     words = r.select("source", "word").distinct().groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("word")), ",").alias("keywords"))
     counts = rated(spark, sf_dir).groupBy("source").agg(F.count_if("positive").alias("relevant"), F.count_if(~F.col("positive")).alias("irrelevant"), F.count("*").alias("total"))
     return counts.join(words, "source")
@@ -142,6 +143,16 @@ def z11_late_feedback(spark, sf_dir):
     return seen.select(F.col("event_id").alias("f_id"), F.col("r.event_id").alias("request"), (F.col("event_type") == "purchase").alias("positive"))
 
 
+@query(f"""WITH {METRICS}, p AS (SELECT event_id, user_id, ts FROM metrics WHERE event_type = 'view'), f AS (SELECT event_id AS f_id, user_id, ts AS f_ts, event_type = 'purchase' AS positive FROM metrics WHERE event_type IN ('purchase', 'error'))
+    SELECT f_id, event_id AS request, positive FROM (SELECT *, row_number() OVER (PARTITION BY f_id ORDER BY ts DESC, event_id DESC) AS n FROM f JOIN p USING (user_id) WHERE ts <= f_ts AND ts >= f_ts - INTERVAL 6 HOUR) WHERE n = 1""")
+def z11_feedback_in_time(spark, sf_dir):
+    """Each rating with its user's newest request of the six hours before; on streams the same join, with watermarks."""
+    m = metrics(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    asked = m.filter("event_type = 'view'").select("user_id", "event_id", "ts")
+    rated_ = m.filter("event_type IN ('purchase', 'error')").select("user_id", F.col("event_id").alias("f_id"), F.col("ts").alias("f_ts"), (F.col("event_type") == "purchase").alias("positive"))
+    return late_feedback(asked, rated_, "user_id", "6 hours")
+
+
 @query(f"SELECT event_id FROM events WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 20 DAY")
 def z13_expired_log(spark, sf_dir):
     return table(spark, sf_dir, "events").filter(F.col("ts") >= F.lit(AS_OF).cast("timestamp") - F.expr("INTERVAL 20 DAY")).select("event_id")

@@ -50,14 +50,14 @@ def j05_feedback_to_original(spark, sf_dir):
     return r.join(first, "retry_of", "left").select("event_id", "retry_of", F.coalesce("first", F.lit(-1.0)).alias("first_value"), F.coalesce(F.round(F.col("value") - F.col("first"), 4), F.lit(0.0)).alias("change"))
 
 
-_KEYS = f"list_slice(list_sort(list_distinct(list_filter({EVAL_TOKENS}, lambda w: length(w) >= 6))), 1, 20)"
+_KEYS = f"list_distinct(list_filter({EVAL_TOKENS}, lambda w: length(w) >= 6))"
 
 
 @query(f"""WITH b AS (SELECT item_id, unnest({_KEYS}) AS w FROM benchmark), c AS (SELECT conv_id, turn, unnest({_KEYS}) AS w FROM conversations)
     SELECT item_id, conv_id, turn, count(*) AS shared FROM b JOIN c USING (w) GROUP BY ALL HAVING count(*) >= 2""")
 def j09_shared_keywords(spark, sf_dir):
     """Questions and turns that share two keywords or more, by a join on keywords."""
-    keys = lambda: F.explode(F.slice(F.array_sort(F.array_distinct(F.filter(text.eval_tokens(F.col("text")), lambda w: F.length(w) >= 6))), 1, 20)).alias("w")
+    keys = lambda: F.explode(F.array_distinct(F.filter(text.eval_tokens(F.col("text")), lambda w: F.length(w) >= 6))).alias("w")
     b, c = table(spark, sf_dir, "benchmark").select("item_id", keys()), table(spark, sf_dir, "conversations").select("conv_id", "turn", keys())
     return b.join(c, "w").groupBy("item_id", "conv_id", "turn").agg(F.count("*").alias("shared")).filter("shared >= 2")
 

