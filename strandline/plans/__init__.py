@@ -1,6 +1,6 @@
 """Registered queries, family by family, each with its SQL oracle."""
 
-from . import analytics, chunks, classifying, evaluating, extracting, filtering, hybrid, learning, relating, searching, selecting, sources, state
+from . import analytics, chunks, classifying, evaluating, extracting, filtering, hybrid, learning, relating, searching, selecting, sources, state, stored
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analytics", "chunks", "classifying", "evaluating", "extracting", "filtering", "hybrid", "learning", "relating", "searching", "selecting", "sources", "state"]
+__all__ = ["ORACLES", "QUERIES", "analytics", "chunks", "classifying", "evaluating", "extracting", "filtering", "hybrid", "learning", "relating", "searching", "selecting", "sources", "state", "stored"]
