@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import merging, retrieval
+from ..operators import merging, quantiles, retrieval
 from ..sources.tables import stored
 from ..streaming.windows import first_of_each
 from .analytics import now
@@ -172,12 +172,10 @@ def a29_merged_metadata(spark, sf_dir):
 @query(f"""WITH {METRICS}, r AS (SELECT event_type, latency, row_number() OVER (PARTITION BY event_type ORDER BY latency, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM metrics)
     SELECT event_type, n, min(latency) FILTER (i = least(n - 1, floor(n * 0.95)::BIGINT)) AS p95, min(latency) FILTER (i = least(n - 1, floor(n * 0.99)::BIGINT)) AS p99 FROM r GROUP BY event_type, n""")
 def w12_percentiles(spark, sf_dir):
-    """The values at 95 and 99 hundredths of each type's ordered latencies; equal latencies are one row before they are ranked."""
-    m = metrics(spark, sf_dir).groupBy("event_type", "latency").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("event_type").orderBy("latency"))
-    ranked = m.withColumn("upto", upto).join(m.groupBy("event_type").agg(F.sum("c").alias("n")), "event_type")
-    at = lambda p: F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * p)), F.col("latency")))
-    return ranked.groupBy("event_type", "n").agg(at(0.95).alias("p95"), at(0.99).alias("p99"))
+    """The values at 95 and 99 hundredths of each type's ordered latencies, by distributed selection."""
+    at = lambda n: [F.floor(n * p) for p in (0.95, 0.99)]
+    found = quantiles.order_statistics(metrics(spark, sf_dir), "event_type", "latency", at)
+    return found.select("event_type", "n", F.col("picked")[0].alias("p95"), F.col("picked")[1].alias("p99"))
 
 
 @query("""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word, generate_subscripts(regexp_extract_all(lower(text), '[a-z]+'), 1) AS i FROM benchmark),
