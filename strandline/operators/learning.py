@@ -1,4 +1,5 @@
-"""Learning from ratings: keyword mappings, recommendations, term weights. All is computed anew from the log of ratings."""
+"""Learning from ratings: keyword mappings, recommendations, term weights. What is learned from a part of the log merges with
+what another part gave (``streaming.learned_state``)."""
 
 from __future__ import annotations
 
@@ -46,8 +47,14 @@ def recommendations(asked: DataFrame, mappings: DataFrame, key: str, least_rate:
     return found.withColumn("confidence", F.least(F.lit(1.0), F.size("recommended") / F.lit(float(limit))))
 
 
-def term_weights(ratings: DataFrame, term: str, order: list[str], part: Column) -> DataFrame:
-    """(term, weight): the weight after all ratings (term, positive) in order, kept within its bounds at each step.
+def composed(a: dict[str, Column] | Column, b: dict[str, Column] | Column) -> dict[str, Column]:
+    """The run "add, then bound from below and above" that does what run a and then run b do."""
+    bounded = lambda x: F.least(b["high"], F.greatest(b["low"], x))
+    return {"add": a["add"] + b["add"], "low": bounded(a["low"] + b["add"]), "high": bounded(a["high"] + b["add"])}
+
+
+def term_runs(ratings: DataFrame, term: str, order: list[str], part: Column) -> DataFrame:
+    """(term, add, low, high): what all ratings (term, positive), in order, do to a weight.
 
     A run of ratings acts on a weight as "add, then bound from below and above", and two such runs make another. So each
     part of a term's ratings (an ascending function of the order, such as the day) is folded on its own before parts meet.
@@ -56,10 +63,19 @@ def term_weights(ratings: DataFrame, term: str, order: list[str], part: Column)
     one = F.struct(F.struct(*order).alias("at"), step.alias("add"), F.lit(LEAST).alias("low"), F.lit(MOST).alias("high"))
 
     def after(a: Column, b: Column) -> Column:
-        bounded = lambda x: F.least(b["high"], F.greatest(b["low"], x))
-        return F.struct((a["add"] + b["add"]).alias("add"), bounded(a["low"] + b["add"]).alias("low"), bounded(a["high"] + b["add"]).alias("high"))
+        return F.struct(*[c.alias(name) for name, c in composed(a, b).items()])
 
     none = F.struct(F.lit(0.0).alias("add"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
     parts = ratings.groupBy(term, part.alias("part")).agg(F.sort_array(F.collect_list(one)).alias("steps")).select(term, "part", F.aggregate("steps", none, after).alias("run"))
     runs = parts.groupBy(term).agg(F.sort_array(F.collect_list(F.struct("part", "run.add", "run.low", "run.high"))).alias("runs")).select(term, F.aggregate("runs", none, after).alias("run"))
-    return runs.select(term, F.round(F.least(F.col("run.high"), F.greatest(F.col("run.low"), F.lit(START) + F.col("run.add"))), 6).alias("weight"))
+    return runs.select(term, "run.*")
+
+
+def weight(add: Column, low: Column, high: Column) -> Column:
+    """The weight after a run, from the weight at first."""
+    return F.round(F.least(high, F.greatest(low, F.lit(START) + add)), 6)
+
+
+def term_weights(ratings: DataFrame, term: str, order: list[str], part: Column) -> DataFrame:
+    """(term, weight): the weight after all ratings (term, positive) in order, kept within its bounds at each step."""
+    return term_runs(ratings, term, order, part).select(term, weight(F.col("add"), F.col("low"), F.col("high")).alias("weight"))
