@@ -39,6 +39,20 @@ def fused(lists: list[tuple[DataFrame, float]], keys: list[str], k: int = scores
     return every.groupBy(*keys).agg(F.round(F.sum("part"), 8).alias("score"))
 
 
+def concatenated(hits: DataFrame, key: str, variant: str, rank: str = "rank") -> DataFrame:
+    """hits of a question's variants, each ranked by itself, with place: their rank in the variants' lists put one after the other.
+
+    A document that several variants find has a place for each. A question has as many rows as its variants have hits, so lists must be cut first.
+    """
+    return hits.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(variant, rank)))
+
+
+def limited(hits: DataFrame, key: list[str], order: list[Column], most: int, when: Column) -> DataFrame:
+    """hits without those that are not among the ``most`` best of their key; rows for which ``when`` is not true are all kept."""
+    place = F.row_number().over(Window.partitionBy(*key, F.coalesce(when, F.lit(False))).orderBy(*order))
+    return hits.withColumn("__place", place).filter(~F.coalesce(when, F.lit(False)) | (F.col("__place") <= most)).drop("__place")
+
+
 def first_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top(rows, keys, order, 1).drop("rank")
 
