@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import retrieval, vector_index
+from ..operators import retrieval, set_join, vector_index
 from .registry import ORACLES, query
 from .searching import e05_question_answer_pairs
 from .views import CHUNKS, LEXICAL_WEIGHT, METRICS, QUESTION_CLASSES, chunks, metrics, table
@@ -253,9 +253,9 @@ def u03_set_operations(spark, sf_dir):
 
 @query()
 def u05_greedy_near_duplicates(spark, sf_dir):
-    """Of each source's twenty best texts, in order, those like none kept before (Jaccard over 0.85 of their words)."""
-    best = retrieval.top(chunks(spark, sf_dir).select("doc_id", "source", "similarity", "text"), ["source"], [F.desc("similarity"), F.col("doc_id")], 20)
-    return retrieval.greedy_distinct(best.withColumn("words", F.array_distinct(text.words(F.col("text")))), "source", "doc_id", 0.85)
+    """Of each source's texts, in order, those like none kept before (Jaccard over 0.85 of their words)."""
+    rows = chunks(spark, sf_dir).select("doc_id", "source", "similarity", text.words(F.col("text")).alias("words"))
+    return set_join.greedy_distinct(rows, "source", "doc_id", [-F.col("similarity"), F.col("doc_id")], "words", 0.85)
 
 
 _LINKS = r"""list_sort(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1)))"""

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import merging, retrieval
+from ..operators import merging, retrieval, set_join
 from .registry import query
 from .views import CHUNKS, EVAL_TOKENS, FEEDBACK, chunks, feedback, table
 
@@ -208,6 +208,22 @@ def u06_pairwise_jaccard(spark, sf_dir):
     return shared.select("left_id", "right_id", F.round(F.col("c") / (F.col("a") + F.col("b") - F.col("c")), 6).alias("likeness"))
 
 
+_WORDS = r"list_sort(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda w: w <> '')))"
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, {_WORDS} AS t, len(t) AS n FROM documents),
+    c AS (SELECT min(doc_id) AS id, t, n FROM d GROUP BY t, n),
+    p AS (SELECT x.id AS left_id, y.id AS right_id, x.n + y.n AS total, len(list_intersect(x.t, y.t)) AS c
+          FROM c x JOIN c y ON x.id < y.id AND least(x.n, y.n) >= 0.8 * greatest(x.n, y.n))
+    SELECT left_id, right_id, round(c / (total - c)::DOUBLE, 6) AS likeness FROM p WHERE 5 * c >= 4 * (total - c)""")
+def u06_similar_texts(spark, sf_dir):
+    """Pairs of documents whose sets of words are alike by 0.8 or more; of equal sets the smallest id stands for all."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.words(F.col("text")).alias("words"))
+    pairs, _ = set_join.similar_pairs(rows, "doc_id", "words", 0.8)
+    return pairs.select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), F.round("likeness", 6).alias("likeness"))
+
+
 @query("SELECT column_name, missing, empty, filled, round(filled * 100.0 / n, 1) AS fill_rate FROM (" + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count(*) AS n, count(*) FILTER ({c} IS NULL) AS missing, count(*) FILTER ({c} IS NOT NULL AND trim({c}::VARCHAR) IN ('', '-', 'N/A', 'Unknown')) AS empty, count(*) FILTER ({c} IS NOT NULL AND trim({c}::VARCHAR) NOT IN ('', '-', 'N/A', 'Unknown')) AS filled FROM customer"
     for c in ("c_name", "c_mktsegment", "c_acctbal")) + ")")

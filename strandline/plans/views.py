@@ -62,20 +62,25 @@ EVAL_TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower(text), '<
 
 
 def structured_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of documents as lines (doc_id, i, line) with headers, numbered steps, table rows, warnings, problems and blanks."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\. ", -1)).alias("i", "s"))
-    k = F.col("i") % 10
-    row = F.array_join(F.slice(F.split("s", " ", -1), 1, 3), " | ")
-    line = (
-        F.when(k == 0, F.concat(F.lit("# "), "s")).when(k <= 3, F.concat(k.cast("string"), F.lit(". "), "s")).when(k <= 5, row).when(k == 6, F.concat(F.lit("WARNING: "), "s"))
-        .when(k == 7, F.concat(F.lit("Problem: "), "s")).when(k == 8, F.concat(F.lit("Solution: "), "s")).otherwise("")
-    )
-    return d.select("doc_id", "i", line.alias("line"))
+    """Sentences of documents as lines (doc_id, i, line) with headers, numbered steps, table rows, warnings, problems and prose before a
+    blank line. No word is lost."""
+
+    def planted(s, i):
+        k = i % 10
+        line = (
+            F.when(k == 0, F.concat(F.lit("# "), s)).when(k <= 3, F.concat(k.cast("string"), F.lit(". "), s)).when(k <= 5, F.replace(s, F.lit(" "), F.lit(" | ")))
+            .when(k == 6, F.concat(F.lit("WARNING: "), s)).when(k == 7, F.concat(F.lit("Problem: "), s)).when(k == 8, F.concat(F.lit("Solution: "), s)).otherwise(s)
+        )
+        return F.when(k == 9, F.array(line, F.lit(""))).otherwise(F.array(line))
+
+    sentences = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\. ", -1)
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.flatten(F.transform(sentences, planted))).alias("i", "line"))
 
 
 LINES = """sentences AS (SELECT doc_id, unnest(string_split(replace(text, chr(10), ' '), '. ')) AS s, generate_subscripts(string_split(replace(text, chr(10), ' '), '. '), 1) - 1 AS i FROM documents),
-    lines AS (SELECT doc_id, i::INT AS i, CASE WHEN i % 10 = 0 THEN '# ' || s WHEN i % 10 <= 3 THEN (i % 10)::VARCHAR || '. ' || s WHEN i % 10 <= 5 THEN array_to_string(string_split(s, ' ')[1:3], ' | ')
-        WHEN i % 10 = 6 THEN 'WARNING: ' || s WHEN i % 10 = 7 THEN 'Problem: ' || s WHEN i % 10 = 8 THEN 'Solution: ' || s ELSE '' END AS line FROM sentences)"""
+    lines AS (SELECT doc_id, (i + i // 10)::INT AS i, CASE WHEN i % 10 = 0 THEN '# ' || s WHEN i % 10 <= 3 THEN (i % 10)::VARCHAR || '. ' || s WHEN i % 10 <= 5 THEN replace(s, ' ', ' | ')
+        WHEN i % 10 = 6 THEN 'WARNING: ' || s WHEN i % 10 = 7 THEN 'Problem: ' || s WHEN i % 10 = 8 THEN 'Solution: ' || s ELSE s END AS line FROM sentences
+        UNION ALL SELECT doc_id, (i + i // 10 + 1)::INT, '' FROM sentences WHERE i % 10 = 9)"""
 
 
 def planted_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
