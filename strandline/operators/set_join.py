@@ -1,8 +1,9 @@
 """Similarity joins of sets: pairs at or above a Jaccard similarity, and greedy removal of what is too like something kept before.
 
-Sets are arrays of 64-bit hashes of their words, rarest word first (words in order of how many sets hold them). Two sets of a given
+Sets are arrays of 58-bit hashes of their words, rarest word first (by the binary logarithm of how many sets hold each). Two sets of a given
 similarity share one of their first few words, so only these are joined on; sizes and places rule out most of what meets there, before
-anything is shuffled again. Similarities are exact up to collisions of the hashes. Only DataFrame functions are used.
+anything is shuffled again. Similarities are exact up to collisions of the hashes, and equal sets
+are told by SHA-256 of these. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -18,25 +19,32 @@ from ..sources.tables import stored
 FREQUENT = 1000
 #: Rounds of greedy removal by leaders before the rest is decided over pairs.
 LEADER_ROUNDS = 4
+#: The bits of a word's hash, below those of its count's logarithm.
+_BITS = 58
+_HASH = (1 << _BITS) - 1
 
 
-def _joined(rows: DataFrame, counts: DataFrame, n: int) -> DataFrame:
-    """rows with the count of their word; frequent words' counts are broadcast, so no task gets all rows of one."""
-    most = max(n // FREQUENT, 1)
-    frequent = counts.filter(F.col("n") > most)
-    marked = rows.join(F.broadcast(frequent), "h", "left")
-    rare = marked.filter("n IS NULL").drop("n").join(counts.filter(F.col("n") <= most), "h")
-    return marked.filter("n IS NOT NULL").unionByName(rare)
+def _hashed(rows: DataFrame, words: str) -> DataFrame:
+    """rows with hs, the sorted hashes of their distinct words, and d, a digest of these. A null array is an empty set; null words do not
+    count. Kept as a table."""
+    some = F.filter(F.coalesce(F.col(words), F.array().cast("array<string>")), lambda w: w.isNotNull())
+    hashed = rows.withColumn("hs", F.array_sort(F.array_distinct(F.transform(some, lambda w: F.xxhash64(w).bitwiseAND(_HASH))))).drop(words)
+    return stored(hashed.withColumn("d", F.unhex(F.sha2(F.array_join(F.transform("hs", lambda h: h.cast("string")), ","), 256))), "hashed")
 
 
-def rarest_first(rows: DataFrame, id_col: str, words: str) -> DataFrame:
-    """(id, items, size): each row's distinct words as hashes, rarest first. A null array is an empty set; null words do not count."""
-    some = F.coalesce(F.col(words), F.array().cast("array<string>"))
-    hashed = rows.select(F.col(id_col).alias("id"), F.array_distinct(F.transform(F.filter(some, lambda w: w.isNotNull()), lambda w: F.xxhash64(w))).alias("hs"))
-    hashed = stored(hashed, "hashed")
+def _rarest_first(hashed: DataFrame) -> DataFrame:
+    """(id, items, size): each set's words, rarest first. An item is a word's hash under the binary logarithm of how many sets hold it.
+
+    Frequent words' counts are broadcast, so no task gets all rows of one.
+    """
     each = hashed.select("id", F.explode("hs").alias("h"))
-    counts = stored(each.groupBy("h").agg(F.count("*").alias("n")), "counts")
-    ordered = _joined(each, counts, hashed.count()).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "h"))), lambda x: x["h"]).alias("items"))
+    item = F.col("h").bitwiseOR(F.shiftleft(F.floor(F.log2("n")).cast("long"), _BITS)).alias("item")
+    counts = stored(each.groupBy("h").agg(F.count("*").alias("n")).select("h", "n", item), "counts")
+    most = max(hashed.count() // FREQUENT, 1)
+    marked = each.join(F.broadcast(counts.filter(F.col("n") > most).select("h", "item")), "h", "left")
+    rare = marked.filter("item IS NULL").select("id", "h").join(counts.filter(F.col("n") <= most).select("h", "item"), "h")
+    every = marked.filter("item IS NOT NULL").select("id", "item").unionByName(rare.select("id", "item"))
+    ordered = every.groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("items"))
     empty = hashed.filter(F.size("hs") == 0).select("id", F.col("hs").alias("items"))
     return stored(ordered.unionByName(empty).withColumn("size", F.size("items")), "sets")
 
@@ -69,14 +77,12 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", (shared / (F.size("of_a") + F.size("of_b") - shared)).alias("likeness"))
 
 
-def classes(rows: DataFrame, id_col: str, words: str) -> DataFrame:
-    """(id, first): the smallest id that has the same set of words. Sets are told apart by SHA-256 of their sorted words."""
-    some = F.array_sort(F.array_distinct(F.filter(F.coalesce(F.col(words), F.array().cast("array<string>")), lambda w: w.isNotNull())))
-    digests = rows.select(F.col(id_col).alias("id"), F.sha2(F.array_join(F.transform(some, lambda w: F.hex(F.encode(w, "UTF-8"))), ","), 256).alias("d"))
-    digests = stored(digests, "digests")
-    firsts = digests.groupBy("d").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    # Most sets have no copy; what has some is joined, and a class of many copies is one row of the other side.
-    return digests.join(firsts.filter("n > 1").drop("n"), "d", "left").select("id", F.coalesce("first", "id").alias("first"))
+def _later(hashed: DataFrame, *keys: str) -> DataFrame:
+    """(id, first): rows whose set (and keys) an earlier row has too, and the first such row. hashed has o, the order."""
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in keys]
+    shared = hashed.groupBy("d", *keys).agg(F.min(F.struct("o", "id")).alias("f"), F.count("*").alias("n")).filter("n > 1")
+    found = hashed.select("id", "d", *keys).alias("x").join(shared.alias("y"), [F.col("x.d") == F.col("y.d"), *same])
+    return found.select(F.col("x.id").alias("id"), F.col("y.f.id").alias("first")).filter("id <> first")
 
 
 def similar_pairs(rows: DataFrame, id_col: str, words: str, at_least: float) -> tuple[DataFrame, DataFrame]:
@@ -85,12 +91,13 @@ def similar_pairs(rows: DataFrame, id_col: str, words: str, at_least: float) ->
 
     0 < at_least <= 1. An empty table gives none.
     """
-    members = stored(classes(rows, id_col, words), "classes")
-    alone = rows.join(members.filter("id = first").select(F.col("id").alias(id_col)), id_col, "left_semi")
-    sets = rarest_first(alone, id_col, words)
+    hashed = _hashed(rows.select(F.col(id_col).alias("id"), F.col(id_col).alias("o"), F.col(words).alias("words")), "words")
+    later = stored(_later(hashed), "later")
+    sets = _rarest_first(hashed.join(later, "id", "left_anti"))
     p = stored(prefixes(sets, at_least), "prefixes")
     met = p.alias("x").join(p.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & _can_be("x", "y", at_least))
     pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    members = hashed.select("id").join(later, "id", "left").select("id", F.coalesce("first", "id").alias("first"))
     return stored(_verified(pairs, sets).filter(F.col("likeness") >= at_least), "pairs"), members
 
 
@@ -120,11 +127,9 @@ def greedy_distinct(rows: DataFrame, key: str, id_col: str, order: list[Column],
     meet a similar one is kept, and all that are too like it go, which costs a few rows for each row and takes groups of near copies
     away; what a few rounds leave is decided over its similar pairs.
     """
-    w = rows.select(F.col(key).alias("k"), F.col(id_col).alias("id"), F.struct(*order).alias("o"), F.col(words).alias("words"))
-    some = F.array_sort(F.array_distinct(F.filter(F.coalesce(F.col("words"), F.array().cast("array<string>")), lambda x: x.isNotNull())))
-    w = w.withColumn("d", F.sha2(F.array_join(F.transform(some, lambda x: F.hex(F.encode(x, "UTF-8"))), ","), 256))
-    firsts = stored(w.groupBy("k", "d").agg(F.min_by(F.struct("id", "words"), "o").alias("f"), F.min("o").alias("o")).select("k", "o", "f.id", "f.words"), "firsts")
-    sets = stored(rarest_first(firsts, "id", "words").join(firsts.select("id", "k", "o"), "id"), "ranked")
+    hashed = _hashed(rows.select(F.col(key).alias("k"), F.col(id_col).alias("id"), F.struct(*order).alias("o"), F.col(words).alias("words")), "words")
+    firsts = hashed.join(_later(hashed, "k").select("id"), "id", "left_anti")
+    sets = stored(_rarest_first(firsts).join(hashed.select("id", "k", "o"), "id"), "ranked")
     slack = math.nextafter(more_than, 2)
     left, kept, p = sets.select("id", "k"), [], stored(prefixes(sets, slack, "k", "o"), "prefixes")
     for _ in range(LEADER_ROUNDS):
