@@ -68,13 +68,30 @@ def _can_be(a: str, b: str, at_least: float) -> Column:
     return (F.least(size_a, size_b) >= _least(F.greatest(size_a, size_b), at_least)) & (left >= needed)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with their likeness. Each set goes to its pairs, so pairs must have been sieved."""
-    one = sets.select(F.col("id").alias("a"), F.col("items").alias("of_a"))
-    two = sets.select(F.col("id").alias("b"), F.col("items").alias("of_b"))
-    both = pairs.join(one, "a").join(two, "b")
+def _marks(sets: DataFrame) -> DataFrame:
+    """(id, size, m): each set as 512 bits, one for every item's last nine bits."""
+    word = "aggregate(filter(items, x -> (shiftright(x, 6) & 7) = {}), 0L, (a, x) -> a | shiftleft(1L, cast(x & 63 AS INT)))"
+    return sets.select("id", "size", F.array(*[F.expr(word.format(k)) for k in range(8)]).alias("m"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
+    """pairs (a, b) of likeness at_least or more, with it.
+
+    Bits that differ stand for different items each, so pairs are ruled out by these before whole sets are joined to what is left.
+    """
+    marks = stored(_marks(sets), "marks")
+    x, y = marks.select(*[F.col(c).alias(f"{c}_a") for c in marks.columns]), marks.select(*[F.col(c).alias(f"{c}_b") for c in marks.columns])
+    apart = sum((F.bit_count(F.get("m_a", F.lit(k)).bitwiseXOR(F.get("m_b", F.lit(k)))) for k in range(8)), F.lit(0))
+    total = F.col("size_a") + F.col("size_b")
+    may = pairs.join(x, F.col("a") == F.col("id_a")).join(y, F.col("b") == F.col("id_b")).filter(apart <= total - 2 * F.ceil(total * (at_least / (1 + at_least)) - 1e-9))
+    left = stored(may.select("a", "b"), "proposed")
+    used = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
+    asked = stored(sets.select("id", "items").join(used, "id", "left_semi"), "asked")
+    one = asked.select(F.col("id").alias("a"), F.col("items").alias("of_a"))
+    two = asked.select(F.col("id").alias("b"), F.col("items").alias("of_b"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    return both.select("a", "b", (shared / (F.size("of_a") + F.size("of_b") - shared)).alias("likeness"))
+    likeness = shared / (F.size("of_a") + F.size("of_b") - shared)
+    return left.join(one, "a").join(two, "b").select("a", "b", likeness.alias("likeness")).filter(F.col("likeness") >= at_least)
 
 
 def _later(hashed: DataFrame, *keys: str) -> DataFrame:
@@ -98,7 +115,7 @@ def similar_pairs(rows: DataFrame, id_col: str, words: str, at_least: float) ->
     met = p.alias("x").join(p.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & _can_be("x", "y", at_least))
     pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     members = hashed.select("id").join(later, "id", "left").select("id", F.coalesce("first", "id").alias("first"))
-    return stored(_verified(pairs, sets).filter(F.col("likeness") >= at_least), "pairs"), members
+    return stored(_verified(pairs, sets, at_least), "pairs"), members
 
 
 def _independent(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -140,7 +157,7 @@ def greedy_distinct(rows: DataFrame, key: str, id_col: str, order: list[Column],
         fresh = stored(left.join(behind, "id", "left_anti"), "leaders")
         first = bucket.join(fresh.select("id"), "id", "left_semi")
         near = p.alias("x").join(first.alias("y"), F.col("x.k").eqNullSafe(F.col("y.k")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.id") != F.col("y.id")) & _can_be("x", "y", slack))
-        gone = _verified(near.select(F.col("x.id").alias("b"), F.col("y.id").alias("a")).distinct(), sets).filter(F.col("likeness") > more_than).select(F.col("b").alias("id")).distinct()
+        gone = _verified(near.select(F.col("x.id").alias("b"), F.col("y.id").alias("a")).distinct(), sets, slack).select(F.col("b").alias("id")).distinct()
         kept.append(fresh)
         decided = stored(fresh.select("id").unionByName(gone), "decided")
         left = stored(left.join(decided, "id", "left_anti"), "left")
@@ -149,7 +166,7 @@ def greedy_distinct(rows: DataFrame, key: str, id_col: str, order: list[Column],
             break
     met = p.alias("x").join(p.alias("y"), F.col("x.k").eqNullSafe(F.col("y.k")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.o") < F.col("y.o")) & _can_be("x", "y", slack))
     pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    links = stored(_verified(pairs, sets).filter(F.col("likeness") > more_than).select(F.col("a").alias("before"), F.col("b").alias("after")), "links")
+    links = stored(_verified(pairs, sets, slack).select(F.col("a").alias("before"), F.col("b").alias("after")), "links")
     kept.append(left.join(_independent(left, links), "id", "left_semi"))
     every = kept[0]
     for part in kept[1:]:
