@@ -16,7 +16,9 @@ The samples only spare work; what they miss is found by an exact join. In any fi
 similarity t share one of the first n - ceil(t n) + 1 of each set's n shingles (prefix filter, Chaudhuri and others, 2006),
 and where they first agree at places i and j no more than min(n - i, m - j) can be common. All pairs of a cell, the sets
 that hold one shingle in their prefix, are compared where these bounds and the sizes leave it open and the samples have not
-joined the two. Shingles frequent in a sample of the sets come last in the order, so that cells are small.
+joined the two. Shingles frequent in a sample of the sets come last in the order, so that cells are small; cells with the same
+members are one. A set's marks are parities of its shingles' counts in some bits: bits that differ stand for different shingles that
+the other set lacks, so two sets whose marks differ in more bits than the similarity allows are not proposed.
 """
 
 from __future__ import annotations
@@ -42,7 +44,9 @@ LANES, SAMPLES, SAMPLE = 4, 24, 4
 COUNTED, FREQUENT, FREQUENTS = 10_000, 3, 200_000
 #: Members of a cell that a block of the exact join holds.
 BLOCK = 1000
-#: Parts in which prefixes (by hash of the shingle) and proposed links (of one end) are joined one after another.
+#: Bits of a set's marks for each of its shingles at least.
+MARKED = 2
+#: Parts in which prefixes (by hash of the shingle), cells and proposed links (of one end) are joined one after another.
 PARTS = 4
 #: Members of a linked set that stand for it when the rest of a crowded cell is searched.
 SPOKESMEN = 4
@@ -357,15 +361,40 @@ def frequent_shingles(sets: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return found[:, 0].copy(), found[:, 1].copy()
 
 
+def marks(hashes: np.ndarray) -> np.ndarray:
+    """Parities of how many of the different hashes fall on each of some bits: at one word of 64 bits, at two, at four and so on, to
+    MARKED bits a hash; level k takes the words from 2**k - 1 on.
+
+    At any level, the bits in which two sets' marks differ are at most as many as the hashes that only one of them holds.
+    """
+    words = 1
+    while 64 * words < MARKED * len(hashes):
+        words *= 2
+    place = (_mixed(hashes.view(np.uint64), 500) & np.uint64(64 * words - 1)).astype(np.int64)
+    odd = (np.bincount(place, minlength=64 * words) & 1).astype(np.uint8)
+    levels = [np.packbits(odd, bitorder="little").view("<i8")]
+    while words > 1:
+        words //= 2
+        levels.append(levels[-1][:words] ^ levels[-1][words:])
+    return np.concatenate(levels[::-1])
+
+
+def bits_apart(x: str, y: str) -> Column:
+    """Bits in which two arrays of marks differ, at the highest level that both have."""
+    words = f"cast((least(size({x}), size({y})) + 1) / 2 as int)"
+    return F.expr(f"aggregate(zip_with(slice({x}, {words}, {words}), slice({y}, {words}, {words}), (p, q) -> bit_count(p ^ q)), 0, (s, n) -> s + n)")
+
+
 def prefixes(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], similarity: float = 0.8) -> DataFrame:
-    """(cell, fp, at, size): the first shingles of each set, their places from 0, and the number of shingles in the set."""
-    target = pa.schema([("cell", pa.int64()), ("fp", pa.int64()), ("at", pa.int32()), ("size", pa.int32())])
+    """(cell, fp, at, size, marks): the first shingles of each set, their places from 0, and the number of shingles in the set; the
+    set's marks at place 0, none elsewhere."""
+    target = pa.schema([("cell", pa.int64()), ("fp", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("marks", pa.list_(pa.int64()))])
     shared = sets.sparkSession.sparkContext.broadcast(frequent)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = shared.value
         for batch in slices(batches):
-            cells, fps, ats, sizes = [], [], [], []
+            cells, fps, ats, sizes, marked, lengths = [], [], [], [], [], [np.zeros(1, np.int32)]
             shingles = batch.column(1)
             bounds, flat = shingles.offsets.to_numpy(), shingles.values.to_numpy()
             for fp, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -383,10 +412,14 @@ def prefixes(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], similarit
                 fps.append(np.full(first, fp, np.int64))
                 ats.append(np.arange(first, dtype=np.int32))
                 sizes.append(np.full(first, size, np.int32))
+                marked.append(marks(own))
+                lengths.append(np.zeros(first, np.int32))
+                lengths[-1][0] = len(marked[-1])
             if cells:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (cells, fps, ats, sizes)], schema=target)
+                held = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(lengths), dtype=np.int32)), pa.array(np.concatenate(marked)))
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x)) for x in (cells, fps, ats, sizes)], held], schema=target)
 
-    return sets.select("fp", "shingles").mapInArrow(at_rest(apply), "cell long, fp long, at int, size int")
+    return sets.select("fp", "shingles").mapInArrow(at_rest(apply), "cell long, fp long, at int, size int, marks array<long>")
 
 
 def exact_pairs(sets: DataFrame, nodes: DataFrame, n: int, similarity: float = 0.8, block: int = BLOCK, spent: list | None = None) -> DataFrame:
@@ -396,11 +429,12 @@ def exact_pairs(sets: DataFrame, nodes: DataFrame, n: int, similarity: float = 0
     the tables that can be dropped once the pairs are written.
     """
     firsts = written(prefixes(sets, frequent_shingles(sets, n), similarity), "prefixes")
+    held = written(firsts.filter("at = 0").select("fp", "marks"), "marks")
     # most shingles stand in one prefix alone: those go before anything is joined, a part of the shingles at a time, so that the
     # disk holds the shuffles of one part only
     parts, roots = [], nodes.withColumnRenamed("node", "fp").hint("merge")
     for part in range(PARTS):
-        some = firsts.filter(F.pmod(F.xxhash64("cell"), F.lit(PARTS)) == part)
+        some = firsts.select("cell", "fp", "at", "size").filter(F.pmod(F.xxhash64("cell"), F.lit(PARTS)) == part)
         shared = written(some.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "shared-cells")
         twice = keyed_join(some, shared, ["cell"], "inner").drop("n")
         parts.append(written(twice.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted-prefixes"))
@@ -408,19 +442,31 @@ def exact_pairs(sets: DataFrame, nodes: DataFrame, n: int, similarity: float = 0
         released(sets.sparkSession)
     dropped(firsts)
     rooted = reduce(DataFrame.unionByName, parts)
-    cells = rooted.groupBy("cell").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    cells = written(cells.select("cell", "n"), "mixed-cells")
-    members = written(keyed_join(rooted, cells, ["cell"], "inner"), "cell-members")
-    for done in parts:
+    same = F.bit_xor(F.xxhash64("fp")).alias("same")  # as cells with the same members have it; others that do only meet more
+    cells = rooted.groupBy("cell").agg(F.count("*").alias("n"), same, F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    cells = written(cells.select("cell", "n", "same"), "mixed-cells")
+    members = keyed_join(rooted, cells, ["cell"], "inner").groupBy("same", "n", "fp", "root", "size").agg(F.min("at").alias("at"))
+    members = written(members.withColumnRenamed("same", "cell"), "cell-members")
+    for done in (*parts, cells):
         dropped(done)
     released(sets.sparkSession)
+    found, blocks, total = [], F.ceil(F.col("n") / block), F.col("m") + F.col("k")
+    ends = (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb"))
+    open_ = ends & (F.least(F.col("m") - F.col("i"), F.col("k") - F.col("j")) + 1e-9 >= similarity / (1 + similarity) * total)
+    open_ &= bits_apart("x", "y") <= (1 - similarity) / (1 + similarity) * total + 1e-6
+    for part in range(PARTS):
+        marked = members.filter(F.pmod(F.xxhash64("cell"), F.lit(PARTS)) == part).join(held.hint("merge"), "fp")
+        marked = written(marked, "marked-members")
+        x = marked.select("cell", "n", F.pmod(F.xxhash64("fp"), blocks).alias("block"), F.col("fp").alias("a"), F.col("root").alias("ra"), F.col("at").alias("i"), F.col("size").alias("m"), F.col("marks").alias("x"))
+        y = marked.select("cell", "n", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.col("fp").alias("b"), F.col("root").alias("rb"), F.col("at").alias("j"), F.col("size").alias("k"), F.col("marks").alias("y"))
+        found.append(written(x.join(y, ["cell", "n", "block"]).filter(open_).select("a", "b").distinct(), "open-pairs"))
+        dropped(marked)
+        released(sets.sparkSession)
+    for done in (members, held):
+        dropped(done)
     if spent is not None:
-        spent += [cells, members]
-    blocks = F.ceil(F.col("n") / block)
-    x = members.select("cell", F.pmod(F.xxhash64("fp"), blocks).alias("block"), F.col("fp").alias("a"), F.col("root").alias("ra"), F.col("at").alias("i"), F.col("size").alias("m"))
-    y = members.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.col("fp").alias("b"), F.col("root").alias("rb"), F.col("at").alias("j"), F.col("size").alias("k"))
-    open_ = (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least(F.col("m") - F.col("i"), F.col("k") - F.col("j")) + 1e-9 >= similarity / (1 + similarity) * (F.col("m") + F.col("k")))
-    return x.join(y, ["cell", "block"]).filter(open_).select("a", "b").distinct()
+        spent += found
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
