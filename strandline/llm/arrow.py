@@ -13,15 +13,26 @@ from pyspark.sql.types import StructType
 
 #: Rows that are Python values at once, and rows or bytes of an output batch.
 SLICE_ROWS, ROWS, BATCH_BYTES = 500, 20_000, 4 << 20
+#: What a worker keeps for later tasks, by the module whose tasks use it.
+KEPT: dict[str, dict] = {}
 
 
-def at_rest(apply: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """apply, for mapInArrow or mapInPandas, that gives free memory back to the system when a task ends.
+def let_go(owner: str) -> None:
+    """Forget what this worker keeps for tasks of other modules."""
+    for other in KEPT.keys() - {owner}:
+        del KEPT[other]
+
+
+def at_rest(apply: Callable[[Iterator], Iterator], owner: str | None = None) -> Callable[[Iterator], Iterator]:
+    """apply, for mapInArrow or mapInPandas, that gives free memory back to the system when a task ends. owner: the module whose
+    tasks these are, apply's own if not given; what the worker kept for others goes as a task begins.
 
     Spark keeps workers for later tasks, more than run at once; what Arrow and the C library hold back in each adds up.
     """
+    owner = owner or apply.__module__
 
     def run(batches: Iterator) -> Iterator:
+        let_go(owner)
         yield from apply(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()
@@ -57,4 +68,4 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[Iterator[tuple]], Itera
                 out, size = [], 0
         yield table(out)
 
-    return df.mapInArrow(at_rest(apply), schema)
+    return df.mapInArrow(at_rest(apply, make.__module__), schema)

@@ -34,12 +34,13 @@ from .arrow import at_rest, map_rows, slices
 from .shared import keyed_join, ordered_rows, written
 
 WIDTH, GRAM = 100, 40
-#: Bytes of text that are hashed at once; anchors among which a task looks for equal contexts before it sends them on.
-BLOCK_BYTES, TASK_ANCHORS = 1 << 20, 2_000_000
+#: Bytes of text that are hashed at once (about 100 bytes of memory each); anchors among which a task looks for equal contexts before it
+#: sends them on, and anchors that it sends at once.
+BLOCK_BYTES, TASK_ANCHORS, SENT_ANCHORS = 1 << 18, 500_000, 20_000
 #: Bytes of a text longer than a block that are hashed at once.
-PIECE_BYTES = 1 << 23
+PIECE_BYTES = 1 << 19
 #: Windows that a bucket sorts at once, and contexts of an anchor from which its windows are range-partitioned one by one instead.
-CHUNK_WINDOWS, CROWDED = 400_000, 4000
+CHUNK_WINDOWS, CROWDED = 200_000, 4000
 #: Bits of a place in a block: an anchor is chosen by the other bits of its hash, however long the block is.
 PLACE_BITS = 24
 
@@ -137,8 +138,9 @@ def anchors(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
         h = np.where(gone, (doc * 31 + start) * np.int64(0x9E3779B97F4A7C1 | 1), h.view(np.int64))
         return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.view(np.int64), mask=gone), *[pa.array(x.astype(np.int64)) for x in (doc, start, n, off)]], schema=schema)
 
-    def settle(parts: list[tuple]) -> pa.RecordBatch:
+    def settle(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         h, c, doc, start, n, off = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
         order = np.lexsort((start, doc, c, h))
         h, c, doc, start, n, off = (x[order] for x in (h, c, doc, start, n, off))
         gone = np.concatenate(([False], (h[1:] == h[:-1]) & (c[1:] == c[:-1])))
@@ -155,7 +157,10 @@ def anchors(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
         k = ~gone
         zero = np.zeros(len(d), np.int64)
         joined = [np.concatenate(x) for x in ((h[k], zero.view(np.uint64)), (c[k], zero.view(np.uint64)), (doc[k], d), (start[k], a), (n[k], size), (off[k], zero))]
-        return batch(*joined, np.concatenate((np.zeros(k.sum(), bool), np.ones(len(d), bool))))
+        gone = np.concatenate((np.zeros(k.sum(), bool), np.ones(len(d), bool)))
+        del h, c, doc, start, n, off, order
+        for i in range(0, len(gone), SENT_ANCHORS):
+            yield batch(*[x[i : i + SENT_ANCHORS] for x in (*joined, gone)])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, parts, total = Hashes(), [], 0
@@ -173,10 +178,10 @@ def anchors(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
                     parts.append((h, c, docs_[own], first - starts[own], last - first + 1, anchor - first))
                     total += len(first)
                     if total >= TASK_ANCHORS:
-                        yield settle(parts)
-                        parts, total = [], 0
+                        yield from settle(parts)
+                        total = 0
             if parts:
-                yield settle(parts)
+                yield from settle(parts)
 
     return docs.mapInArrow(at_rest(apply), ANCHORS)
 

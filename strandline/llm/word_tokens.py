@@ -13,6 +13,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from .arrow import KEPT
+
 #: Words that a worker remembers; it starts anew when they are this many, so memory stays bounded (some 250 bytes a word, two generations).
 CACHE_WORDS = 200_000
 #: Longer words (in characters) are not remembered.
@@ -88,11 +90,9 @@ class WordTokens:
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_loaded: dict[str, WordTokens] = {}
-
-
-def word_tokens(path: str) -> WordTokens:
-    """One encoder per worker and file: its cache serves all the tasks that the worker runs."""
-    if path not in _loaded:
-        _loaded[path] = WordTokens(path)
-    return _loaded[path]
+def word_tokens(path: str, owner: str = "strandline.llm.packing") -> WordTokens:
+    """One encoder per worker and file: its cache serves all the tasks of its owner, a module, that the worker runs until it runs others."""
+    loaded = KEPT.setdefault(owner, {})
+    if path not in loaded:
+        loaded[path] = WordTokens(path)
+    return loaded[path]
