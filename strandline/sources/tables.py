@@ -21,10 +21,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table, for what is read more than once: written once, computed once."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df as a Parquet table, for what is read more than once: written once, computed once. options: the writer's."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
