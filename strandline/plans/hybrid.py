@@ -146,10 +146,9 @@ def m04_domain_similarity(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
     same = lambda n: (F.col("vec_id") % n == F.col("query_id") % n).cast("int")
-    near = vector_index.search(vector_index.build(e), q, k=None)
-    labelled = near.join(e.select("vec_id", "label"), "vec_id").join(q.select("query_id", "q_label"), "query_id")
+    near = vector_index.search(vector_index.build(e, also=("label",)), q, k=None)
     score = F.col("score") + 0.05 * same(3) + 0.1 * same(5) + 0.15 * (F.col("label") == F.col("q_label")).cast("int")
-    return labelled.select("query_id", "vec_id", F.round(F.least(F.lit(1.0), score), 6).alias("similarity"))
+    return near.select("query_id", "vec_id", F.round(F.least(F.lit(1.0), score), 6).alias("similarity"))
 
 
 _GRAMS = "list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))"

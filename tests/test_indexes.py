@@ -150,3 +150,28 @@ def test_empty_vectors(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
     index = vector_index.build(empty, name="none")
     assert vector_index.search(index, spark.createDataFrame([(1, [1.0])], "query_id long, q array<double>")).count() == 0
+
+
+def test_a_search_for_all_holds_a_block_of_pairs(monkeypatch):
+    """3000 vectors and 40 queries: blocks of bounded size, every pair once."""
+    rng = np.random.default_rng(1)
+    vectors, clusters = rng.normal(size=(3000, 4)), np.sort(rng.integers(0, 3, 3000))
+    centroids = rng.normal(size=(3, 4))
+    monkeypatch.setattr(vector_index, "SHELL", 100)
+    monkeypatch.setattr(vector_index, "PAIRS", 1000)
+    state = vector_index.Every(np.arange(40), vectors[:40], None, False, "cosine")
+    blocks = list(state.meet(np.arange(3000), vectors, clusters, np.zeros(3000), centroids))
+    assert max(len(at) for at, _, _ in blocks) <= 1000
+    pairs = [x for at, place, _ in blocks for x in zip(at.tolist(), place.tolist(), strict=True)]
+    assert len(pairs) == len(set(pairs)) == 40 * 3000 - 40 and state.pairs.tolist() == [3000] * 40
+
+
+def test_a_search_for_all_carries_columns_without_a_join(spark):
+    """Of each row its own, where an id comes twice too; nulls stay."""
+    rows = [(1, [1.0, 0.0], 5), (1, [0.0, 1.0], 6), (2, [1.0, 1.0], None), (3, [1.0, 0.0], 7)]
+    index = vector_index.build(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), name="also", also=("label",))
+    asked = spark.createDataFrame([(2, [1.0, 1.0], None), (3, [1.0, 0.0], 9)], "query_id long, q array<double>, asked int")
+    found = vector_index.search(index, asked, None)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(((r.query_id, r.vec_id, r.score, r.label, r.asked) for r in found.collect()), key=str)
+    assert got == sorted([(2, 1, 0.707107, 5, None), (2, 1, 0.707107, 6, None), (2, 3, 0.707107, 7, None), (3, 1, 1.0, 5, 9), (3, 1, 0.0, 6, 9), (3, 2, 0.707107, None, 9)], key=str)
